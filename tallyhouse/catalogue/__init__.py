@@ -4,6 +4,6 @@ from tallyhouse.catalogue.registry import REGISTERED, Query
 
 
 def registered() -> dict[str, Query]:
-    from tallyhouse.catalogue import kpi_queries, tables  # noqa: F401
+    from tallyhouse.catalogue import kpi_queries, row_queries, tables  # noqa: F401
 
     return REGISTERED

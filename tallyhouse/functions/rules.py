@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, functions as F
 
 from tallyhouse.functions.money import dbl, rounded
-from tallyhouse.functions.stable import bucket
+from tallyhouse.functions.stable import slot
 
 # Category names and the spellings that map to them.
 TIME_TYPES = {
@@ -106,17 +106,16 @@ def clamp(c: Column, low: float, high: float) -> Column:
     return F.least(F.greatest(c, F.lit(low)), F.lit(high))
 
 
-def payable_age(invoice_id: str = "invoice_id", due: str = "due_date", paid_on: str = "payment_date",
-                status: str = "payment_status") -> Column:
-    """Days past due when paid; otherwise a status-typical age spread by a stable bucket."""
-    state, spread = upper_or_blank(status), bucket(invoice_id, 100)
+def payable_age(hashed_id: str, due: str = "due_date", paid_on: str = "payment_date", status: str = "payment_status") -> Column:
+    """Days past due when paid; otherwise a status-typical age spread by the invoice's stable hash."""
+    state, spread = upper_or_blank(status), slot(hashed_id, 100)
     late = F.greatest(F.datediff(F.coalesce(F.col(paid_on), F.col(due)), F.col(due)), F.lit(0))
-    still_open = (F.when(spread < 70, bucket(invoice_id, 31))
-                  .when(spread < 95, F.lit(31) + bucket(invoice_id, 30))
-                  .otherwise(F.lit(61) + bucket(invoice_id, 30)))
+    still_open = (F.when(spread < 70, slot(hashed_id, 31))
+                  .when(spread < 95, F.lit(31) + slot(hashed_id, 30))
+                  .otherwise(F.lit(61) + slot(hashed_id, 30)))
     return (F.when(state == "PAID", late)
-            .when(state == "OVERDUE", F.lit(60) + bucket(invoice_id, 35))
-            .when(state == "PARTIALLY PAID", F.lit(35) + bucket(invoice_id, 25))
+            .when(state == "OVERDUE", F.lit(60) + slot(hashed_id, 35))
+            .when(state == "PARTIALLY PAID", F.lit(35) + slot(hashed_id, 25))
             .otherwise(still_open))
 
 

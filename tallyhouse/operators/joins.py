@@ -32,7 +32,7 @@ def rate_calendar(event_days: DataFrame, rates: DataFrame, key: str, day: str, v
 def interval_join(events: DataFrame, rates: DataFrame, key: str, day: str, value: str, out: str,
                   starts: str = "effective_date", ends: str = "end_date") -> DataFrame:
     """Attach to each event the rate in force on its day; null when none is."""
-    calendar = rate_calendar(events, rates, key, day, value, starts, ends).withColumnRenamed(value, out)
+    calendar = rate_calendar(events.select(key, day), rates, key, day, value, starts, ends).withColumnRenamed(value, out)
     return events.join(calendar, [key, day], "left")
 
 
@@ -59,13 +59,6 @@ def open_at_month_ends(invoices: DataFrame, first_back: int, last_back: int, as_
     return out if max_age is None else out.where(F.col("days_out").between(0, max_age))
 
 
-def open_at_all_month_ends(invoices: DataFrame, as_of: date, issued: str = "invoice_date",
-                           paid_on: str = "payment_date") -> DataFrame:
-    """As above for every month since each invoice was issued, up to the as-of month."""
-    months_of_history = as_of.year * 12 + as_of.month
-    return open_at_month_ends(invoices, months_of_history - 1, 0, as_of, issued, paid_on, max_age=None)
-
-
 def null_safe_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "left") -> DataFrame:
     """Equi join in which null matches null; keeps the left keys."""
     renamed = right.select(*[F.col(c).alias(f"_r_{c}") if c in keys else F.col(c) for c in right.columns])

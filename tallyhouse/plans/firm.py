@@ -108,7 +108,7 @@ BUILDERS: dict[str, tuple[Callable[[Firm], DataFrame], str | None]] = {
         f.table("dim_projects"), f.table("fact_timecards"), f.table("fact_expenses"), f.table("dim_clients"), f.table("dim_employees")), None),
     "enterprise_metrics": (lambda f: gold.enterprise_metrics(
         f.table("fact_timecards"), f.table("fact_expenses"), f.table("dim_employees"), f.table("fact_accounts_receivable"),
-        f.table("wip_unbilled"), f.table("dim_projects"), f.as_of, f.policy), "fiscal_period"),
+        f.table("wip_unbilled"), f.table("dim_projects"), f.policy), "fiscal_period"),
     "payables_aging": (lambda f: gold.payables_aging(f.table("fact_accounts_payable")), None),
     "enterprise_summary": (lambda f: gold.enterprise_summary(
         f.table("fact_timecards"), f.table("fact_expenses"), f.table("dim_employees"), f.table("fact_accounts_receivable"),

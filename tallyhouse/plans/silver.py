@@ -9,9 +9,9 @@ from pyspark.sql import Column, DataFrame, functions as F
 from tallyhouse.functions import rules
 from tallyhouse.functions.money import MONEY, dbl, rounded_money
 from tallyhouse.functions.periods import month_start
-from tallyhouse.functions.stable import bucket
+from tallyhouse.functions.stable import bucket, slot, stable_hash
 from tallyhouse.operators.filters import DIMS
-from tallyhouse.operators.joins import enrich, interval_join
+from tallyhouse.operators.joins import enrich, rate_calendar
 from tallyhouse.operators.windows import latest_row, top_per_group
 from tallyhouse.plans.policy import Policy
 from tallyhouse.sources.sinks import merge_update
@@ -105,11 +105,11 @@ def dim_projects(engagements: DataFrame, contracts: DataFrame, assignments: Data
         F.ceil(dbl(hours) * uplift / capacity).alias("required_headcount"), *DIMS)
 
 
-def credited_share(policy: Policy, level: str, card: str) -> Column:
+def credited_share(policy: Policy, level: str, hashed_card: str) -> Column:
     """Share of the logged hours that counts, by level, spread by a stable bucket of the timecard."""
     out = None
     for name, (low, spread) in policy.level_hours.items():
-        share = (F.lit(low).cast(FACTOR) + bucket(card, spread).cast("decimal(4,0)") * F.lit("0.01").cast("decimal(4,2)")).cast(FACTOR)
+        share = (F.lit(low).cast(FACTOR) + slot(hashed_card, spread).cast("decimal(4,0)") * F.lit("0.01").cast("decimal(4,2)")).cast(FACTOR)
         hit = F.col(level) == name
         out = F.when(hit, share) if out is None else out.when(hit, share)
     one = F.lit("1").cast(FACTOR)
@@ -117,10 +117,10 @@ def credited_share(policy: Policy, level: str, card: str) -> Column:
 
 
 def revenue_category(policy: Policy, customer: str = "customer", time_type: Column | None = None) -> Column:
-    slot = bucket(F.coalesce(F.col(customer), F.lit("")), 100)
+    place = bucket(F.coalesce(F.col(customer), F.lit("")), 100)
     out = None
     for name, upper in policy.revenue_mix:
-        out = F.when(slot < upper, F.lit(name)) if out is None else out.when(slot < upper, F.lit(name))
+        out = F.when(place < upper, F.lit(name)) if out is None else out.when(place < upper, F.lit(name))
     return F.when(time_type == "Billable", out.otherwise(F.lit("Billable"))).otherwise(F.lit("Other"))
 
 
@@ -129,16 +129,21 @@ def fact_timecards(timecards: DataFrame, billing_rates: DataFrame, cost_rates: D
     """Timecards with the rate in force on the day, credited hours, billed and cost amounts."""
     levels = employees.select("employee_id", "job_level")
     cards = timecards.withColumnRenamed("billing_rate", "_own_rate").withColumnRenamed("cost_rate", "_own_cost")
-    cards = interval_join(cards, billing_rates, "employee_id", "work_date", "billing_rate", "_rate")
-    cards = interval_join(cards, cost_rates, "employee_id", "work_date", "hourly_cost_rate", "_cost")
-    cards = cards.join(levels, ["employee_id"], "left")
+    # both rates hang on the same (person, day) pairs: found once, joined back once
+    days = timecards.select("employee_id", "work_date").distinct()
+    rates = (days.join(rate_calendar(days, billing_rates, "employee_id", "work_date", "billing_rate").withColumnRenamed("billing_rate", "_rate"),
+                       ["employee_id", "work_date"], "left")
+             .join(rate_calendar(days, cost_rates, "employee_id", "work_date", "hourly_cost_rate").withColumnRenamed("hourly_cost_rate", "_cost"),
+                   ["employee_id", "work_date"], "left"))
+    cards = cards.join(rates, ["employee_id", "work_date"], "left").join(levels, ["employee_id"], "left")
+    cards = cards.withColumn("_h", stable_hash("timecard_id"))
 
     billable = rules.is_billable_type()
     adjusted = F.col("hours")
     if policy.hour_adjustments:
         story = product_of([a.as_column("work_date") for a in policy.hour_adjustments])
         adjusted = (F.col("hours") * story).cast(HOURS)
-    credited = (adjusted * credited_share(policy, "job_level", "timecard_id")
+    credited = (adjusted * credited_share(policy, "job_level", "_h")
                 * rules.exact_factor(F.col("practice_area"), policy.practice_premium)).cast(HOURS)
     on_bench = (F.col("work_date") >= F.date_sub(F.lit(as_of), policy.bench_days)) & (bucket("employee_id", 100) < policy.bench_percent)
     clean = F.when(billable & on_bench, "Non-Billable").otherwise(rules.clean_time_type())
@@ -232,7 +237,7 @@ def wip_unbilled(timecards: DataFrame, employees: DataFrame, projects: DataFrame
 
 
 def fact_accounts_payable(invoices: DataFrame, policy: Policy) -> DataFrame:
-    aged = invoices.withColumn("days_outstanding", rules.payable_age())
+    aged = invoices.withColumn("_h", stable_hash("invoice_id")).withColumn("days_outstanding", rules.payable_age("_h"))
     return aged.select(
         "invoice_id", "vendor_id", "vendor_name", "invoice_date", "due_date",
         (F.col("amount") * F.lit(policy.payable_scale).cast("decimal(6,0)")).cast(MONEY).alias("amount"), "payment_status",
