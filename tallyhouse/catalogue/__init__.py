@@ -4,6 +4,6 @@ from tallyhouse.catalogue.registry import REGISTERED, Query
 
 
 def registered() -> dict[str, Query]:
-    from tallyhouse.catalogue import curated_queries, kpi_queries, quality_queries, relational_queries, row_queries, semantic_queries, tables  # noqa: F401
+    from tallyhouse.catalogue import claims_queries, curated_queries, kpi_queries, quality_queries, relational_queries, row_queries, semantic_queries, store_queries, tables  # noqa: F401
 
     return REGISTERED
