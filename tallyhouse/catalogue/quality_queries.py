@@ -19,19 +19,19 @@ def row(name, low, high, scalar):
 
 
 def checks(qid, *items):
-    """items: (name, value function, (low, high), scalar SQL)"""
-    made = [q.Check(n, v, *b) for n, v, b, _ in items]
-    sql = " UNION ALL ".join(row(n, *b, s) for n, _, b, s in items)
+    """items: (name, value function, (low, high), scalar SQL[, column])"""
+    made = [q.Check(n, v, *b, *column) for n, v, b, _, *column in items]
+    sql = " UNION ALL ".join(row(n, *b, s) for n, _, b, s, *_ in items)
     ALL.extend(made)
-    SQL.update({n: row(n, *b, s) for n, _, b, s in items})
+    SQL.update({n: row(n, *b, s) for n, _, b, s, *_ in items})
     query(qid, sql)(lambda f: q.evaluate(f, made))
 
 
 at = BOUNDS.at
 OPEN = f"FROM r_ar WHERE {clean_open()}"
 checks("DQ1_trailing_revenue", ("annual revenue", q.trailing_revenue, at("firmwide", "annual_revenue"), f"SELECT sum(amount) FROM r_ar WHERE invoice_date >= {ASOF} - 365"))
-checks("DQ2_headcount", ("strict partners", q.strict_partners, at("firmwide", "strict_partners"), "SELECT count(*) FROM r_current WHERE employment_status = 'Active' AND job_level = 'Partner'"),
-       ("total employees", q.total_employees, at("firmwide", "total_employees"), "SELECT count(*) FROM r_current WHERE employment_status = 'Active'"))
+checks("DQ2_headcount", ("strict partners", q.headcount, at("firmwide", "strict_partners"), "SELECT count(*) FROM r_current WHERE employment_status = 'Active' AND job_level = 'Partner'", "partners"),
+       ("total employees", q.headcount, at("firmwide", "total_employees"), "SELECT count(*) FROM r_current WHERE employment_status = 'Active'", "everyone"))
 checks("DQ3_open_receivables", ("open receivables", q.open_receivables, at("receivables_ar", "total_open_ar"), f"SELECT sum(amount) {OPEN}"))
 _conc = lambda k, t, p, a: f"SELECT {div(f'(SELECT sum(s) FROM (SELECT sum({a}) AS s {t} GROUP BY {p} ORDER BY s DESC LIMIT {k}))', f'(SELECT sum({a}) {t})')} * 100.0"
 checks("DQ4_client_concentration", ("top ten clients", lambda f: q.concentration(q._open_ar(f), "customer_name", "amount", 10), at("receivables_ar", "top_10_client_ar_concentration_pct"), _conc(10, OPEN, "customer_name", "amount")),
@@ -39,7 +39,7 @@ checks("DQ4_client_concentration", ("top ten clients", lambda f: q.concentration
 checks("DQ5_largest_invoice", ("largest invoice", q.largest_invoice, at("receivables_ar", "single_invoice"), "SELECT max(amount) FROM r_ar"))
 checks("DQ6_orphan_projects", ("receivable project orphans", q.orphan_count, (0, 0), "SELECT count(*) FROM r_ar WHERE project_id IS NOT NULL AND project_id NOT IN (SELECT project_id FROM r_projects)"))
 _days = {"bucket_0_30": ("0-30 days", "days_outstanding <= 30"), "bucket_31_60": ("31-60 days", "days_outstanding BETWEEN 31 AND 60"), "bucket_61_90": ("61-90 days", "days_outstanding BETWEEN 61 AND 90"), "bucket_91_plus": ("90+ days", "days_outstanding > 90")}
-checks("DQ7_bucket_shares", *[(f"share of {label}", lambda f, x=label: q.bucket_share(f, x), at("receivables_ar", "aging_distribution_pct", key), f"SELECT {pct(f'sum(CASE WHEN {t} THEN amount ELSE 0 END)', 'sum(amount)')} {OPEN}") for key, (label, t) in _days.items()])
+checks("DQ7_bucket_shares", *[(f"share of {label}", q.bucket_shares, at("receivables_ar", "aging_distribution_pct", key), f"SELECT {pct(f'sum(CASE WHEN {t} THEN amount ELSE 0 END)', 'sum(amount)')} {OPEN}", label) for key, (label, t) in _days.items()])
 checks("DQ8_dso_swing", ("largest monthly change of DSO", q.dso_swing, at("receivables_ar", "max_mom_firmwide_dso_delta_days"), "SELECT max(abs(d - p)) FROM (SELECT d, lag(d) OVER (ORDER BY snapshot_date) AS p FROM (SELECT DISTINCT snapshot_date, firmwide_dso_days AS d FROM r_snap))"))
 checks("DQ9_cohort_spread", ("top five against the rest", q.cohort_spread, at("receivables_ar", "min_top5_vs_rest_dso_spread_days"), f"SELECT abs({div('sum(bd) FILTER (rn <= 5)', 'sum(b) FILTER (rn <= 5)')} - {div('sum(bd) FILTER (rn > 5)', 'sum(b) FILTER (rn > 5)')}) FROM (SELECT sum(amount) AS b, sum(amount * days_outstanding) AS bd, row_number() OVER (ORDER BY sum(amount) DESC, customer_name) AS rn {OPEN} GROUP BY customer_name)"))
 checks("DQ10_vendors", ("top vendor", lambda f: q.concentration(f.table("fact_accounts_payable"), "vendor_name", "amount", 1), at("payables_ap", "top_vendor_concentration_pct"), _conc(1, "FROM r_ap", "vendor_name", "amount")),

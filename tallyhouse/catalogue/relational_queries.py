@@ -31,7 +31,7 @@ def _chain(f):
 
 
 query("JN3_interval_join", f"SELECT l_suppkey AS employee_id, count(*) AS cards, count(rate) AS rated, {dbl('sum(rate)')} AS rate_sum FROM r_lines l LEFT JOIN r_billing_rate_of r ON l.line_id = r.line_id GROUP BY 1")(
-    lambda f: joins.interval_join(f.source_table("workday_timecards").select("employee_id", "work_date"), f.source_table("workday_billing_rates"), "employee_id", "work_date", "billing_rate", "rate")
+    lambda f: joins.interval_join(f.source_table("workday_timecards").select("employee_id", "work_date"), "employee_id", "work_date", {"rate": (f.source_table("workday_billing_rates"), "billing_rate")})
     .groupBy("employee_id").agg(F.count(F.lit(1)).alias("cards"), F.count("rate").alias("rated"), SUM("rate", "rate_sum")))
 query("JN4_snapshot_join", f"SELECT snapshot_date, {bucket_of('days_out')} AS aging_bucket, count(*) AS n, {dbl('sum(amount)')} AS bal FROM r_open GROUP BY ALL")(
     lambda f: joins.open_at_month_ends(f.table("fact_accounts_receivable").select("invoice_date", "payment_date", "amount"), 13, 1, f.as_of)
@@ -145,7 +145,7 @@ query("WN1_latest_row", "SELECT account_id, account_name, last_modified_date FRO
 query("WN2_one_per_key", "SELECT n_nationkey AS cost_center, 'Office A ' || n_name AS organization_name FROM nation")(
     lambda f: windows.top_per_group(f.source_table("workday_organizations"), ["cost_center"], [F.col("organization_name")]).select("cost_center", "organization_name"))
 query("WN3_best_rate", "SELECT DISTINCT l_suppkey AS employee_id, ship_date AS work_date, CAST(rate AS DOUBLE) AS billing_rate FROM r_lines l JOIN r_billing_rate_of r ON l.line_id = r.line_id")(
-    lambda f: joins.rate_calendar(f.source_table("workday_timecards").select("employee_id", "work_date"), f.source_table("workday_billing_rates"), "employee_id", "work_date", "billing_rate"))
+    lambda f: joins.rate_calendar(f.source_table("workday_timecards"), "employee_id", "work_date", {"billing_rate": (f.source_table("workday_billing_rates"), "billing_rate")}).where(F.col("billing_rate").isNotNull()))
 query("WN4_dominant_category", "SELECT region, location, practice_area, industry, customer, fiscal_period, revenue_type FROM r_pnl_type")(
     lambda f: aggregates.dominant(f.table("fact_timecards").where(gold.billable()).withColumnRenamed("fiscal_month", "fiscal_period"), [*DIMS, "fiscal_period"], "revenue_category", "billing_amount", "revenue_type"))
 _PM = f"(SELECT practice_area, location, fiscal_month, sum(billing_amount) AS rev FROM r_timecards GROUP BY ALL)"

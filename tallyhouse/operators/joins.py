@@ -14,26 +14,31 @@ from tallyhouse.operators.windows import number_within
 OPEN_END = date(9999, 12, 31)
 
 
-def rate_calendar(event_days: DataFrame, rates: DataFrame, key: str, day: str, value: str,
+def rate_calendar(event_days: DataFrame, key: str, day: str, rates: Mapping[str, tuple[DataFrame, str]],
                   starts: str = "effective_date", ends: str = "end_date") -> DataFrame:
-    """The rate in force for every (key, day): the newest start wins, then the later end, then the higher value.
+    """Rates in force for every (key, day): of each kind the newest start wins, then the later end, then the higher value.
 
-    Works on distinct days, not on events, so one key can never bring more rows into the
-    range join than there are days in the calendar, however many events it has.
+    ``rates`` maps an output column to (rate table, value column). Works on distinct days, not
+    on events, so one key can never bring more rows into the range join than there are days in
+    the calendar, however many events it has. All kinds share one join and one aggregation.
     """
     days = event_days.select(key, day).distinct()
-    spans = (rates.groupBy(key, starts, F.coalesce(ends, F.lit(OPEN_END)).alias("_end"))
-             .agg(F.max(value).alias("_value")).withColumnRenamed(starts, "_start"))
-    hit = days.join(spans, [key], "inner").where(F.col(day).between(F.col("_start"), F.col("_end")))
-    best = F.max(F.struct("_start", "_end", "_value"))
-    return hit.groupBy(key, day).agg(best.alias("_best")).select(key, day, F.col("_best._value").alias(value))
-
-
-def interval_join(events: DataFrame, rates: DataFrame, key: str, day: str, value: str, out: str,
+    spans = None
+    for out, (table, value) in rates.items():
+        part = table.select(F.col(key).alias("_key"), F.lit(out).alias("_kind"), F.col(starts).alias("_start"),
+                            F.coalesce(ends, F.lit(OPEN_END)).alias("_end"), F.col(value).alias("_value"))
+        spans = part if spans is None else spans.unionByName(part)
+    spans = spans.groupBy("_key", "_kind", "_start", "_end").agg(F.max("_value").alias("_value"))
+    hit = days.join(spans, (F.col(key) == F.col("_key")) & F.col(day).between(F.col("_start"), F.col("_end")), "left")
+    best = lambda out: F.max(F.when(F.col("_kind") == out, F.struct("_start", "_end", "_value")))
+    chosen = hit.groupBy(key, day).agg(*[best(out).alias(out) for out in rates])
+    return chosen.select(key, day, *[F.col(out)["_value"].alias(out) for out in rates])
+
+
+def interval_join(events: DataFrame, key: str, day: str, rates: Mapping[str, tuple[DataFrame, str]],
                   starts: str = "effective_date", ends: str = "end_date") -> DataFrame:
-    """Attach to each event the rate in force on its day; null when none is."""
-    calendar = rate_calendar(events.select(key, day), rates, key, day, value, starts, ends).withColumnRenamed(value, out)
-    return events.join(calendar, [key, day], "left")
+    """Attach to each event the rates in force on its day; null where none is."""
+    return events.join(rate_calendar(events, key, day, rates, starts, ends), [key, day], "left")
 
 
 def open_at_month_ends(invoices: DataFrame, first_back: int, last_back: int, as_of: date,

@@ -56,25 +56,29 @@ class Bounds:
 
 @dataclass(frozen=True)
 class Check:
+    """``value`` gives one row; ``column`` says which of its columns is checked."""
+
     name: str
     value: Callable[[Firm], DataFrame]
     low: float | None = None
     high: float | None = None
+    column: str = "actual"
 
 
 def evaluate(firm: Firm, checks: list[Check]) -> DataFrame:
-    """All checks as one table: check, actual, lo, hi, passed."""
-    out = None
+    """All checks as one table: check, actual, lo, hi, passed. Checks that share a value function share its scan."""
+    groups: dict[Callable, list[Check]] = {}
     for c in checks:
-        v = F.col("actual").cast("double")
-        ok = v.isNotNull()
-        for bound, test in ((c.low, lambda b: v >= b), (c.high, lambda b: v <= b)):
-            if bound is not None:
-                ok = ok & test(F.lit(float(bound)))
-        limit = lambda b: F.lit(None if b is None else float(b)).cast("double")
-        row = c.value(firm).select(F.lit(c.name).alias("check"), v.alias("actual"), limit(c.low).alias("lo"), limit(c.high).alias("hi"), F.coalesce(ok, F.lit(False)).alias("passed"))
-        out = row if out is None else out.unionByName(row)
-    return out
+        groups.setdefault(c.value, []).append(c)
+    limit = lambda b: F.lit(None if b is None else float(b)).cast("double")
+    out = None
+    for value, members in groups.items():
+        rows = F.array(*[F.struct(F.lit(c.name).alias("check"), F.col(c.column).cast("double").alias("actual"), limit(c.low).alias("lo"), limit(c.high).alias("hi")) for c in members])
+        part = value(firm).select(F.explode(rows).alias("r")).select("r.*")
+        out = part if out is None else out.unionByName(part)
+    v = F.col("actual")
+    ok = v.isNotNull() & F.coalesce(v >= F.col("lo"), F.lit(True)) & F.coalesce(v <= F.col("hi"), F.lit(True))
+    return out.withColumn("passed", ok)
 
 
 def require_all(results: DataFrame) -> None:
@@ -106,12 +110,9 @@ def trailing_revenue(f: Firm) -> DataFrame:
     return _one(_year(f, "fact_accounts_receivable", "invoice_date"), F.sum("amount"))
 
 
-def strict_partners(f: Firm) -> DataFrame:
-    return _one(current_staff(f.table("dim_employees")).where((F.col("employment_status") == "Active") & (F.col("job_level") == "Partner")), F.count(F.lit(1)))
-
-
-def total_employees(f: Firm) -> DataFrame:
-    return _one(current_staff(f.table("dim_employees")).where(F.col("employment_status") == "Active"), F.count(F.lit(1)))
+def headcount(f: Firm) -> DataFrame:
+    active = current_staff(f.table("dim_employees")).where(F.col("employment_status") == "Active")
+    return active.agg(F.count(F.when(F.col("job_level") == "Partner", 1)).alias("partners"), F.count(F.lit(1)).alias("everyone"))
 
 
 def open_receivables(f: Firm) -> DataFrame:
@@ -133,8 +134,12 @@ def orphan_count(f: Firm, table: str = "fact_accounts_receivable") -> DataFrame:
     return _one(orphans(f.table(table).select("project_id"), "project_id", f.table("dim_projects"), "project_id"), F.count(F.lit(1)))
 
 
-def bucket_share(f: Firm, label: str) -> DataFrame:
-    return _open_ar(f).agg(share_pct(sum_if(rules.aging_bucket(F.col("days_outstanding")) == label, "amount"), F.sum("amount")).alias("actual"))
+BUCKET_LABELS = (*[label for _, label in rules.AGING_BUCKETS], rules.OLDEST_BUCKET)
+
+
+def bucket_shares(f: Firm) -> DataFrame:
+    label = rules.aging_bucket(F.col("days_outstanding"))
+    return _open_ar(f).agg(*[share_pct(sum_if(label == b, "amount"), F.sum("amount")).alias(b) for b in BUCKET_LABELS])
 
 
 def dso_swing(f: Firm) -> DataFrame:

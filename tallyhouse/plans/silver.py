@@ -129,13 +129,11 @@ def fact_timecards(timecards: DataFrame, billing_rates: DataFrame, cost_rates: D
     """Timecards with the rate in force on the day, credited hours, billed and cost amounts."""
     levels = employees.select("employee_id", "job_level")
     cards = timecards.withColumnRenamed("billing_rate", "_own_rate").withColumnRenamed("cost_rate", "_own_cost")
-    # both rates hang on the same (person, day) pairs: found once, joined back once
-    days = timecards.select("employee_id", "work_date").distinct()
-    rates = (days.join(rate_calendar(days, billing_rates, "employee_id", "work_date", "billing_rate").withColumnRenamed("billing_rate", "_rate"),
-                       ["employee_id", "work_date"], "left")
-             .join(rate_calendar(days, cost_rates, "employee_id", "work_date", "hourly_cost_rate").withColumnRenamed("hourly_cost_rate", "_cost"),
-                   ["employee_id", "work_date"], "left"))
-    cards = cards.join(rates, ["employee_id", "work_date"], "left").join(levels, ["employee_id"], "left")
+    # rates and level are found per (person, day) and joined back once: a person with very many
+    # cards is spread over days, and the fact itself is shuffled a single time
+    calendar = rate_calendar(timecards, "employee_id", "work_date",
+                             {"_rate": (billing_rates, "billing_rate"), "_cost": (cost_rates, "hourly_cost_rate")})
+    cards = cards.join(calendar.join(levels, ["employee_id"], "left"), ["employee_id", "work_date"], "left")
     cards = cards.withColumn("_h", stable_hash("timecard_id"))
 
     billable = rules.is_billable_type()
