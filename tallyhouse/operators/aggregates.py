@@ -24,7 +24,7 @@ def dominant(df: DataFrame, by: Sequence[str], category: str, weight: str, out:
     return sums.groupBy(*by).agg(F.min_by(category, F.struct(-F.col("_w"), F.col(category))).alias(out))
 
 
-def exact_quantile(df: DataFrame, value: str, q: float, out: str, slack: float = 0.001) -> DataFrame:
+def exact_quantile(df: DataFrame, value: str, q: float, out: str, slack: float = 1e-4) -> DataFrame:
     """Interpolated quantile of any number of rows, exact.
 
     A sketch whose error is ten times smaller than ``slack`` brackets the quantile; only the

@@ -51,10 +51,9 @@ def open_at_month_ends(invoices: DataFrame, first_back: int, last_back: int, as_
     """
     base = as_of.year * 12 + as_of.month
     oldest, newest = base - first_back, base - last_back
-    ends_in_issue_month = month_index(issued)
-    last_open = F.when(F.col(paid_on).isNull(), F.lit(newest)).otherwise(
-        F.when(F.col(paid_on) > F.last_day(paid_on), month_index(paid_on)).otherwise(month_index(paid_on) - 1))
-    first = F.greatest(ends_in_issue_month, F.lit(oldest))
+    # paid during a month means not open at its end
+    last_open = F.when(F.col(paid_on).isNull(), F.lit(newest)).otherwise(month_index(paid_on) - 1)
+    first = F.greatest(month_index(issued), F.lit(oldest))
     last = F.least(last_open, F.lit(newest))
     months = F.when(first <= last, F.sequence(first, last))
     exploded = invoices.withColumn("_m", F.explode(months))
