@@ -24,11 +24,12 @@ def dominant(df: DataFrame, by: Sequence[str], category: str, weight: str, out:
     return sums.groupBy(*by).agg(F.min_by(category, F.struct(-F.col("_w"), F.col(category))).alias(out))
 
 
-def exact_quantile(df: DataFrame, value: str, q: float, out: str, slack: float = 1e-4) -> DataFrame:
+def exact_quantile(df: DataFrame, value: str, q: float, out: str, slack: float = 1e-4, cells: int = 1000) -> DataFrame:
     """Interpolated quantile of any number of rows, exact.
 
-    A sketch whose error is ten times smaller than ``slack`` brackets the quantile; only the
-    distinct values inside the bracket are ranked, on top of an exact count of what lies below.
+    A sketch whose error is ten times smaller than ``slack`` brackets the position. The counted
+    values inside the bracket are spread over ``cells``, and only the cells that hold the two
+    neighbours of the position are ranked, on top of exact counts of everything before them.
     """
     v = df.select(F.col(value).cast("double").alias("v")).where(F.col("v").isNotNull())
     accuracy = F.lit(int(10 / slack))
@@ -36,15 +37,21 @@ def exact_quantile(df: DataFrame, value: str, q: float, out: str, slack: float =
                     F.percentile_approx("v", min(q + slack, 1.0), accuracy).alias("hi"))
     tagged = v.join(F.broadcast(bracket), F.lit(True), "inner")
     below = tagged.agg(F.count(F.when(F.col("v") < F.col("lo"), 1)).alias("below"), F.count("v").alias("n"))
-    inside = tagged.where(F.col("v").between(F.col("lo"), F.col("hi"))).groupBy("v").agg(F.count("v").alias("c"))
-    upto = F.sum("c").over(Window.orderBy("v").rowsBetween(Window.unboundedPreceding, 0))
+    place = F.least(F.floor(F.coalesce(F.try_divide(F.col("v") - F.col("lo"), F.col("hi") - F.col("lo")), F.lit(0.0)) * cells), F.lit(cells - 1)).cast("int")
+    inside = (tagged.where(F.col("v").between(F.col("lo"), F.col("hi"))).withColumn("cell", place)
+              .groupBy("cell", "v").agg(F.count("v").alias("c")))
+    # at most ``cells`` rows from here on, so one task can run through them
+    upto = F.sum("c").over(Window.orderBy("cell").rowsBetween(Window.unboundedPreceding, 0))
     position = (F.col("n") - 1).cast("double") * F.lit(q)
-    placed = (inside.withColumn("upto", upto).join(F.broadcast(below), F.lit(True), "inner")
-              .withColumn("last", F.col("below") + F.col("upto")).withColumn("first", F.col("last") - F.col("c"))
-              .withColumn("position", position))
-    at = lambda rank: F.max(F.when((rank >= F.col("first")) & (rank < F.col("last")), F.col("v")))
-    return (placed.agg(at(F.floor("position")).alias("a"), at(F.ceil("position")).alias("b"),
-                       F.max(F.col("position") - F.floor("position")).alias("f"))
+    marks = (inside.groupBy("cell").agg(F.sum("c").alias("c")).withColumn("upto", upto).join(F.broadcast(below), F.lit(True), "inner")
+             .select("cell", (F.col("below") + F.col("upto") - F.col("c")).alias("before"), (F.col("below") + F.col("upto")).alias("after"),
+                     F.floor(position).alias("low"), F.ceil(position).alias("high"), (position - F.floor(position)).alias("frac")))
+    holds = lambda rank: (F.col(rank) >= F.col("before")) & (F.col(rank) < F.col("after"))
+    rows = inside.join(F.broadcast(marks.where(holds("low") | holds("high"))), ["cell"])
+    last = F.col("before") + F.sum("c").over(Window.partitionBy("cell").orderBy("v").rowsBetween(Window.unboundedPreceding, 0))
+    placed = rows.withColumn("last", last).withColumn("first", F.col("last") - F.col("c"))
+    at = lambda rank: F.max(F.when((F.col(rank) >= F.col("first")) & (F.col(rank) < F.col("last")), F.col("v")))
+    return (placed.agg(at("low").alias("a"), at("high").alias("b"), F.max("frac").alias("f"))
             .select((F.col("a") + (F.col("b") - F.col("a")) * F.col("f")).alias(out)))
 
 
