@@ -146,3 +146,9 @@ query("IN5_latest_per_question", "SELECT conv_id, role, arg_max(text, turn) AS t
 query("IN6_children", "SELECT a.conv_id, a.turn, a.turn - 1 AS parent_turn, a.role, p.role AS parent_role, length(p.text) AS parent_length FROM conversations a JOIN conversations p ON a.conv_id = p.conv_id AND p.turn = a.turn - 1")(
     lambda f: ins.children(f.raw("conversations").withColumn("parent_turn", F.when(F.col("turn") > 0, F.col("turn") - 1)), ["conv_id"], "turn", "parent_turn", ["role", "text"]).select(
         "conv_id", "turn", "parent_turn", "role", "parent_role", F.length("parent_text").cast("bigint").alias("parent_length")))
+_IN1 = INSIGHTS.replace("WHEN v = p THEN 'flat' END, CASE", "WHEN v = p THEN 'flat' END AS trend_direction, CASE").replace("WHEN v = p THEN 'amber' END FROM", "WHEN v = p THEN 'amber' END AS status_color FROM")
+query("GD14_insight_table", f"SELECT persona, slot_type, slot_id, headline, value, comparison, trend_direction, status_color, CAST(NULL AS VARCHAR) AS narrative, {ASOF} AS refreshed_on, {back(1)} AS fiscal_period_anchor, 'firmwide' AS filter_axis, 'all' AS filter_value FROM ({_IN1})")(
+    lambda f: ins.insight_table(f).select("persona", "slot_type", "slot_id", "headline", "value", "comparison", "trend_direction", "status_color", "narrative",
+                                          F.col("last_refreshed").cast("date").alias("refreshed_on"), "fiscal_period_anchor", "filter_axis", "filter_value"))
+query("KP42_version", f"SELECT {ASOF} AS version FROM ({_IN1}) LIMIT 1")(
+    lambda f: ins.version(ins.insight_table(f)).select(F.col("version").cast("date").alias("version")))

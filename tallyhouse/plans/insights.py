@@ -8,6 +8,7 @@ from pyspark.sql.types import DateType, IntegerType, StringType, StructField, St
 from tallyhouse.functions import kpi_text
 from tallyhouse.plans import kpis
 from tallyhouse.plans.firm import Firm
+from tallyhouse.sources.sinks import add_columns, backfill, empty_shell, nullable
 
 _KEYS = [("persona", StringType()), ("slot_type", StringType()), ("slot_id", IntegerType())]
 _TEXT = ["parent_slot_type", "headline", "value", "comparison", "trend", "trend_direction", "status_color", "narrative", "question_text", "routed_subqueries",
@@ -78,3 +79,16 @@ def children(df: DataFrame, key: list[str], slot: str, parent: str, take: list[s
     """Each row that has a parent, with the parent's columns."""
     up = df.select(*key, F.col(slot).alias(parent), *[F.col(c).alias(f"parent_{c}") for c in take])
     return df.where(F.col(parent).isNotNull()).join(up, [*key, parent])
+
+
+def insight_table(firm: Firm) -> DataFrame:
+    """The store with its full fixed schema: an empty shell, the KPI rows of the last complete month, and slice columns
+    back-filled to the whole firm where a writer left them out."""
+    stamp = F.lit(firm.as_of).cast("timestamp")
+    rows = kpi_insights(firm).withColumn("last_refreshed", stamp).withColumn("fiscal_period_anchor", F.lit(firm.periods.month(1)))
+    return backfill(add_columns(empty_shell(firm.spark, nullable(SCHEMA)), rows), FIRMWIDE)
+
+
+def version(insights: DataFrame) -> DataFrame:
+    """Newest refresh: what a reader compares to know whether its copy is stale."""
+    return insights.agg(F.max("last_refreshed").alias("version"))
