@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tallyhouse.llm.common import table
 from tallyhouse.llm.exact_dedup import exact_dedup
+from tallyhouse.llm.html_extraction import extract
+from tallyhouse.llm.multi_index_hashing import search
 from tallyhouse.llm.packing import pack
 
 
@@ -21,6 +23,14 @@ def op3_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return exact_dedup(table(spark, folder, "documents")).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
+def op4_multi_index_hashing(spark: SparkSession, folder: str) -> DataFrame:
+    return search(table(spark, folder, "embeddings"), every=50, k=5)
+
+
+def op9_html_extraction(spark: SparkSession, folder: str) -> DataFrame:
+    return extract(table(spark, folder, "pages")).withColumn("n_chars", F.char_length("text").cast("bigint"))
+
+
 OP3_SQL = r"""
 WITH d AS (
   SELECT doc_id, length(coalesce(text, '')) AS n, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g')) AS text_sha256
@@ -36,6 +46,8 @@ FROM d WINDOW w AS (PARTITION BY text_sha256 ORDER BY n DESC, doc_id)
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_packing": op2_packing,
     "op3_exact_dedup": op3_exact_dedup,
+    "op4_multi_index_hashing": op4_multi_index_hashing,
+    "op9_html_extraction": op9_html_extraction,
 }
 
 CHECKS: dict[str, str] = {
