@@ -70,3 +70,13 @@ def fresh(df: DataFrame, *wanted: str) -> list[str]:
         taken.add(name.lower())
         out.append(name)
     return out
+
+
+def labelled_sample(labels: DataFrame, label_col: str, trains: Column, per_class: int, id_col: str = "doc_id") -> DataFrame:
+    """(id, y): at most ``per_class`` labelled ids of each class, least by a hash of the id; ``trains`` says which ids may be used.
+
+    A row whose label is null or neither 0 nor 1 is not labelled; an id with both labels has label 1.
+    """
+    one = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isin(0, 1) & trains).groupBy(id_col).agg(F.max(label_col).cast("int").alias("y"))
+    least = [one.where(F.col("y") == y).orderBy(F.xxhash64(id_col), id_col).limit(per_class) for y in (0, 1)]
+    return least[0].unionByName(least[1])

@@ -7,7 +7,8 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tallyhouse.llm.common import table
+from tallyhouse.llm import quality_gam, toxicity
+from tallyhouse.llm.common import crc_fold, table
 from tallyhouse.llm.exact_dedup import exact_dedup
 from tallyhouse.llm.html_extraction import extract
 from tallyhouse.llm.multi_index_hashing import search
@@ -27,6 +28,18 @@ def op4_multi_index_hashing(spark: SparkSession, folder: str) -> DataFrame:
     return search(table(spark, folder, "embeddings"), every=50, k=5)
 
 
+def op5_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    docs, held = table(spark, folder, "documents"), crc_fold("doc_id", 5) == 0
+    model = toxicity.fit(docs, table(spark, folder, "labels"), ~held)
+    return toxicity.score(docs, model, keep=["doc_id"]).select("doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+def op7_quality_gam(spark: SparkSession, folder: str) -> DataFrame:
+    docs, held = table(spark, folder, "documents"), crc_fold("doc_id", 3) == 1
+    model = quality_gam.fit(docs, table(spark, folder, "labels"), ~held)
+    return quality_gam.score(docs, model, keep=["doc_id"]).select("doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op9_html_extraction(spark: SparkSession, folder: str) -> DataFrame:
     return extract(table(spark, folder, "pages")).withColumn("n_chars", F.char_length("text").cast("bigint"))
 
@@ -47,6 +60,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_packing": op2_packing,
     "op3_exact_dedup": op3_exact_dedup,
     "op4_multi_index_hashing": op4_multi_index_hashing,
+    "op5_toxicity": op5_toxicity,
+    "op7_quality_gam": op7_quality_gam,
     "op9_html_extraction": op9_html_extraction,
 }
 
