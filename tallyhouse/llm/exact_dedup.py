@@ -23,7 +23,7 @@ TRACKED = 16384
 WINNERS = 1024
 #: a text with fewer copies than this is not worth a broadcast row
 FREQUENT = 32
-#: partial sketches are first merged in so many tasks
+#: sketches are merged in so many tasks; their leading counts are then added
 MERGES = 64
 
 
@@ -37,8 +37,9 @@ def with_digest(docs: DataFrame, text_col: str = "text") -> DataFrame:
 def frequent_keys(keys: DataFrame, tracked: int = TRACKED, most: int = WINNERS, least: int = FREQUENT) -> DataFrame:
     """At most ``most`` values of ``_key`` that a Misra-Gries sketch finds at least ``least`` times."""
     parts = keys.groupBy((F.spark_partition_id() % MERGES).alias("_part")).agg(F.expr(f"approx_top_k_accumulate(_key, {tracked})").alias("sketch"))
-    return (parts.agg(F.expr(f"approx_top_k_estimate(approx_top_k_combine(sketch, {tracked}), {most})").alias("top"))
-            .select(F.explode("top").alias("top")).where(F.col("top.count") >= least).select(F.col("top.item").alias("_key")))
+    tops = parts.select(F.explode(F.expr(f"approx_top_k_estimate(sketch, {most})")).alias("top"))
+    counts = tops.groupBy(F.col("top.item").alias("_key")).agg(F.sum("top.count").alias("n")).where(F.col("n") >= least)
+    return counts.orderBy(F.desc("n"), "_key").limit(most).select("_key")
 
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
