@@ -1,21 +1,21 @@
 """Toxicity by class-conditional Kneser-Ney models.
 
-Two bigram models, of toxic and of ordinary documents, share their lowest order: how many kinds of
-words come before a word anywhere in the corpus. An expression that a class has hardly seen falls
-back to that shared distribution, where both classes agree, so rare expressions weigh little. A
-document's evidence is the difference of its two log-likelihoods divided by its number of words; a
-logistic curve, fitted on labelled documents that the models have not counted, turns it into a score.
+Two character models spell the words of toxic and of ordinary documents: how likely a letter is after
+up to ``ORDER`` - 1 others of its word. Both back off to one shared distribution after three letters,
+which counts every distinct word of the corpus once (what Kneser and Ney call continuations), so a
+spelling that neither class has seen often has the same back-off in both and weighs little. A document's evidence is the
+difference of its two log-likelihoods divided by its number of words; a logistic curve, fitted on
+labelled documents that the models have not counted, turns it into a score.
 
 Class counts come from a bounded sample of labelled documents (``PER_CLASS`` of each class, least by
-a hash of the id). The shared counts cover every word of every document and grow with the corpus;
-left neighbours are told apart in 64 classes, so that a count is a bit mask that partial aggregation
-merges. The broadcast model holds at most ``WORDS`` words and ``PAIRS`` pairs, the most frequent of
-the sample; all others are rare expressions. Scoring reads whole texts, one after the other.
-
-Defined results: a null or empty text, or one without words, has no evidence and gets the score of
-evidence 0. Without a labelled document of each class every score is 0.5 less a hair, so nothing is
-rejected. Repeated rows are scored each. An empty table gives no rows. Extra columns pass through;
-``score`` and ``evidence`` replace columns of the same name.
+a hash of the id). The shared counts cover the words of every document and grow with the corpus. The
+broadcast model holds at most ``GRAMS`` spellings and as many contexts, the most frequent of the
+sample; others are rare. Whole texts are scored, each distinct word once in a worker.
+
+Defined results: a null or empty text, or one without words, has evidence 0. Without a labelled
+document of each class every score is just below 0.5, so nothing is rejected. Repeated rows are
+scored each. An empty table gives no rows. Extra columns pass through; ``score`` and ``evidence``
+replace columns of the same name.
 """
 
 from __future__ import annotations
@@ -24,24 +24,24 @@ import math
 import re
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass
-from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tallyhouse.llm.common import crc_fold, fresh, labelled_sample
+from tallyhouse.llm.common import fresh, labelled_sample
 
 #: labelled documents of each class that are counted or calibrated on, at most
 PER_CLASS = 8_000
 #: one in so many of them calibrates and is not counted
 HELD = 5
-#: words and pairs of words in the model, at most; pairs seen less often in the sample are rare
-WORDS, PAIRS, LEAST = 300_000, 300_000, 3
+#: letters of a spelling, the last included; letters of a shared one
+ORDER, SHARED = 8, 4
+#: spellings, contexts and shared spellings in the model, at most; spellings seen less often in the sample are rare
+GRAMS, LEAST = 300_000, 3
 DISCOUNT = 0.75
-#: counts leave a task when it holds so many different words or pairs
-FLUSH = 400_000
+#: counts leave a task when it holds so many different words or spellings; a worker keeps the values of so many words
+FLUSH, KNOWN = 400_000, 500_000
 WORD = re.compile(r"[^\W_]+")
 
 
@@ -49,36 +49,45 @@ def words_of(text: str) -> list[str]:
     return WORD.findall(text.lower())
 
 
-@dataclass
+def spellings(word: str, order: int) -> list[str]:
+    """Each letter with up to ``order`` - 1 letters before it; ^ starts and $ ends a word."""
+    w = f"^{word}$"
+    return [w[max(0, i + 1 - order):i + 1] for i in range(1, len(w))]
+
+
 class Model:
-    words: dict[str, int]
-    single: np.ndarray  # difference of log-probabilities of each word; the last is that of any other word
-    behind: np.ndarray  # difference of log back-off weights behind each word; the last is 0
-    pairs: np.ndarray  # sorted keys first * (words + 1) + second
-    pair: np.ndarray
-    slope: float = 0.0
-    offset: float = -1e-6
+    """Log-likelihood differences: of known spellings, and of back-off from known contexts."""
+
+    def __init__(self, grams: dict[str, float], contexts: dict[str, float], slope: float = 0.0, offset: float = -1e-6):
+        self.grams, self.contexts, self.slope, self.offset = grams, contexts, slope, offset
+        self.known: dict[str, float] = {}
+
+    def __getstate__(self):
+        return self.__dict__ | {"known": {}}
+
+    def word(self, word: str) -> float:
+        value = self.known.get(word)
+        if value is None:
+            grams, contexts = self.grams, self.contexts
+            value = 0.0
+            for g in spellings(word, ORDER):
+                v = grams.get(g)
+                value += contexts.get(g[:-1], 0.0) if v is None else v
+            if len(self.known) < KNOWN:
+                self.known[word] = value
+        return value
 
     def evidence(self, text: str) -> float:
         """Difference of the log-likelihoods for each word."""
-        other = len(self.words)
-        ids = np.fromiter((self.words.get(w, other) for w in words_of(text)), np.int64)
-        if not len(ids):
-            return 0.0
-        first, second = ids[:-1], ids[1:]
-        value = self.behind[first] + self.single[second]
-        if len(self.pairs) and len(first):
-            key = first * (other + 1) + second
-            at = np.minimum(np.searchsorted(self.pairs, key), len(self.pairs) - 1)
-            value = np.where(self.pairs[at] == key, self.pair[at], value)
-        return float((self.single[ids[0]] + value.sum()) / len(ids))
+        words = words_of(text)
+        return math.fsum(map(self.word, words)) / len(words) if words else 0.0
 
     def score(self, evidence: float) -> float:
         return 1 / (1 + math.exp(-max(-500.0, min(500.0, self.slope * evidence + self.offset))))
 
 
 def _count_sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(text, y) -> counts of words and of pairs, by class."""
+    """(text, y) -> counts of spellings by class."""
     counts: tuple[Counter, Counter] = (Counter(), Counter())
 
     def flush() -> pa.RecordBatch:
@@ -89,45 +98,68 @@ def _count_sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         return pa.RecordBatch.from_arrays(rows, ["gram", "ordinary", "toxic"])
 
     for batch in batches:
+        words: tuple[Counter, Counter] = (Counter(), Counter())
         for text, y in zip(batch.column(0), batch.column(1).to_pylist()):
-            words = words_of(text.as_py() or "")
-            counts[y].update(words)
-            counts[y].update(map(" ".join, zip(words, words[1:])))
-            if len(counts[0]) + len(counts[1]) > FLUSH:
-                yield flush()
+            words[y].update(words_of(text.as_py() or ""))
+        for y in (0, 1):
+            for word, n in words[y].items():
+                for g in spellings(word, ORDER):
+                    counts[y][g] += n
+                if len(counts[y]) > FLUSH:
+                    yield flush()
     yield flush()
 
 
-def _count_corpus(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """text -> each word with the classes of words met before it, as a mask of 64 bits."""
-    ids: dict[str, int] = {}
-    kinds, masks = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.uint64)
+def _distinct_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    seen: set[str] = set()
+    for batch in batches:
+        for text in batch.column(0):
+            seen.update(words_of(text.as_py() or ""))
+            if len(seen) > FLUSH:
+                yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string())], ["word"])
+                seen.clear()
+    yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string())], ["word"])
 
-    def flush() -> Iterator[pa.RecordBatch]:
-        n = len(ids)
-        words, bits = list(ids), masks[:n].view(np.int64)
-        for at in range(0, n, 50_000):
-            yield pa.RecordBatch.from_arrays([pa.array(words[at:at + 50_000], pa.string()), pa.array(bits[at:at + 50_000])], ["word", "before"])
-        ids.clear()
-        masks[:] = 0
 
+def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Distinct words -> counts of shared spellings."""
+    counts: Counter = Counter()
+    flush = lambda: pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], ["gram", "n"])
     for batch in batches:
-        for text in batch.column(0):
-            words = words_of(text.as_py() or "")
-            own = np.fromiter((ids.setdefault(w, len(ids)) for w in words), np.int64)
-            if len(ids) > len(kinds):
-                kinds, masks = np.resize(kinds, 2 * len(ids)), np.concatenate([masks, np.zeros(2 * len(ids) - len(masks), np.uint64)])
-            if len(words):
-                new = np.flatnonzero(kinds[own] == 0)
-                for i in new.tolist():
-                    kinds[own[i]] = 1 + crc32(words[i].encode()) % 64
-                left = np.concatenate(([0], kinds[own[:-1]] - 1))  # the start of a text is of class 0
-                np.bitwise_or.at(masks, own, np.left_shift(np.uint64(1), left.astype(np.uint64)))
-            if len(ids) > FLUSH:
-                yield from flush()
-                kinds[:] = 0
-    if ids:
-        yield from flush()
+        for word in batch.column(0).to_pylist():
+            counts.update(spellings(word, SHARED))
+        if len(counts) > FLUSH:
+            yield flush()
+            counts.clear()
+    yield flush()
+
+
+def shared_model(counts: dict[str, int]):
+    """P(letter | up to three letters before it), lower orders by continuations."""
+    tables: list[Counter] = [Counter(counts)]
+    while len(tables) < SHARED:
+        lower: Counter = Counter()
+        for g in tables[-1]:
+            if len(g) > 1:
+                lower[g[1:]] += 1
+        tables.append(lower)
+    sums = [(Counter(), Counter()) for _ in tables]
+    for (total, kinds), table in zip(sums, tables):
+        for g, n in table.items():
+            total[g[:-1]] += n
+            kinds[g[:-1]] += 1
+    letters = len({g[-1] for g in counts}) + 1
+
+    def p(gram: str, level: int) -> float:
+        if level == len(tables) or not gram[:-1] and level < len(tables) - 1:
+            return 1 / letters
+        total, kinds = sums[level]
+        h, below = gram[:-1], p(gram[1:] if len(gram) > 1 else gram, level + 1)
+        if not total[h]:
+            return below
+        return (max(tables[level][gram] - DISCOUNT, 0) + DISCOUNT * kinds[h] * below) / total[h]
+
+    return lambda gram: p(gram[-SHARED:], 0)
 
 
 def fit(docs: DataFrame, labels: DataFrame, trains: Column, label_col: str = "toxic", id_col: str = "doc_id", text_col: str = "text", per_class: int = PER_CLASS) -> Model:
@@ -139,48 +171,47 @@ def fit(docs: DataFrame, labels: DataFrame, trains: Column, label_col: str = "to
 
     grams = texts.where(~held).select("text", "y").mapInArrow(_count_sample, "gram string, ordinary bigint, toxic bigint").groupBy("gram").agg(
         F.sum("ordinary").alias("o"), F.sum("toxic").alias("t")).persist()
-    is_pair = F.col("gram").contains(" ")
-    total = grams.where(~is_pair).agg(*[f.alias(n) for c in "ot" for f, n in ((F.sum(c), f"n_{c}"), (F.sum((F.col(c) > 0).cast("long")), f"types_{c}"))]).first()
-    if not (total and total.n_o and total.n_t):
+    seen = grams.agg(F.sum("o").alias("o"), F.sum("t").alias("t")).first()
+    if not (seen.o and seen.t):
         grams.unpersist()
-        return Model({}, np.zeros(1), np.zeros(1), np.zeros(0, np.int64), np.zeros(0))
-    follow = grams.where(is_pair).groupBy(F.substring_index("gram", " ", 1).alias("gram")).agg(F.sum((F.col("o") > 0).cast("long")).alias("f_o"), F.sum((F.col("t") > 0).cast("long")).alias("f_t"))
-    top = grams.where(~is_pair).orderBy(F.desc(F.col("o") + F.col("t")), "gram").limit(WORDS).join(follow, "gram", "left").fillna(0)
-
-    shared = docs.select(F.col(text_col).alias("text")).mapInArrow(_count_corpus, "word string, before bigint").groupBy("word").agg(F.bit_count(F.bit_or("before")).cast("long").alias("n")).persist()
-    kinds = shared.agg(F.sum("n")).first()[0]
-    known = top.join(shared.withColumnRenamed("word", "gram"), "gram", "left").fillna(1, ["n"]).toPandas().sort_values("gram", ignore_index=True)
-    common = grams.where(is_pair & (F.col("o") + F.col("t") >= LEAST)).orderBy(F.desc(F.col("o") + F.col("t")), "gram").limit(PAIRS).toPandas()
+        return Model({}, {})
+    n = F.col("o") + F.col("t")
+    contexts = grams.groupBy(F.expr("substring(gram, 1, char_length(gram) - 1)").alias("h")).agg(
+        *[f.alias(name) for c in "ot" for f, name in ((F.sum(c), c), (F.sum((F.col(c) > 0).cast("long")), f"kinds_{c}"))])
+    contexts = contexts.where(n >= LEAST).orderBy(F.desc(n), "h").limit(GRAMS).toPandas()
+    known = grams.where(n >= LEAST).orderBy(F.desc(n), "gram").limit(GRAMS).toPandas()
     grams.unpersist()
-    shared.unpersist()
 
-    words = {w: i for i, w in enumerate(known.gram)}
-    base, single, behind, prob = known.n.to_numpy(float) / kinds, {}, {}, {}
-    for c in "ot":
-        count, n, types = known[c].to_numpy(float), total[f"n_{c}"], total[f"types_{c}"]
-        weight = DISCOUNT * types / n
-        prob[c] = np.maximum(count - DISCOUNT, 0) / n + weight * base
-        single[c] = np.log(np.append(prob[c], weight))
-        behind[c] = np.append(np.where(count > 0, np.maximum(DISCOUNT * known[f"f_{c}"].to_numpy(float), 1e-9) / np.maximum(count, 1), 1.0), 1.0)
-        behind[c] = np.clip(behind[c], 1e-3, 1.0)
-    a = np.array([words.get(g.partition(" ")[0], -1) for g in common.gram], np.int64)
-    b = np.array([words.get(g.partition(" ")[2], -1) for g in common.gram], np.int64)
-    there = (a >= 0) & (b >= 0)
-    a, b, pair = a[there], b[there], {}
-    for c in "ot":
-        context = np.maximum(known[c].to_numpy(float)[a], 1)
-        pair[c] = np.log(np.maximum(common[c].to_numpy(float)[there] - DISCOUNT, 0) / context + behind[c][a] * prob[c][b])
-    key = a * (len(words) + 1) + b
-    order = np.argsort(key)
-    model = Model(words, single["t"] - single["o"], np.log(behind["t"]) - np.log(behind["o"]), key[order], (pair["t"] - pair["o"])[order])
-
-    sent = spark.sparkContext.broadcast(model)
+    words = docs.select(F.col(text_col).alias("text")).mapInArrow(_distinct_words, "word string").distinct()
+    shared = words.mapInArrow(_count_words, "gram string, n bigint").groupBy("gram").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "gram").limit(GRAMS)
+    base = shared_model({r.gram: r.n for r in shared.collect()})
+    sent = spark.sparkContext.broadcast(Model(*differences(contexts, known, base)))
     seen = texts.where(held).select("text", "y").mapInArrow(lambda b: _evidence(sent, b), "y int, evidence double").toPandas()
     every = {r.y: r.n for r in labels.where(trains).groupBy(F.col(label_col).alias("y")).agg(F.count(F.lit(1)).alias("n")).collect()}
+    model = sent.value
     model.slope, model.offset = calibrate(seen.evidence.to_numpy(), seen.y.to_numpy(), every)
     return model
 
 
+def differences(contexts, known, base) -> tuple[dict[str, float], dict[str, float]]:
+    """Of known spellings and of back-off behind known contexts: log-probability if toxic less that if ordinary."""
+    weight, total = {}, {}
+    for c in "ot":
+        n = contexts[c].to_numpy(float)
+        weight[c] = np.where(n > 0, DISCOUNT * contexts[f"kinds_{c}"].to_numpy(float) / np.maximum(n, 1), 1.0)
+        total[c] = n
+    behind = dict(zip(contexts.h, np.log(weight["t"]) - np.log(weight["o"])))
+    row = {h: i for i, h in enumerate(contexts.h)}
+    grams = {}
+    for gram, o, t in zip(known.gram, known.o, known.t):
+        i = row.get(gram[:-1])
+        if i is not None:
+            b = base(gram)
+            p = [max(n - DISCOUNT, 0) / max(total[c][i], 1) + weight[c][i] * b for c, n in (("o", o), ("t", t))]
+            grams[gram] = math.log(p[1]) - math.log(p[0])
+    return grams, behind
+
+
 def calibrate(evidence: np.ndarray, y: np.ndarray, every: dict[int, int]) -> tuple[float, float]:
     """Slope and offset of a logistic curve; classes weigh as often as they are labelled."""
     n1, n0 = max(int((y == 1).sum()), 1), max(int((y == 0).sum()), 1)
@@ -222,7 +253,3 @@ def score(docs: DataFrame, model: Model, text_col: str = "text", keep: list[str]
     rows = docs.select(*keep, F.col(text_col).alias(text))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1])
     return rows.mapInArrow(lambda b: _scores(sent, b), f"{schema}{', ' if keep else ''}evidence double, score double")
-
-
-def held_out(folds: int, fold: int, id_col: str = "doc_id") -> Column:
-    return crc_fold(id_col, folds) == fold
