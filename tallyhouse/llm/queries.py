@@ -11,10 +11,16 @@ from tallyhouse.llm import quality_gam, toxicity
 from tallyhouse.llm.common import crc_fold, table
 from tallyhouse.llm.exact_dedup import exact_dedup
 from tallyhouse.llm.html_extraction import extract
+from tallyhouse.llm.mixing import mix
 from tallyhouse.llm.multi_index_hashing import search
 from tallyhouse.llm.packing import pack
 
 
+def op1_mixing(spark: SparkSession, folder: str) -> DataFrame:
+    """Every use of every document at 95 % of the largest entropy, no source repeated more than four times."""
+    return mix(table(spark, folder, "documents"), entropy=0.95, repeats=4.0).select("doc_id", "source", "tokens", "block", "place", F.round("weight", 9).alias("weight"))
+
+
 def op2_packing(spark: SparkSession, folder: str) -> DataFrame:
     pieces = pack(table(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "bucket")
@@ -44,6 +50,47 @@ def op9_html_extraction(spark: SparkSession, folder: str) -> DataFrame:
     return extract(table(spark, folder, "pages")).withColumn("n_chars", F.char_length("text").cast("bigint"))
 
 
+OP1_SQL = r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS tokens FROM documents),
+s AS (SELECT source, sum(tokens)::BIGINT AS all_tokens, sum(tokens)::DOUBLE / (SELECT sum(tokens)::DOUBLE FROM d) AS share FROM d GROUP BY source),
+l AS (SELECT list(share) AS p, count(*) AS n FROM s),
+-- largest exponent whose entropy is at least 95 % of ln n; then the smallest at which no source is repeated more than 4 times
+h AS (
+  SELECT 0 AS i, 0.0::DOUBLE AS lo, 1.0::DOUBLE AS hi
+  UNION ALL
+  SELECT i + 1, CASE WHEN ok THEN mid ELSE lo END, CASE WHEN ok THEN hi ELSE mid END
+  FROM (SELECT i, lo, hi, (lo + hi) / 2 AS mid,
+               ln(list_sum(list_transform(p, lambda x: pow(x, (lo + hi) / 2))))
+               - list_sum(list_transform(p, lambda x: pow(x, (lo + hi) / 2) * ((lo + hi) / 2) * ln(x))) / list_sum(list_transform(p, lambda x: pow(x, (lo + hi) / 2)))
+               >= 0.95 * ln(n) AS ok
+        FROM h, l WHERE i < 32)),
+r AS (
+  SELECT 0 AS i, 0.0::DOUBLE AS lo, 1.0::DOUBLE AS hi
+  UNION ALL
+  SELECT i + 1, CASE WHEN over THEN mid ELSE lo END, CASE WHEN over THEN hi ELSE mid END
+  FROM (SELECT i, lo, hi, (lo + hi) / 2 AS mid,
+               list_max(list_transform(p, lambda x: pow(x, (lo + hi) / 2) / x)) / list_min(list_transform(p, lambda x: pow(x, (lo + hi) / 2) / x)) > 4 AS over
+        FROM r, l WHERE i < 32)),
+e AS (
+  SELECT greatest(
+    CASE WHEN list_sum(list_transform(p, lambda x: -x * ln(x))) >= 0.95 * ln(n) THEN 1.0 ELSE (SELECT lo FROM h WHERE i = 32) END,
+    CASE WHEN list_max(p) / list_min(p) <= 4 THEN 0.0 ELSE (SELECT hi FROM r WHERE i = 32) END) AS x
+  FROM l),
+w AS (
+  SELECT source, all_tokens, pow(share, x) / sum(pow(share, x)) OVER () AS weight,
+         greatest(all_tokens, round(pow(share, x) / sum(pow(share, x)) OVER () * (max(share / pow(share, x)) OVER () * sum(pow(share, x)) OVER () * sum(all_tokens) OVER ()))::BIGINT) AS budget
+  FROM s, e),
+b AS (SELECT *, ceil(budget / all_tokens)::INT AS blocks FROM w),
+u AS (
+  SELECT d.doc_id, d.source, tokens, all_tokens, budget, blocks, weight, block::INT AS block, md5(d.doc_id || ':' || block) AS o
+  FROM d JOIN b USING (source), unnest(range(blocks)) AS t(block)),
+f AS (SELECT *, sum(tokens) OVER (PARTITION BY source, block ORDER BY o) - tokens / 2 AS middle FROM u)
+SELECT doc_id, source, tokens, block, (block + ('0x' || o[1:12])::BIGINT::DOUBLE / 281474976710656.0::DOUBLE) / (CASE WHEN budget < blocks * all_tokens THEN budget / all_tokens ELSE blocks::DOUBLE END) AS place,
+       round(weight, 9) AS weight
+FROM f WHERE block < blocks - 1 OR budget = blocks * all_tokens OR middle <= budget - (blocks - 1) * all_tokens
+"""
+
 OP3_SQL = r"""
 WITH d AS (
   SELECT doc_id, length(coalesce(text, '')) AS n, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g')) AS text_sha256
@@ -57,6 +104,7 @@ FROM d WINDOW w AS (PARTITION BY text_sha256 ORDER BY n DESC, doc_id)
 """
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_mixing": op1_mixing,
     "op2_packing": op2_packing,
     "op3_exact_dedup": op3_exact_dedup,
     "op4_multi_index_hashing": op4_multi_index_hashing,
@@ -66,5 +114,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 CHECKS: dict[str, str] = {
+    "op1_mixing": OP1_SQL,
     "op3_exact_dedup": OP3_SQL,
 }
