@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tallyhouse.llm import quality_gam, toxicity
+from tallyhouse.llm import quality_gam, seed_extend, suffix_array, toxicity
 from tallyhouse.llm.common import crc_fold, table
 from tallyhouse.llm.exact_dedup import exact_dedup
 from tallyhouse.llm.html_extraction import extract
@@ -46,10 +46,20 @@ def op7_quality_gam(spark: SparkSession, folder: str) -> DataFrame:
     return quality_gam.score(docs, model, keep=["doc_id"]).select("doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op8_seed_extend(spark: SparkSession, folder: str) -> DataFrame:
+    got = seed_extend.deduplicate(table(spark, folder, "documents"))
+    return got.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
+
+
 def op9_html_extraction(spark: SparkSession, folder: str) -> DataFrame:
     return extract(table(spark, folder, "pages")).withColumn("n_chars", F.char_length("text").cast("bigint"))
 
 
+def op10_suffix_array(spark: SparkSession, folder: str) -> DataFrame:
+    got = suffix_array.deduplicate(table(spark, folder, "documents"))
+    return got.select("doc_id", "n_bytes", "n_removed", (F.size("spans") / 2).cast("bigint").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 OP1_SQL = r"""
 WITH RECURSIVE d AS (
   SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS tokens FROM documents),
@@ -110,7 +120,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_multi_index_hashing": op4_multi_index_hashing,
     "op5_toxicity": op5_toxicity,
     "op7_quality_gam": op7_quality_gam,
+    "op8_seed_extend": op8_seed_extend,
     "op9_html_extraction": op9_html_extraction,
+    "op10_suffix_array": op10_suffix_array,
 }
 
 CHECKS: dict[str, str] = {
