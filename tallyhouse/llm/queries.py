@@ -14,6 +14,7 @@ from tallyhouse.llm.html_extraction import extract
 from tallyhouse.llm.mixing import mix
 from tallyhouse.llm.multi_index_hashing import search
 from tallyhouse.llm.packing import pack
+from tallyhouse.llm.partenum import similar_components
 
 
 def op1_mixing(spark: SparkSession, folder: str) -> DataFrame:
@@ -40,6 +41,10 @@ def op5_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     return toxicity.score(docs, model, keep=["doc_id"]).select("doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op6_partenum(spark: SparkSession, folder: str) -> DataFrame:
+    return similar_components(table(spark, folder, "documents")).select("doc_id", "n_shingles", "component_id", "n_links")
+
+
 def op7_quality_gam(spark: SparkSession, folder: str) -> DataFrame:
     docs, held = table(spark, folder, "documents"), crc_fold("doc_id", 3) == 1
     model = quality_gam.fit(docs, table(spark, folder, "labels"), ~held)
@@ -119,6 +124,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_exact_dedup": op3_exact_dedup,
     "op4_multi_index_hashing": op4_multi_index_hashing,
     "op5_toxicity": op5_toxicity,
+    "op6_partenum": op6_partenum,
     "op7_quality_gam": op7_quality_gam,
     "op8_seed_extend": op8_seed_extend,
     "op9_html_extraction": op9_html_extraction,
