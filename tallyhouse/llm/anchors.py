@@ -4,10 +4,9 @@ A text is a row of units. Every window of ``threshold`` units has one anchor: th
 ``gram``-unit sequences inside it. Equal windows have equal anchors, so an anchor that occurs once
 in the corpus rules out a repeat for all of its windows.
 
-How anchors are dealt out: a task works on chunks of texts. An anchor that a chunk meets once goes to
-the anchor's own group. One that a chunk meets several times is known to repeat: it sends one row
-to that group, whatever its number of occurrences, and its texts are told at once. So no group
-holds more rows than there are chunks, however common a passage is.
+How anchors are dealt out: a task works on chunks of texts and sends one row for each anchor of a
+chunk, whatever its number of occurrences there. So no group holds more rows than there are chunks,
+however common a passage is.
 """
 
 from __future__ import annotations
@@ -17,6 +16,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window, functions as F
 
 from tallyhouse.llm.common import whole
@@ -164,20 +164,21 @@ class Chunk:
 def chunks(batches: Iterator[pa.RecordBatch], rule: Rule, column: int) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
     """Slices of the batches whose texts together have about ``rule.chunk`` bytes."""
     for batch in batches:
-        texts = [t.as_buffer().to_pybytes() if t.is_valid else b"" for t in batch.column(column).cast(pa.large_binary())]
-        at = size = 0
-        for i, t in enumerate(texts):
-            size += len(t)
-            if size >= rule.chunk or i + 1 == len(texts):
-                yield batch.slice(at, i + 1 - at), texts[at:i + 1]
-                at, size = i + 1, 0
+        sizes = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+        at = 0
+        while at < batch.num_rows:
+            done = sizes[at - 1] if at else 0
+            end = min(int(np.searchsorted(sizes, done + rule.chunk)) + 1, batch.num_rows)
+            part = batch.slice(at, end - at)
+            yield part, [t.as_buffer().to_pybytes() if t.is_valid else b"" for t in part.column(column)]
+            at = end
 
 
-SEEN = "deal bigint, anchor bigint, key bigint, kind int"
+SEEN = "anchor bigint, key bigint, keys array<bigint>"
 
 
 def _anchors(rule: Rule, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(text, key) -> anchors. Kind 0: met once here; 1: met several times here; 2: the text's share of such an anchor."""
+    """(text, key) -> one row for each anchor of a chunk: the key of a text that has it, or all keys if it was met several times."""
     for part, texts in chunks(batches, rule, 0):
         keys, own = np.unique(part.column(1).to_numpy(), return_index=True)  # one of each group of copies
         value, row = Chunk([texts[i] for i in own], rule).anchored()
@@ -187,12 +188,12 @@ def _anchors(rule: Rule, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Recor
         many = np.diff(np.append(start, len(value))) > 1
         told = np.repeat(many, np.diff(np.append(start, len(value))))
         told &= np.concatenate(([True], (value[1:] != value[:-1]) | (row[1:] != row[:-1]))) if len(value) else told
-        anchor = np.concatenate([value[start], value[told]]).view(np.int64)
-        key = np.concatenate([keys[row[start]], keys[row[told]]]) if len(value) else np.zeros(0, np.int64)
-        kind = np.concatenate([many.astype(np.int32), np.full(int(told.sum()), 2, np.int32)])
-        deal = np.where(kind < 2, anchor, scrambled(anchor.view(U) + key.view(U)).view(np.int64))
-        for i in range(0, len(deal), 100_000):
-            yield pa.RecordBatch.from_arrays([pa.array(x[i:i + 100_000]) for x in (deal, anchor, key, kind)], ["deal", "anchor", "key", "kind"])
+        # a null list where the anchor was met once
+        ends = np.cumsum(np.bincount(np.searchsorted(start, np.flatnonzero(told), side="right") - 1, minlength=len(start))) if len(start) else np.zeros(0, np.int64)
+        lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], ends)).astype(np.int32)), pa.array(keys[row[told]]), mask=pa.array(~many))
+        columns = [pa.array(value[start].view(np.int64)), pa.array(keys[row[start]] if len(start) else np.zeros(0, np.int64)), lists]
+        for i in range(0, len(start), 100_000):
+            yield pa.RecordBatch.from_arrays([x.slice(i, 100_000) for x in columns], ["anchor", "key", "keys"])
 
 
 def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -204,9 +205,9 @@ def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 def repeated_anchors(rows: DataFrame, rule: Rule) -> DataFrame:
     """(key, anchors, common): for each text, its anchors that occur twice in the corpus, and those met in very many chunks; copies of a text count once."""
     seen = rows.select("text", "key").mapInArrow(lambda b: _anchors(rule, b), SEEN)
-    by = Window.partitionBy("deal")
-    found = seen.select("*", F.min("key").over(by).alias("a"), F.max("key").over(by).alias("z"), F.max("kind").over(by).alias("k"), F.count(F.lit(1)).over(by).alias("n"))
-    hits = found.where((F.col("kind") != 1) & ((F.col("a") < F.col("z")) | (F.col("k") > 0)))
+    by = Window.partitionBy("anchor")
+    found = seen.select("*", F.min("key").over(by).alias("a"), F.max("key").over(by).alias("z"), F.max(F.col("keys").isNotNull()).over(by).alias("k"), F.count(F.lit(1)).over(by).alias("n"))
+    hits = found.where((F.col("a") < F.col("z")) | F.col("k")).select("anchor", "n", F.explode(F.coalesce("keys", F.array("key"))).alias("key"))
     return hits.groupBy("key").agg(F.collect_set("anchor").alias("anchors"), F.collect_set(F.when(F.col("n") > COMMON, F.col("anchor"))).alias("common"))
 
 

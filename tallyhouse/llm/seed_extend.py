@@ -28,7 +28,7 @@ from tallyhouse.llm.anchors import Chunk, Rule, chunks, copies_of, covered, firs
 from tallyhouse.llm.common import cut
 
 #: words of a repeat, words of an anchor, bytes of text worked on at once
-RULE = Rule(words=True, threshold=20, gram=5, chunk=4_000_000)
+RULE = Rule(words=True, threshold=20, gram=5, chunk=1_000_000)
 WORD = re.compile(r"[^ \t-\r]+")
 LEAST = -(1 << 63)
 
