@@ -104,7 +104,7 @@ T["r_staff"] = f"""SELECT s_suppkey, s_name, s_nationkey, r_name AS region, n_na
 T["r_lines"] = f"""SELECT concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey, CAST(CAST(l_shipdate AS DATE) AS VARCHAR)) AS line_id,
     l_orderkey, l_linenumber, l_partkey, l_suppkey, l_returnflag, l_linestatus, CAST(l_quantity AS DECIMAL(38,4)) AS qty,
     CAST(l_extendedprice AS DECIMAL(38,2)) AS price, CAST(l_discount AS DECIMAL(6,2)) AS discount, CAST(l_tax AS DECIMAL(6,2)) AS tax,
-    CAST(l_shipdate AS DATE) AS ship_date FROM lineitem WHERE CAST(l_shipdate AS DATE) <= {ASOF}"""
+    CAST(l_shipdate AS DATE) AS ship_date FROM lineitem"""
 
 T["r_accounts"] = f"""SELECT c_custkey AS account_id, CASE WHEN v = 0 THEN customer || ' (old)' ELSE customer END AS account_name, industry,
     {pick(['Enterprise', 'Mid-Market', 'Public'], 'c_custkey % 3')} AS account_type, CASE WHEN c_custkey % 7 = 0 THEN c_custkey // 7 END AS parent_account_id,
@@ -329,11 +329,11 @@ T["r_recv"] = f"""SELECT category, record_id, counterparty_name, invoice_number,
     LEFT JOIN (SELECT employee_id, full_name FROM r_current) lp ON lead_partner_id = lp.employee_id LEFT JOIN (SELECT employee_id, full_name FROM r_current) pm ON project_manager_id = pm.employee_id"""
 T["r_open"] = f"""SELECT snapshot_date, region, location, customer_name, amount, snapshot_date - invoice_date AS days_out
     FROM (SELECT last_day(CAST(m AS DATE)) AS snapshot_date FROM (SELECT unnest(generate_series({back(13)}, {back(1)}, INTERVAL 1 MONTH)) AS m))
-    JOIN r_ar ON invoice_date <= snapshot_date AND (payment_date IS NULL OR payment_date > snapshot_date) WHERE snapshot_date - invoice_date BETWEEN 0 AND 365"""
+    JOIN r_ar ON invoice_date <= snapshot_date AND (payment_date IS NULL OR payment_date > snapshot_date)"""
 T["r_snap"] = f"""SELECT x.snapshot_date, region, location, customer_name, aging_bucket, bal AS open_ar_balance, invoice_count, {rnd(div('bal_days', 'bal'), 1)} AS weighted_dso_days,
     {rnd(div('fd', 'fb'), 1)} AS firmwide_dso_days, fb AS firmwide_open_ar
-    FROM (SELECT snapshot_date, region, location, customer_name, {bucket_of('days_out')} AS aging_bucket, sum(amount) AS bal, sum(amount * days_out) AS bal_days, count(*) AS invoice_count FROM r_open GROUP BY ALL) x
-    JOIN (SELECT snapshot_date, sum(amount) AS fb, sum(amount * days_out) AS fd FROM r_open GROUP BY 1) f ON x.snapshot_date = f.snapshot_date"""
+    FROM (SELECT snapshot_date, region, location, customer_name, {bucket_of('days_out')} AS aging_bucket, sum(amount) AS bal, sum(amount * days_out) AS bal_days, count(*) AS invoice_count FROM (SELECT * FROM r_open WHERE days_out BETWEEN 0 AND 365) GROUP BY ALL) x
+    JOIN (SELECT snapshot_date, sum(amount) AS fb, sum(amount * days_out) AS fd FROM (SELECT * FROM r_open WHERE days_out BETWEEN 0 AND 365) GROUP BY 1) f ON x.snapshot_date = f.snapshot_date"""
 _con = "coalesce(total_contract_value, 0)"
 T["r_audit_base"] = f"""SELECT p.project_id, project_name, p.client_id, client_name, project_type, lead_partner_id, lp.full_name AS lead_partner_name, project_manager_id, pm.full_name AS project_manager_name, contract_id,
     contract_number, total_contract_value, planned_revenue, planned_hours, planned_cost, coalesce(hrs, 0) AS actual_hours, coalesce(bill, 0) AS actual_billed, coalesce(cost, 0) AS actual_time_cost,

@@ -56,18 +56,30 @@ _tok = lambda p: f"SELECT id, unnest(regexp_extract_all(text, '{p}')) AS raw FRO
 _unit = f"CASE upper(regexp_extract(raw, '{_m}', 2)) WHEN 'K' THEN 1e3 WHEN 'M' THEN 1e6 WHEN 'B' THEN 1e9 ELSE 1 END"
 query("CL1_claims", f"""SELECT * FROM (SELECT id, 'dollar' AS kind, raw, {_val('raw', _m)} * {_unit} AS value FROM ({_tok(_m)}) UNION ALL SELECT id, CASE WHEN raw LIKE '%\\%' ESCAPE '\\' THEN 'percent' ELSE 'points' END, raw, {_val('raw', _p)} FROM ({_tok(_p)})
     UNION ALL SELECT id, 'days', raw, {_val('raw', _d)} FROM ({_tok(_d)}) UNION ALL SELECT id, 'count', raw, {_val('raw', _n)} FROM ({_tok(_n)})) WHERE value IS NOT NULL""")(lambda f: cl.extract_claims(corpus(f)))
-query("CL2_parts_mismatch", "SELECT c AS id, n + 1 AS stated, n AS total, 'stated ' || (n + 1) || ', parts sum to ' || n AS message FROM r_note_parts WHERE c % 3 = 0")(
-    lambda f: cl.parts_mismatch(notes(f)).select("id", "stated", "total", "message"))
+_i = lambda p: "(?i)" + p.replace("'", "''")
+_change, _part = _i(cl.CHANGE_WITH_PARTS), cl.PART
+_parts = f"list_transform(regexp_extract_all(regexp_extract(snippet, '{_change}', 2), '{_part}', 1), lambda x: CAST(replace(x, ',', '') AS BIGINT))"
+_sum_parts = f"""SELECT id, stated, CAST(list_sum(parts) AS BIGINT) AS total, 'stated ' || stated || ', parts sum to ' || CAST(list_sum(parts) AS BIGINT) AS message
+    FROM (SELECT id, CAST(replace(regexp_extract(snippet, '{_change}', 1), ',', '') AS BIGINT) AS stated, {_parts} AS parts FROM (SELECT id, unnest(regexp_extract_all(text, '{_change}')) AS snippet FROM {_all})) WHERE len(parts) > 0 AND stated <> list_sum(parts)"""
+query("CL2_parts_mismatch", _sum_parts)(lambda f: cl.parts_mismatch(corpus(f)).select("id", "stated", "total", "message"))
 _fig = lambda n: f"(SELECT value FROM r_figures WHERE name = '{n}')"
-query("CL3_subset_exceeds_total", f"SELECT c AS id, 'low_utilization_employees' AS name, {dbl('c % 200')} AS value FROM r_note_parts WHERE c % 200 > {_fig('low_utilization_employees')} UNION ALL SELECT c, 'partners', {dbl('c % 40')} FROM r_note_parts WHERE c % 40 > {_fig('partners')}")(
-    lambda f: cl.subset_exceeds_total(notes(f), kpis.canonical_totals(f)).select("id", "name", "value"))
-query("CL4_scale_mismatch", f"SELECT c AS id, 'revenue_per_partner' AS name, {dbl('(c % 900 + 1) * 1000')} AS value FROM r_note_parts WHERE (c % 900 + 1) * 1000 / {_fig('revenue_per_partner')} < 0.1 OR (c % 900 + 1) * 1000 / {_fig('revenue_per_partner')} > 10")(
-    lambda f: cl.scale_mismatch(notes(f), kpis.canonical_totals(f)).select("id", "name", "value"))
-query("CL5_kpi_drift", f"SELECT c AS id, 'dso' AS name, c % 300 + 100.5::DOUBLE AS value FROM r_note_parts WHERE c % 4 <> 0 AND abs(c % 300 + 100.5::DOUBLE - {_fig('dso')}) / {_fig('dso')} > 0.02")(
-    lambda f: cl.kpi_drift(notes(f), kpis.canonical_totals(f), SCOPES).select("id", "name", "value"))
+_subset = " UNION ALL ".join(f"SELECT id, '{name}' AS name, value FROM (SELECT id, TRY_CAST(replace(unnest(regexp_extract_all(text, '{_i(p)}', 1)), ',', '') AS DOUBLE) AS value FROM {_all}) WHERE {_fig(name)} > 0 AND value > {_fig(name)}" for name, p in cl.SUBSETS.items())
+query("CL3_subset_exceeds_total", _subset)(lambda f: cl.subset_exceeds_total(corpus(f), kpis.canonical_totals(f)).select("id", "name", "value"))
+_per = _i(cl.PER_UNIT)
+_scale = f"""SELECT id, x.name, x.value FROM (SELECT id, 'revenue_per_' || lower(regexp_extract(raw, '{_per}', 3)) AS name, TRY_CAST(replace(regexp_extract(raw, '{_per}', 1), ',', '') AS DOUBLE)
+    * CASE upper(regexp_extract(raw, '{_per}', 2)) WHEN 'K' THEN 1e3 WHEN 'M' THEN 1e6 WHEN 'B' THEN 1e9 ELSE 1 END AS value FROM (SELECT id, unnest(regexp_extract_all(text, '{_per}')) AS raw FROM {_all})) x
+    JOIN r_figures g ON x.name = g.name WHERE x.value > 0 AND g.value > 0 AND (x.value / g.value < 0.1 OR x.value / g.value > 10)"""
+query("CL4_scale_mismatch", _scale)(lambda f: cl.scale_mismatch(corpus(f), kpis.canonical_totals(f)).select("id", "name", "value"))
+_days = _i(cl.NAMED_DAYS)
+_at = "coalesce(list_sum(list_transform(gaps[1:i + 1], lambda g: length(g))), 0) + coalesce(list_sum(list_transform(tokens[1:i], lambda t: length(t))), 0)"
+_drift = f"""SELECT id, 'dso' AS name, value FROM (SELECT id, TRY_CAST(replace(regexp_extract(tokens[i + 1], '{_days}', 1), ',', '') AS DOUBLE) AS value,
+    substring(text, greatest(pos - 80, 0) + 1, pos - greatest(pos - 80, 0)) || tokens[i + 1] || substring(text, pos + length(tokens[i + 1]) + 1, 80) AS around
+    FROM (SELECT *, CAST({_at} AS BIGINT) AS pos FROM (SELECT *, unnest(range(len(tokens))) AS i FROM (SELECT id, text, regexp_extract_all(text, '{_days}') AS tokens, string_split_regex(text, '{_days}') AS gaps FROM {_all}))))
+    WHERE NOT regexp_matches(around, '{cl.SCOPE}') AND {' AND '.join(f"NOT contains(around, '{s}')" for s in SCOPES)} AND {_fig('dso')} > 0 AND abs(value - {_fig('dso')}) / {_fig('dso')} > 0.02"""
+query("CL5_kpi_drift", _drift)(lambda f: cl.kpi_drift(corpus(f), kpis.canonical_totals(f), SCOPES).select("id", "name", "value"))
 _mv, _cv = f"CAST({_fx('m', 2)} AS DOUBLE) * 1e6", f"CAST({_fx('CASE WHEN c % 6 = 0 THEN m * 1.1 ELSE m END', 2)} AS DOUBLE) * 1e6"
 _kv = "CAST((c % 900 + 1) * 1000 AS DOUBLE)"
-_near = lambda a, b: f"({a} > 0 AND {b} > 0 AND (abs({a} - {b}) / greatest({a}, {b}) <= 0.005 OR (greatest({a}, {b}) < 100000 AND abs({a} - {b}) <= 1000)))"
+_near = lambda a, b: f"({a} > 0 AND {b} > 0 AND (abs({a} - {b}) / greatest({a}, {b}) <= 0.005 OR ({a} < 100000 AND abs({a} - {b}) <= 1000)))"
 _pv, _qv = f"CAST({_fx('p', 1)} AS DOUBLE)", f"CAST({_fx('CASE WHEN c % 7 = 0 THEN p + 5 ELSE p END', 1)} AS DOUBLE)"
 query("CL6_not_in_table", f"""SELECT c AS id, 'dollar' AS kind, {_mv} AS value FROM r_note_parts WHERE {_mv} >= 1000 AND NOT {_near(_mv, _cv)} UNION ALL SELECT c, 'dollar', {_kv} FROM r_note_parts WHERE {_kv} >= 1000 AND NOT {_near(_kv, _cv)}
     UNION ALL SELECT c, 'percent', {_pv} FROM r_note_parts WHERE NOT ({_pv} = 0 OR {_pv} = 100 OR ({_pv} = floor({_pv}) AND {_pv} < 10)) AND NOT abs({_pv} - {_qv}) <= 0.1""")(lambda f: cl.not_in_table(notes(f)).select("id", "kind", "value"))
@@ -111,6 +123,6 @@ def stored_rows(f):
 _told = "concat_ws(chr(10) || chr(10), {own} 'first ' || no_, CASE WHEN c % 2 = 0 THEN 'second ' || nf END)"
 _own = "'Head ' || c, CASE WHEN c % 5 <> 0 THEN '$' || n END,"
 query("CL10_gather_prose", f"SELECT 'admin' AS persona, CASE WHEN c % 3 = 0 THEN 'insight' ELSE 'bottom_chip' END AS slot_type, c AS slot_id, CASE WHEN c % 3 = 0 THEN {_told.format(own=_own)} ELSE {_told.format(own='')} END AS text FROM r_note_parts WHERE c % 3 <> 2")(lambda f: cl.gather_prose(stored_rows(f)))
-query("CL_audit_by_type", f"""SELECT 'sum_of_parts_mismatch' AS type, count(*) AS n FROM r_note_parts WHERE c % 3 = 0 UNION ALL SELECT 'subset_exceeds_total', count(*) FROM (SELECT c FROM r_note_parts WHERE c % 200 > {_fig('low_utilization_employees')} UNION ALL SELECT c FROM r_note_parts WHERE c % 40 > {_fig('partners')})
-    UNION ALL SELECT 'scale_mismatch', count(*) FROM r_note_parts WHERE (c % 900 + 1) * 1000 / {_fig('revenue_per_partner')} < 0.1 OR (c % 900 + 1) * 1000 / {_fig('revenue_per_partner')} > 10
-    UNION ALL SELECT 'kpi_drift', count(*) FROM r_note_parts WHERE c % 4 <> 0 AND abs(c % 300 + 100.5::DOUBLE - {_fig('dso')}) / {_fig('dso')} > 0.02""")(lambda f: cl.audit(notes(f), kpis.canonical_totals(f), SCOPES).groupBy("type").agg(F.count(F.lit(1)).alias("n")))
+query("CL_audit_by_type", " UNION ALL ".join(f"SELECT '{t}' AS type, count(*) AS n FROM ({q}) HAVING count(*) > 0" for t, q in (
+    ("sum_of_parts_mismatch", _sum_parts), ("subset_exceeds_total", _subset), ("scale_mismatch", _scale), ("kpi_drift", _drift))))(
+    lambda f: cl.audit(corpus(f), kpis.canonical_totals(f), SCOPES).groupBy("type").agg(F.count(F.lit(1)).alias("n")))

@@ -41,9 +41,9 @@ _STATUS = T.StructType([T.StructField("o_orderstatus", T.StringType(), False), T
 query("SRC2_typed_rows", f"SELECT CASE o_orderstatus WHEN 'O' THEN 'Open' WHEN 'F' THEN 'Paid' END AS label, count(*) AS n, {dbl('sum(price)')} AS total FROM {_O} GROUP BY 1")(
     lambda f: orders(f).join(F.broadcast(typed_rows(f.spark, [("O", "Open"), ("F", "Paid")], _STATUS)), ["o_orderstatus"], "left").groupBy("label").agg(N(), SUM("price", "total")))
 query("SRC3_month_spine", f"""SELECT CAST(m AS DATE) AS month_start, last_day(CAST(m AS DATE)) AS month_end, count(o_orderkey) AS n FROM (SELECT unnest(generate_series(date_trunc('month', min(order_date)), date_trunc('month', max(order_date)), INTERVAL 1 MONTH)) AS m FROM {_O})
-    LEFT JOIN {_O} ON date_trunc('month', order_date) = m AND o_orderkey % 50 <> 0 GROUP BY ALL""")(
+    LEFT JOIN {_O} ON date_trunc('month', order_date) = m GROUP BY ALL""")(
     lambda f: month_spine(orders(f), "order_date").join(
-        orders(f).where(F.col("o_orderkey") % 50 != 0).groupBy(month_start("order_date").alias("month_start")).agg(N()), ["month_start"], "left").fillna(0, ["n"]))
+        orders(f).groupBy(month_start("order_date").alias("month_start")).agg(N()), ["month_start"], "left").fillna(0, ["n"]))
 query("SRC4_lookup", "SELECT department_category, count(*) AS n FROM orders LEFT JOIN r_cost_centers ON o_orderkey % 25 = cost_center_code GROUP BY 1")(
     lambda f: enrich(f.source_table("concur_expense_reports"), f.source_table("cost_center_mapping"), "cost_center", "cost_center_code", {"department_category": "department_category"})
     .groupBy("department_category").agg(N()))
@@ -107,7 +107,7 @@ query("SNK10_failures", f"SELECT month_start, o_orderstatus, n, false AS passed
         "month_start", "o_orderstatus", "n", (F.col("n") > F.col("floor")).alias("passed")), scratch(f, "failures")))
 query("SNK11_comments", "SELECT client_status, count(*) AS n FROM r_clients GROUP BY 1")(
     lambda f: sinks.with_comments(f.table("dim_clients"), {"client_status": "Lifecycle state; a missing value counts as Active."}).groupBy("client_status").agg(N()))
-query("SNK12_inventory", " UNION ALL ".join(f"SELECT '{t}' AS table_name, count(*) AS row_count FROM {t}" for t in RAW))(lambda f: inventory({t: f.raw(t) for t in RAW}))
+query("SNK12_inventory", " UNION ALL ".join(f"SELECT '{t}' AS table_name, count(*) AS row_count FROM {t}" for t in RAW) + " UNION ALL SELECT 'absent', -1")(lambda f: inventory({**{t: f.raw(t) for t in RAW}, "absent": None}))
 
 # row rules -----------------------------------------------------------------------
 query("ROW1_projection", "SELECT client_id, client_name, client_type, parent_client_id FROM r_clients")(lambda f: f.table("dim_clients").select("client_id", "client_name", "client_type", "parent_client_id"))
@@ -180,7 +180,7 @@ query("ROW27_adjustments", f"SELECT region, practice_area, {month('work_date')}
         F.sum((F.col("hours") * product_of([a.as_column("work_date") for a in P.hour_adjustments])).cast(HOURS)).alias("hours")))
 query("ROW28_as_of", f"SELECT {ASOF} AS as_of, min({ASOF} - order_date) AS newest_age, max({ASOF} - order_date) AS oldest_age, count(*) AS n FROM {_O}")(
     lambda f: orders(f).agg(F.lit(f.as_of).alias("as_of"), F.min(F.datediff(F.lit(f.as_of), "order_date")).alias("newest_age"), F.max(F.datediff(F.lit(f.as_of), "order_date")).alias("oldest_age"), N()))
-_SC = "CAST(floor(collection_priority_score) AS INTEGER)"
+_SC = "CAST(trunc(collection_priority_score) AS INTEGER)"
 query("ROW29_capped_age", f"SELECT record_id, category, CAST(CASE WHEN days_outstanding > 90 THEN 45 + {_SC} % 45 WHEN days_outstanding < 30 THEN 30 + {_SC} % 20 ELSE days_outstanding END AS INTEGER) AS days FROM r_recv")(
     lambda f: f.table("receivables_wip_aging").select("record_id", "category", rules.capped_age(F.col("days_outstanding"), F.col("collection_priority_score")).alias("days")))
 query("ROW30_fiscal_text", f"SELECT strftime(order_date, '%Y-%m') AS fiscal_period, count(*) AS n FROM {_O} GROUP BY 1")(lambda f: orders(f).groupBy(fiscal_text("order_date").alias("fiscal_period")).agg(N()))

@@ -63,12 +63,12 @@ HIGH, MEDIUM = 0.55, 0.35
 
 
 def _matches(f):
-    m = pm.best_candidates(targets(f), vectors(f).where(F.col("candidate") % 10 != F.col("label")))
+    m = pm.best_candidates(targets(f), vectors(f))
     c = F.col("candidate")
     return m.select((F.col("target") % 3).alias("table_name"), "target", "rank", "blended", F.concat(F.lit("src"), c % 2).alias("source_table"), F.concat(F.lit("col"), c % 4).alias("source_column"))
 
 
-_mt = f"""SELECT target % 3 AS table_name, target, rank, blended, 'src' || (candidate % 2) AS source_table, 'col' || (candidate % 4) AS source_column FROM ({_best.replace(f'FROM embeddings, {_T}', f'FROM embeddings, {_T} WHERE vec_id % 10 <> label')}) WHERE rank <= 5"""
+_mt = f"""SELECT target % 3 AS table_name, target, rank, blended, 'src' || (candidate % 2) AS source_table, 'col' || (candidate % 4) AS source_column FROM ({_best}) WHERE rank <= 5"""
 _lvl = f"CASE WHEN blended >= {HIGH} THEN 2 WHEN blended >= {MEDIUM} THEN 1 ELSE 0 END"
 query("PM7_decisions", f"""WITH x_m AS ({_mt}), x_b AS (SELECT *, {_lvl} AS lvl, first_value(source_table) OVER (PARTITION BY table_name ORDER BY target) AS main_source, min({_lvl}) OVER (PARTITION BY table_name) AS tl FROM x_m WHERE rank = 1)
     SELECT table_name, target, source_table, source_column, list_extract(['low', 'medium', 'high'], lvl + 1) AS confidence, list_extract(['low', 'medium', 'high'], tl + 1) AS table_confidence, CASE WHEN source_table <> main_source THEN 'review: different table'
@@ -120,16 +120,16 @@ query("IN1_kpi_insights", INSIGHTS.replace("WHEN v = p THEN 'flat' END, CASE", "
 
 
 def slices(f):
-    """Rows of every region and the whole firm, for the finance persona."""
+    """Rows of every region and the whole firm, for the finance persona; places have none and fall back."""
     p = f.table("regional_pnl").groupBy("region", "fiscal_year").agg(F.sum("total_revenue").cast("double").alias("value"))
     row = lambda axis, val: [F.lit("finance").alias("persona"), axis.alias("filter_axis"), val.alias("filter_value"), F.col("fiscal_year").alias("slot_id"), "value"]
     firm = f.table("regional_pnl").groupBy("fiscal_year").agg(F.sum("total_revenue").cast("double").alias("value"))
-    return p.where(F.col("region") != "EUROPE").select(*row(F.lit("region"), F.col("region"))).unionByName(firm.select(*row(F.lit("firmwide"), F.lit("all"))))
+    return p.select(*row(F.lit("region"), F.col("region"))).unionByName(firm.select(*row(F.lit("firmwide"), F.lit("all"))))
 
 
-_sl = f"(SELECT 'region' AS axis, region AS val, fiscal_year AS slot_id, {dbl('sum(total_revenue)')} AS value FROM r_pnl WHERE region <> 'EUROPE' GROUP BY 2, 3 UNION ALL SELECT 'firmwide', 'all', fiscal_year, {dbl('sum(total_revenue)')} FROM r_pnl GROUP BY 3)"
-query("IN2_lookup_with_fallback", f"SELECT c_custkey AS request_id, 'finance' AS persona, axis AS filter_axis, val AS filter_value, slot_id, value FROM r_geo JOIN {_sl} ON CASE WHEN region = 'EUROPE' THEN axis = 'firmwide' ELSE axis = 'region' AND val = region END")(
-    lambda f: ins.lookup(f.source.customers().select(F.col("c_custkey").alias("request_id"), F.lit("finance").alias("persona"), F.lit("region").alias("filter_axis"), F.col("region").alias("filter_value")), slices(f)))
+_sl = f"(SELECT 'region' AS axis, region AS val, fiscal_year AS slot_id, {dbl('sum(total_revenue)')} AS value FROM r_pnl GROUP BY 2, 3 UNION ALL SELECT 'firmwide', 'all', fiscal_year, {dbl('sum(total_revenue)')} FROM r_pnl GROUP BY 3)"
+query("IN2_lookup_with_fallback", f"SELECT c_custkey AS request_id, 'finance' AS persona, axis AS filter_axis, val AS filter_value, slot_id, value FROM r_geo JOIN {_sl} ON CASE WHEN c_custkey % 2 = 1 THEN axis = 'firmwide' ELSE axis = 'region' AND val = region END")(
+    lambda f: ins.lookup(f.source.customers().select(F.col("c_custkey").alias("request_id"), F.lit("finance").alias("persona"), F.when(F.col("c_custkey") % 2 == 1, "location").otherwise("region").alias("filter_axis"), F.when(F.col("c_custkey") % 2 == 1, F.col("location")).otherwise(F.col("region")).alias("filter_value")), slices(f)))
 
 
 def asked(f):

@@ -43,8 +43,8 @@ def interval_join(events: DataFrame, key: str, day: str, rates: Mapping[str, tup
 
 def open_at_month_ends(invoices: DataFrame, first_back: int, last_back: int, as_of: date,
                        issued: str = "invoice_date", paid_on: str = "payment_date",
-                       max_age: int | None = 365) -> DataFrame:
-    """One row per invoice and month-end at which it is open, with its age in days.
+                       max_age: int | None = None) -> DataFrame:
+    """One row per invoice and month-end at which it is open, with its age in days; ``max_age`` leaves out older ones.
 
     The month-ends an invoice is open at follow from its own dates, so they are generated
     on the row. No inequality join is needed and nothing is shuffled.

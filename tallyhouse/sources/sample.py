@@ -81,9 +81,9 @@ class SampleSource:
             F.concat(F.lit("Customer#"), F.lpad(F.col("s_suppkey").cast("string"), 9, "0")).alias("customer"))
 
     def _lines(self) -> DataFrame:
-        """Line items dated up to the as-of date, with a key of their own."""
+        """All line items, with a key of their own; some are dated after the newest order."""
         day = _day("l_shipdate")
-        return self.raw("lineitem").where(day <= F.lit(self.as_of())).select(
+        return self.raw("lineitem").select(
             F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", day.cast("string")).alias("line_id"),
             "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_returnflag", "l_linestatus",
             money("l_quantity").alias("qty"), money("l_extendedprice").alias("price"),

@@ -25,12 +25,11 @@ def typed_rows(spark: SparkSession, rows: Iterable[Sequence], schema: StructType
 
 def inventory(tables: dict[str, DataFrame | None]) -> DataFrame:
     """Row count of each table in one job; a table that could not be opened counts as -1."""
-    out = None
+    absent = [(name, -1) for name, df in tables.items() if df is None]
+    out = SparkSession.active().createDataFrame(absent, "table_name string, row_count bigint")
     for name, df in tables.items():
         if df is None:
             continue
         one = df.agg(F.count(F.lit(1)).alias("row_count")).select(F.lit(name).alias("table_name"), "row_count")
-        out = one if out is None else out.unionByName(one)
-    for name in (n for n, df in tables.items() if df is None):
-        out = out.unionByName(out.limit(1).select(F.lit(name).alias("table_name"), F.lit(-1).cast("bigint").alias("row_count")))
+        out = out.unionByName(one)
     return out
