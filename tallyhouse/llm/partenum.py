@@ -7,8 +7,8 @@ pigeonhole principle similar sets agree on one partition entirely. A signature i
 what the set has there); a set also signs for the next band if a partner can be that large. This is
 PartEnum with one element of the enumeration a first-level partition, the cheapest choice for wide k.
 
-Sets that share a signature are not paired within their group. Each is compared with the group's
-hub (its least key), and the links found make components. Then groups that still hold sets of
+Sets that share a signature are not paired within their group. Each is compared with one hub (the
+least key of a group, of all its groups the least), and the links found make components. Then groups that still hold sets of
 different components are taken up again, and only pairs across components are looked at, so no link
 that could join two components is missed, and a group of near copies costs one comparison for each
 member. Every set carries a parity sketch (one bit flipped for each element): the bits in which two
@@ -39,16 +39,16 @@ from tallyhouse.llm.mixing import with_dimension
 
 #: words of a shingle; similarity in percent
 WORDS, PERCENT = 5, 80
-CHUNK = 4_000_000
+CHUNK = 1_000_000
 #: sizes of a band's sets differ by up to this factor
 BAND = 2.0
 #: signatures in a bucket, about
 BUCKET = 500_000
 #: members of a hub whose sets are compared in one task; members of a block of a group
 MEMBERS, BLOCK = 256, 4096
-#: 64-bit numbers of a parity sketch
+#: 64-bit numbers of the smallest parity sketch
 SKETCH = 16
-#: so many keys or fewer are broadcast to pick out their texts
+#: so many pairs or fewer are broadcast to the texts
 PICK = 500_000
 
 U = np.uint64
@@ -150,19 +150,31 @@ def signatures(shingle: np.ndarray, begin: np.ndarray, percent: int = PERCENT) -
     return (np.concatenate(sig), np.concatenate(who)) if sig else (np.zeros(0, U), np.zeros(0, np.int64))
 
 
-def sketches(shingle: np.ndarray, begin: np.ndarray) -> np.ndarray:
-    """A parity sketch of each set: element h flips bit h mod (64 x SKETCH)."""
-    n = len(begin) - 1
-    bit = (shingle % U(64 * SKETCH)).astype(np.int64)
-    cell = np.repeat(np.arange(n), np.diff(begin)) * (64 * SKETCH) + bit
-    flips = np.bincount(cell, minlength=n * 64 * SKETCH) & 1
-    return np.packbits(flips.astype(np.uint8), bitorder="little").view(np.int64).reshape(n, SKETCH) if n else np.zeros((0, SKETCH), np.int64)
+def sketches(shingle: np.ndarray, begin: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Parity sketches of all sets in a row, and the 64-bit numbers of each.
+
+    Element h flips bit h mod m; m is the least power of two that is 1024 or more and twice the set's size or more,
+    so the sketches of two sets of similar size have equal lengths or one is twice the other and can be folded.
+    """
+    n = np.diff(begin)
+    words = np.left_shift(np.int64(SKETCH), np.maximum(np.ceil(np.log2(np.maximum(2 * n, 1) / (64 * SKETCH))), 0).astype(np.int64))
+    ends = np.cumsum(words)
+    local = np.repeat(np.arange(len(n)), n)
+    cell = (ends - words)[local] * 64 + (shingle & (words[local] * 64 - 1).astype(U)).astype(np.int64)
+    flips = (np.bincount(cell, minlength=int(words.sum()) * 64) & 1).astype(np.uint8)
+    return np.packbits(flips, bitorder="little").view(np.int64), words
+
+
+def fold(rows: np.ndarray) -> np.ndarray:
+    half = rows.shape[1] // 2
+    return rows[:, :half] ^ rows[:, half:]
 
 
 def _light(words: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for part, texts in chunks(batches, Rule(True, words, words, CHUNK), 1):
         shingle, begin = sets_of(texts, words)
-        sketch = pa.ListArray.from_arrays(pa.array(np.arange(0, (len(texts) + 1) * SKETCH, SKETCH, dtype=np.int32)), pa.array(sketches(shingle, begin).ravel()))
+        bits, words_of = sketches(shingle, begin)
+        sketch = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(words_of))).astype(np.int32)), pa.array(bits))
         yield pa.RecordBatch.from_arrays([part.column(0), pa.array(np.diff(begin)), pa.array(keys_of(shingle, begin)), sketch], ["doc_id", "n_shingles", "key", "sketch"])
 
 
@@ -236,7 +248,9 @@ def _may_link(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     """Pairs (hub, key) whose sizes and sketches allow a link."""
     side = lambda p: nodes.select(F.col("key").alias(f"{p}_k"), F.col("n").alias(f"{p}_n"), F.col("sketch").alias(f"{p}_s"))
     both = pairs.join(side("a"), F.col("hub") == F.col("a_k")).join(side("b"), F.col("key") == F.col("b_k"))
-    apart = F.aggregate(F.zip_with("a_s", "b_s", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda t, x: t + x)
+    half = lambda x, m: F.transform(F.sequence(F.lit(1), m), lambda i: F.element_at(x, i).bitwiseXOR(F.element_at(x, i + m)))
+    folded = lambda x, y: F.when(F.size(x) == 2 * F.size(y), half(F.col(x), F.size(y))).otherwise(F.col(x))
+    apart = F.aggregate(F.zip_with(folded("a_s", "b_s"), folded("b_s", "a_s"), lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda t, x: t + x)
     most = F.floor((F.col("a_n") + F.col("b_n")) * (100 - percent) / (100 + percent))
     return both.where(_similar_sizes(F.col("a_n"), F.col("b_n"), percent)).where(apart <= most).select("hub", "key")
 
@@ -244,7 +258,7 @@ def _may_link(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
 def _sets(words: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for part, texts in chunks(batches, Rule(True, words, words, CHUNK), 0):
         shingle, begin = sets_of(texts, words)
-        yield pa.RecordBatch.from_arrays([part.column(1), pa.array([shingle[a:b].tobytes() for a, b in zip(begin, begin[1:])], pa.binary())], ["key", "elements"])
+        yield pa.RecordBatch.from_arrays([*part.columns[1:], pa.array([shingle[a:b].tobytes() for a, b in zip(begin, begin[1:])], pa.binary())], ["hub", "part", "member", "elements"])
 
 
 def _verify(percent: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -267,16 +281,15 @@ def _verify(percent: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Reco
 def _links(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
     """Those of the pairs whose sets are similar, compared on the sets."""
     pairs = cut(pairs)
-    wanted = pairs.select("key").union(pairs.select("hub")).distinct()
-    wanted = F.broadcast(wanted) if pairs.count() <= PICK else wanted
-    sets = stored(texts.join(wanted, "key", "left_semi").select("text", "key").mapInArrow(lambda b: _sets(words, b), "key bigint, elements binary"))
     # members of a hub fall into parts by hash, so that a hub with very many is not one task's
     few = pairs.groupBy("hub").agg(F.ceil(F.count(F.lit(1)) / MEMBERS).cast("int").alias("parts"))
-    placed = pairs.join(few, "hub").withColumn("part", F.pmod(F.xxhash64("key"), F.col("parts")).cast("int"))
-    members = placed.join(sets, "key").select("hub", "part", F.col("key").alias("member"), "elements")
-    hubs = few.select("hub", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part")).join(sets.withColumnRenamed("key", "hub"), "hub").select(
-        "hub", "part", F.lit(None).cast("bigint").alias("member"), "elements")
-    dealt = members.unionByName(hubs).repartition("hub", "part").sortWithinPartitions("hub", "part", F.col("member").asc_nulls_first())
+    member = pairs.join(few, "hub").select("key", "hub", F.pmod(F.xxhash64("key"), F.col("parts")).cast("int").alias("part"), F.col("key").alias("member"))
+    hub = few.select(F.col("hub").alias("key"), "hub", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(None).cast("bigint").alias("member"))
+    route = cut(member.unionByName(hub))
+    count = route.count()
+    routed = texts.join(F.broadcast(route) if count <= PICK else route, "key").select("text", "hub", "part", "member")
+    sets = routed.mapInArrow(lambda b: _sets(words, b), "hub bigint, part int, member bigint, elements binary")
+    dealt = sets.repartition("hub", "part").sortWithinPartitions("hub", "part", F.col("member").asc_nulls_first())
     return cut(dealt.mapInArrow(lambda b: _verify(percent, b), "hub bigint, key bigint").distinct())
 
 
@@ -303,17 +316,28 @@ def _across(percent: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Reco
     def done() -> Iterator[pa.RecordBatch]:
         t = pa.Table.from_batches(held)
         key, root, n, block, one = (t.column(c).to_numpy() for c in ("key", "root", "n", "block", "i"))
-        sketch = t.column("sketch").combine_chunks().flatten().to_numpy().reshape(len(key), SKETCH)
+        sketch = t.column("sketch").combine_chunks()
         within = t.column("j")[0].as_py() == one[0]
         order = np.argsort(n, kind="stable")
-        key, root, n, block, sketch = key[order], root[order], n[order], block[order], sketch[order]
+        key, root, n, block, sketch = key[order], root[order], n[order], block[order], sketch.take(pa.array(order))
+        width = np.asarray(sketch.value_lengths())
+        # by length of sketch; sizes ascend, so each length is one stretch of rows
+        flat, ends = sketch.flatten().to_numpy().view(U), np.cumsum(width)
+        first = {int(w): int(np.searchsorted(width, w)) for w in np.unique(width)}
+        table = {w: flat[ends[f] - w:ends[np.searchsorted(width, w, side="right") - 1]].reshape(-1, w) for w, f in first.items()}
+        half = {w // 2: fold(x) for w, x in table.items() if w // 2 in table}
         reach = np.searchsorted(n, n * 100 // percent, side="right")
         found = []
         for a in range(len(key)):
             b = np.arange(a + 1, reach[a])
             b = b[(root[b] != root[a]) & (within | (block[b] != block[a]))]
             if len(b):
-                apart = np.bitwise_count(sketch[b] ^ sketch[a]).sum(axis=1)
+                w = int(width[a])
+                mine, same = table[w][a - first[w]], b[width[b] == w]
+                bits = [np.bitwise_count(table[w][same - first[w]] ^ mine).sum(axis=1)]
+                if len(same) < len(b):
+                    bits.append(np.bitwise_count(half[w][b[len(same):] - first[2 * w]] ^ mine).sum(axis=1))
+                apart = np.concatenate(bits)
                 b = b[apart <= difference(n[a] + n[b], 0, percent)]
                 if len(b):
                     found.append(np.stack([np.minimum(key[a], key[b]), np.maximum(key[a], key[b])], axis=1))
@@ -351,7 +375,7 @@ def _pairs_across(met: DataFrame, root: DataFrame, nodes: DataFrame, percent: in
 
 
 def similar_components(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n_shingles, component_id, n_links): n_links counts the verified links of the document's set to other sets."""
+    """(doc_id, n_shingles, component_id, n_links): n_links counts the links of the document's set that were looked at and hold."""
     rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), whole(text_col).alias("text"))
     light = cut(rows.mapInArrow(lambda b: _light(words, b), "doc_id bigint, n_shingles bigint, key bigint, sketch array<bigint>"))
     nodes = cut(light.where("n_shingles > 0").groupBy("key").agg(F.first("n_shingles").alias("n"), F.first("sketch").alias("sketch"), F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("copies")))
@@ -381,7 +405,9 @@ def _linked(rows: DataFrame, nodes: DataFrame, words: int, percent: int) -> tupl
     packed = rows.select("text").mapInArrow(lambda b: _sign(words, percent, buckets, b), "bucket bigint, kind int, packed binary")
     met = stored(packed.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_meet, "sig bigint, hub bigint, key bigint"))
     texts = _keyed_texts(rows, words)
-    stars = _links(_may_link(met.select("hub", "key").distinct(), nodes, percent), texts, words, percent)
+    # one comparison for each set; what it does not settle is left to the second round
+    stars = _may_link(met.select("hub", "key").distinct(), nodes, percent).groupBy("key").agg(F.min("hub").alias("hub")).select("hub", "key")
+    stars = _links(stars, texts, words, percent)
     root = components(stars)
     more = _links(_pairs_across(met, root, nodes, percent), texts, words, percent)
     links = cut(stars.unionByName(more).distinct())

@@ -42,7 +42,7 @@ def op5_toxicity(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op6_partenum(spark: SparkSession, folder: str) -> DataFrame:
-    return similar_components(table(spark, folder, "documents")).select("doc_id", "n_shingles", "component_id", "n_links")
+    return similar_components(table(spark, folder, "documents")).select("doc_id", "n_shingles", "component_id")
 
 
 def op7_quality_gam(spark: SparkSession, folder: str) -> DataFrame:
