@@ -4,7 +4,7 @@ A byte goes if a string of ``RULE.threshold`` bytes that covers it also starts a
 that are equal have the same winnowed anchor, so the stretches behind the anchors that occur twice
 are dealt out by anchor, and everything that can match meets in one shard. A stretch that occurs
 twice as a whole repeats all over. Different stretches of one anchor, and a lone one, are laid end to
-end with separators that match nothing; the shard's suffixes are classified, its leftmost-smaller
+end with separators that match nothing (those that can share no window with another are left out); the shard's suffixes are classified, its leftmost-smaller
 substrings sorted recursively, all others induced from them in linear time, and the permuted common
 prefixes tell which suffixes share enough with a neighbour. A shard holds about ``SHARD`` bytes.
 
@@ -32,10 +32,12 @@ from tallyhouse.llm.common import cut
 RULE = Rule(words=False, threshold=200, gram=32, chunk=1_000_000)
 #: bytes in a suffix array; one anchor's stretches are never parted
 SHARD = 1 << 18
+#: windows that begin within so many bytes of each other, seen from the anchor's gram, are told apart by sorting only
+CELL = 16
 LEAST = -(1 << 63)
 
-STRETCH = "deal bigint, anchor bigint, hash bigint, place bigint, key bigint, start int, copies int, stretch binary, spans array<int>"
-NAMES = ["deal", "anchor", "hash", "place", "key", "start", "copies", "stretch", "spans"]
+STRETCH = "deal bigint, anchor bigint, hash bigint, place bigint, key bigint, start int, copies int, pivot int, stretch binary, spans array<int>"
+NAMES = ["deal", "anchor", "hash", "place", "key", "start", "copies", "pivot", "stretch", "spans"]
 
 
 def induced_sort(s: np.ndarray, letters: int) -> list[int]:
@@ -133,6 +135,25 @@ def repeats(stretches: list[bytes], threshold: int) -> list[np.ndarray]:
     return [found[b:b + n] for b, n in zip(begins, sizes)]
 
 
+def may_share(group: list[list], rule: Rule) -> list[list]:
+    """Those stretches of one anchor that can share a full window with another one; the rest need no sorting.
+
+    Windows hold the anchor's gram, so in two stretches that share one the grams lie at the same place of it. By how
+    far the window begins before the gram, it falls into one of a few cells, and all windows of a cell have a core in common,
+    which both stretches must have. A stretch that holds the gram more than once is not judged, nor are its partners.
+    """
+    if any(e[3] < 0 for e in group):
+        return group
+    seen: dict[tuple[int, bytes], list[int]] = {}
+    for i, (stretch, _, _, pivot) in enumerate(group):
+        for before in range(0, rule.grams, CELL):
+            first, end = pivot - before, pivot + rule.threshold - min(before + CELL - 1, rule.grams - 1)
+            if first >= 0 and end <= len(stretch):
+                seen.setdefault((before, stretch[first:end]), []).append(i)
+    shared = {i for those in seen.values() if len(those) > 1 for i in those}
+    return [group[i] for i in sorted(shared)]
+
+
 def _stretches(rule: Rule, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(place, key, text, anchors, common) -> stretches behind repeated anchors, and spans already known to repeat."""
     for part, texts in chunks(batches, rule, 2):
@@ -162,10 +183,12 @@ def _stretches(rule: Rule, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Rec
             if i == first[i]:
                 stretch = texts[r][a:a + n]
                 held += n
-                for column, value in zip(out, (anchor[o], anchor[o], whole[o], place[r], key[r], a, 2 if twice[i] else 1, stretch, None)):
+                here = np.flatnonzero(c.gram[at[head[o]]:at[head[o]] + n - rule.gram + 1] == c.least[at[head[o]]])
+                pivot = int(here[0]) if len(here) == 1 else -1
+                for column, value in zip(out, (anchor[o], anchor[o], whole[o], place[r], key[r], a, 2 if twice[i] else 1, pivot, stretch, None)):
                     column.append(value)
             if twice[i]:
-                for column, value in zip(out, (key[r] ^ place[r], key[r], 0, place[r], key[r], a, 0, None, [a, a + n])):
+                for column, value in zip(out, (key[r] ^ place[r], key[r], 0, place[r], key[r], a, 0, None, None, [a, a + n])):
                     column.append(value)
             if held > 8_000_000 or i + 1 == len(order):
                 yield _batch(out)
@@ -173,7 +196,7 @@ def _stretches(rule: Rule, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Rec
 
 
 def _batch(columns: list[list]) -> pa.RecordBatch:
-    types = [pa.int64()] * 5 + [pa.int32(), pa.int32(), pa.binary(), pa.list_(pa.int32())]
+    types = [pa.int64()] * 5 + [pa.int32()] * 3 + [pa.binary(), pa.list_(pa.int32())]
     return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, types)], NAMES)
 
 
@@ -196,14 +219,16 @@ def _shards(rule: Rule, shard: int, batches: Iterator[pa.RecordBatch]) -> Iterat
             if entry[2] > 1:
                 for place, key, start in entry[1]:
                     tell(place, key, [start, start + len(entry[0])])
-        if len(group) > 1 or group and group[0][2] == 1:
+        if len(group) > 1:
+            group = may_share(group, rule)
+        if len(group) > 1 or group and group[0][2] == 1 and group[0][3] < 0:
             waiting.extend(group)
             size += sum(len(e[0]) for e in group)
         group = []
 
     def sort_shard() -> None:
         nonlocal waiting, size
-        for (_, occurrences, copies), found in zip(waiting, repeats([e[0] for e in waiting], rule.threshold) if waiting else []):
+        for (_, occurrences, copies, _), found in zip(waiting, repeats([e[0] for e in waiting], rule.threshold) if waiting else []):
             places = np.flatnonzero(found)
             if copies == 1 and len(places):
                 a, b = runs(places)
@@ -217,7 +242,7 @@ def _shards(rule: Rule, shard: int, batches: Iterator[pa.RecordBatch]) -> Iterat
         return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(rows, (pa.int64(), pa.int64(), pa.list_(pa.int32())))], ["place", "key", "spans"])
 
     for batch in batches:
-        for a, h, place, key, start, copies, stretch, spans in zip(*[batch.column(n).to_pylist() for n in NAMES[1:]]):
+        for a, h, place, key, start, copies, pivot, stretch, spans in zip(*[batch.column(n).to_pylist() for n in NAMES[1:]]):
             if spans is not None:
                 tell(place, key, spans)
                 continue
@@ -234,7 +259,7 @@ def _shards(rule: Rule, shard: int, batches: Iterator[pa.RecordBatch]) -> Iterat
                 elif copies > entry[2]:
                     entry[2] = copies
             else:
-                group.append([stretch, [(place, key, start)], copies])
+                group.append([stretch, [(place, key, start)], copies, pivot])
                 before = (h, len(stretch))
         if len(out[0]) > 10_000:
             yield flush()
