@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, functions as F
 LONGEST = 2048
 END = 1
 #: entries of a worker's table of words; later words are encoded each time
-WORDS = 1_000_000
+WORDS = 500_000
 #: texts encoded as a whole go in spans of about so many characters
 SPAN = 1 << 16
 SAFE = re.compile(r"(?<=[a-z]) (?=[a-z])")

@@ -38,10 +38,10 @@ HELD = 5
 #: letters of a spelling, the last included; letters of a shared one
 ORDER, SHARED = 8, 4
 #: spellings, contexts and shared spellings in the model, at most; spellings seen less often in the sample are rare
-GRAMS, LEAST = 300_000, 3
+GRAMS, LEAST = 100_000, 3
 DISCOUNT = 0.75
 #: counts leave a task when it holds so many different words or spellings; a worker keeps the values of so many words
-FLUSH, KNOWN = 400_000, 500_000
+FLUSH, KNOWN = 200_000, 200_000
 WORD = re.compile(r"[^\W_]+")
 
 
@@ -184,11 +184,12 @@ def fit(docs: DataFrame, labels: DataFrame, trains: Column, label_col: str = "to
 
     words = docs.select(F.col(text_col).alias("text")).mapInArrow(_distinct_words, "word string").distinct()
     shared = words.mapInArrow(_count_words, "gram string, n bigint").groupBy("gram").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "gram").limit(GRAMS)
-    base = shared_model({r.gram: r.n for r in shared.collect()})
-    sent = spark.sparkContext.broadcast(Model(*differences(contexts, known, base)))
+    counts = shared.toPandas()
+    model = Model(*differences(contexts, known, shared_model(dict(zip(counts.gram, counts.n)))))
+    del contexts, known, counts
+    sent = spark.sparkContext.broadcast(model)
     seen = texts.where(held).select("text", "y").mapInArrow(lambda b: _evidence(sent, b), "y int, evidence double").toPandas()
     every = {r.y: r.n for r in labels.where(trains).groupBy(F.col(label_col).alias("y")).agg(F.count(F.lit(1)).alias("n")).collect()}
-    model = sent.value
     model.slope, model.offset = calibrate(seen.evidence.to_numpy(), seen.y.to_numpy(), every)
     return model
 
