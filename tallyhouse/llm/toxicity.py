@@ -8,9 +8,10 @@ difference of its two log-likelihoods divided by its number of words; a logistic
 labelled documents that the models have not counted, turns it into a score.
 
 Class counts come from a bounded sample of labelled documents (``PER_CLASS`` of each class, least by
-a hash of the id). The shared counts cover the words of every document and grow with the corpus. The
-broadcast model holds at most ``GRAMS`` spellings and as many contexts, the most frequent of the
-sample; others are rare. Whole texts are scored, each distinct word once in a worker.
+a hash of the id). The shared counts cover the words of every document and grow with the corpus; they
+stay in Spark, where only the sample's spellings are joined to them. The broadcast model holds every
+spelling and context that the sample has ``LEAST`` times, as sorted 64-bit hashes with a float each.
+Whole texts are scored.
 
 Defined results: a null or empty text, or one without words, has evidence 0. Without a labelled
 document of each class every score is just below 0.5, so nothing is rejected. Repeated rows are
@@ -37,11 +38,14 @@ PER_CLASS = 8_000
 HELD = 5
 #: letters of a spelling, the last included; letters of a shared one
 ORDER, SHARED = 8, 4
-#: spellings, contexts and shared spellings in the model, at most; spellings seen less often in the sample are rare
-GRAMS, LEAST = 100_000, 3
+#: spellings and contexts seen less often in the sample are rare
+LEAST = 3
 DISCOUNT = 0.75
 #: counts leave a task when it holds so many different words or spellings; a worker keeps the values of so many words
 FLUSH, KNOWN = 200_000, 200_000
+#: texts scored together; words hashed together
+TEXTS, WORDS = 64, 20_000
+SEED, MULTIPLIER = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xFF51AFD7ED558CCD)
 WORD = re.compile(r"[^\W_]+")
 
 
@@ -55,32 +59,73 @@ def spellings(word: str, order: int) -> list[str]:
     return [w[max(0, i + 1 - order):i + 1] for i in range(1, len(w))]
 
 
+def hashes(strings: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """At each letter of all strings: hash of it with up to ``ORDER`` - 1 before it, hash of those before alone, place in its string; lengths."""
+    letters = np.frombuffer("".join(strings).encode("utf-32-le"), np.uint32).astype(np.uint64)
+    lengths = np.fromiter(map(len, strings), np.int64, len(strings))
+    at = np.arange(len(letters)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+    h = np.full(len(letters), SEED)
+    for back in range(ORDER - 1, -1, -1):
+        before = h
+        x = (h[back:] ^ letters[:max(len(letters) - back, 0)]) * MULTIPLIER
+        h = np.concatenate((h[:back], np.where(at[back:] >= back, x ^ (x >> np.uint64(32)), h[back:])))
+    return h.view(np.int64), before.view(np.int64), at, lengths
+
+
+Table = tuple[np.ndarray, np.ndarray]  # sorted hashes and their values
+NONE: Table = (np.empty(0, np.int64), np.empty(0))
+
+
+def look_up(table: Table, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Values (0 where there is none), and where there is one."""
+    keys, values = table
+    if not len(keys):
+        return np.zeros(len(wanted)), np.zeros(len(wanted), bool)
+    i = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
+    found = keys[i] == wanted
+    return np.where(found, values[i], 0.0), found
+
+
 class Model:
     """Log-likelihood differences: of known spellings, and of back-off from known contexts."""
 
-    def __init__(self, grams: dict[str, float], contexts: dict[str, float], slope: float = 0.0, offset: float = -1e-6):
+    def __init__(self, grams: Table = NONE, contexts: Table = NONE, slope: float = 0.0, offset: float = -1e-6):
         self.grams, self.contexts, self.slope, self.offset = grams, contexts, slope, offset
         self.known: dict[str, float] = {}
 
     def __getstate__(self):
         return self.__dict__ | {"known": {}}
 
+    def values(self, words: list[str]) -> np.ndarray:
+        if not words:
+            return np.empty(0)
+        full, before, at, lengths = hashes([f"^{w}$" for w in words])
+        spelled = at > 0
+        value, found = look_up(self.grams, full[spelled])
+        behind, _ = look_up(self.contexts, before[spelled])
+        return np.add.reduceat(np.where(found, value, behind), np.cumsum(lengths - 1) - (lengths - 1))
+
     def word(self, word: str) -> float:
-        value = self.known.get(word)
-        if value is None:
-            grams, contexts = self.grams, self.contexts
-            value = 0.0
-            for g in spellings(word, ORDER):
-                v = grams.get(g)
-                value += contexts.get(g[:-1], 0.0) if v is None else v
-            if len(self.known) < KNOWN:
-                self.known[word] = value
-        return value
+        return float(self.values([word])[0])
+
+    def evidences(self, texts: list[str | None]) -> list[float]:
+        """Differences of the log-likelihoods for each word; each new word is looked up once."""
+        out: list[float] = []
+        for at in range(0, len(texts), TEXTS):
+            found = [words_of(t or "") for t in texts[at:at + TEXTS]]
+            every = set().union(*found)
+            if len(self.known) > KNOWN:
+                self.known.clear()
+            new = list(every - self.known.keys())
+            for k in range(0, len(new), WORDS):
+                part = new[k:k + WORDS]
+                self.known.update(zip(part, self.values(part).tolist()))
+            out += [math.fsum(map(self.known.__getitem__, words)) / len(words) if words else 0.0 for words in found]
+        return out
 
     def evidence(self, text: str) -> float:
         """Difference of the log-likelihoods for each word."""
-        words = words_of(text)
-        return math.fsum(map(self.word, words)) / len(words) if words else 0.0
+        return self.evidences([text])[0]
 
     def score(self, evidence: float) -> float:
         return 1 / (1 + math.exp(-max(-500.0, min(500.0, self.slope * evidence + self.offset))))
@@ -134,32 +179,53 @@ def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield flush()
 
 
-def shared_model(counts: dict[str, int]):
-    """P(letter | up to three letters before it), lower orders by continuations."""
-    tables: list[Counter] = [Counter(counts)]
-    while len(tables) < SHARED:
-        lower: Counter = Counter()
-        for g in tables[-1]:
-            if len(g) > 1:
-                lower[g[1:]] += 1
-        tables.append(lower)
-    sums = [(Counter(), Counter()) for _ in tables]
-    for (total, kinds), table in zip(sums, tables):
-        for g, n in table.items():
-            total[g[:-1]] += n
-            kinds[g[:-1]] += 1
-    letters = len({g[-1] for g in counts}) + 1
-
-    def p(gram: str, level: int) -> float:
-        if level == len(tables) or not gram[:-1] and level < len(tables) - 1:
-            return 1 / letters
-        total, kinds = sums[level]
-        h, below = gram[:-1], p(gram[1:] if len(gram) > 1 else gram, level + 1)
-        if not total[h]:
-            return below
-        return (max(tables[level][gram] - DISCOUNT, 0) + DISCOUNT * kinds[h] * below) / total[h]
-
-    return lambda gram: p(gram[-SHARED:], 0)
+def _hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(spelling, value) -> (hash, value)."""
+    for batch in batches:
+        full, _, _, lengths = hashes(batch.column(0).to_pylist())
+        yield pa.RecordBatch.from_arrays([pa.array(full[np.cumsum(lengths) - 1], pa.int64()), batch.column(1)], ["hash", "value"])
+
+
+def collected(pairs: DataFrame) -> Table:
+    """(spelling, value) rows as sorted hashes and values."""
+    got = pairs.mapInArrow(_hashed, "hash bigint, value double").toArrow()
+    keys, values = got.column("hash").to_numpy(), got.column("value").to_numpy()
+    order = np.argsort(keys)
+    return keys[order], values[order]
+
+
+def head(gram: str = "gram") -> Column:
+    return F.expr(f"substring({gram}, 1, char_length({gram}) - 1)")
+
+
+def shared_model(counts: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(tail, p): P(letter | up to three letters before it) of each wanted tail, lower orders by continuations.
+
+    ``counts`` has (gram, n). Level k holds the spellings without their first k letters; a single letter
+    above the last level, and what lies below it, has the same probability for each letter.
+    """
+    levels = [counts.select(F.lit(0).alias("level"), "gram", "n")]
+    while len(levels) < SHARED:
+        levels.append(levels[-1].where("char_length(gram) > 1").groupBy(F.lit(len(levels)).alias("level"), F.expr("substring(gram, 2)").alias("gram")).agg(F.count(F.lit(1)).alias("n")))
+    tables = levels[0]
+    for t in levels[1:]:
+        tables = tables.unionByName(t)
+    tables = tables.persist()
+    sums = tables.groupBy("level", head().alias("h")).agg(F.sum("n").alias("total"), F.count(F.lit(1)).alias("kinds"))
+    letters = tables.where("level = 0").agg(F.countDistinct(F.expr("right(gram, 1)"))).first()[0] + 1
+    asked = wanted.select(F.explode(F.expr(f"transform(sequence(0, {SHARED - 1}), k -> named_struct('level', k, 'gram', substring(tail, k + 1)))")).alias("x")).select("x.*")
+    asked = asked.where(f"char_length(gram) > 1 or char_length(gram) = 1 and level = {SHARED - 1}").distinct().withColumn("h", head())
+    pieces = asked.join(tables, ["level", "gram"], "left").join(sums, ["level", "h"], "left").persist()
+    p = None
+    for level in range(SHARED - 1, -1, -1):
+        at = pieces.where(F.col("level") == level).select("gram", "n", "total", "kinds")
+        at = at.withColumn("below", F.lit(1 / letters)) if p is None else at.join(p, F.expr("substring(gram, 2)") == F.col("tail"), "left").withColumn("below", F.coalesce("p", F.lit(1 / letters)))
+        p = at.select(F.col("gram").alias("tail"), F.when(F.col("total") > 0, (F.greatest(F.coalesce("n", F.lit(0)) - F.lit(DISCOUNT), F.lit(0.0)) + F.lit(DISCOUNT) * F.col("kinds") * F.col("below")) / F.col("total")).otherwise(F.col("below")).alias("p"))
+    p = p.persist()
+    p.count()
+    pieces.unpersist()
+    tables.unpersist()
+    return p
 
 
 def fit(docs: DataFrame, labels: DataFrame, trains: Column, label_col: str = "toxic", id_col: str = "doc_id", text_col: str = "text", per_class: int = PER_CLASS) -> Model:
@@ -174,19 +240,17 @@ def fit(docs: DataFrame, labels: DataFrame, trains: Column, label_col: str = "to
     seen = grams.agg(F.sum("o").alias("o"), F.sum("t").alias("t")).first()
     if not (seen.o and seen.t):
         grams.unpersist()
-        return Model({}, {})
+        return Model()
     n = F.col("o") + F.col("t")
-    contexts = grams.groupBy(F.expr("substring(gram, 1, char_length(gram) - 1)").alias("h")).agg(
-        *[f.alias(name) for c in "ot" for f, name in ((F.sum(c), c), (F.sum((F.col(c) > 0).cast("long")), f"kinds_{c}"))])
-    contexts = contexts.where(n >= LEAST).orderBy(F.desc(n), "h").limit(GRAMS).toPandas()
-    known = grams.where(n >= LEAST).orderBy(F.desc(n), "gram").limit(GRAMS).toPandas()
-    grams.unpersist()
-
+    contexts = grams.groupBy(head().alias("h")).agg(
+        *[f.alias(name) for c in "ot" for f, name in ((F.sum(c), c), (F.sum((F.col(c) > 0).cast("long")), f"kinds_{c}"))]).where(n >= LEAST)
+    known = grams.where(n >= LEAST).withColumn("tail", F.expr(f"right(gram, {SHARED})"))
     words = docs.select(F.col(text_col).alias("text")).mapInArrow(_distinct_words, "word string").distinct()
-    shared = words.mapInArrow(_count_words, "gram string, n bigint").groupBy("gram").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "gram").limit(GRAMS)
-    counts = shared.toPandas()
-    model = Model(*differences(contexts, known, shared_model(dict(zip(counts.gram, counts.n)))))
-    del contexts, known, counts
+    shared = words.mapInArrow(_count_words, "gram string, n bigint").groupBy("gram").agg(F.sum("n").alias("n"))
+    base = shared_model(shared, known.select("tail").distinct())
+    model = Model(*map(collected, differences(contexts, known, base)))
+    base.unpersist()
+    grams.unpersist()
     sent = spark.sparkContext.broadcast(model)
     seen = texts.where(held).select("text", "y").mapInArrow(lambda b: _evidence(sent, b), "y int, evidence double").toPandas()
     every = {r.y: r.n for r in labels.where(trains).groupBy(F.col(label_col).alias("y")).agg(F.count(F.lit(1)).alias("n")).collect()}
@@ -194,23 +258,13 @@ def fit(docs: DataFrame, labels: DataFrame, trains: Column, label_col: str = "to
     return model
 
 
-def differences(contexts, known, base) -> tuple[dict[str, float], dict[str, float]]:
+def differences(contexts: DataFrame, known: DataFrame, base: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Of known spellings and of back-off behind known contexts: log-probability if toxic less that if ordinary."""
-    weight, total = {}, {}
-    for c in "ot":
-        n = contexts[c].to_numpy(float)
-        weight[c] = np.where(n > 0, DISCOUNT * contexts[f"kinds_{c}"].to_numpy(float) / np.maximum(n, 1), 1.0)
-        total[c] = n
-    behind = dict(zip(contexts.h, np.log(weight["t"]) - np.log(weight["o"])))
-    row = {h: i for i, h in enumerate(contexts.h)}
-    grams = {}
-    for gram, o, t in zip(known.gram, known.o, known.t):
-        i = row.get(gram[:-1])
-        if i is not None:
-            b = base(gram)
-            p = [max(n - DISCOUNT, 0) / max(total[c][i], 1) + weight[c][i] * b for c, n in (("o", o), ("t", t))]
-            grams[gram] = math.log(p[1]) - math.log(p[0])
-    return grams, behind
+    weight = {c: F.when(F.col(c) > 0, F.lit(DISCOUNT) * F.col(f"kinds_{c}") / F.col(c)).otherwise(1.0) for c in "ot"}
+    contexts = contexts.select("h", *(F.greatest(F.col(c), F.lit(1)).alias(f"total_{c}") for c in "ot"), *(weight[c].alias(f"weight_{c}") for c in "ot"))
+    p = {c: F.greatest(F.col(c) - F.lit(DISCOUNT), F.lit(0.0)) / F.col(f"total_{c}") + F.col(f"weight_{c}") * F.col("p") for c in "ot"}
+    grams = known.join(contexts, head() == F.col("h")).join(base, "tail").select("gram", (F.log(p["t"]) - F.log(p["o"])).alias("value"))
+    return grams, contexts.select("h", (F.log("weight_t") - F.log("weight_o")).alias("value"))
 
 
 def calibrate(evidence: np.ndarray, y: np.ndarray, every: dict[int, int]) -> tuple[float, float]:
@@ -235,14 +289,14 @@ def calibrate(evidence: np.ndarray, y: np.ndarray, every: dict[int, int]) -> tup
 def _evidence(sent, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     model = sent.value
     for batch in batches:
-        yield pa.RecordBatch.from_arrays([batch.column(1), pa.array([model.evidence(t.as_py() or "") for t in batch.column(0)], pa.float64())], ["y", "evidence"])
+        yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(model.evidences(batch.column(0).to_pylist()), pa.float64())], ["y", "evidence"])
 
 
 def _scores(sent, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """All columns, the text last, with evidence and score; a helper text column is dropped."""
     model = sent.value
     for batch in batches:
-        evidence = [model.evidence(t.as_py() or "") for t in batch.column(batch.num_columns - 1)]
+        evidence = model.evidences(batch.column(batch.num_columns - 1).to_pylist())
         yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(evidence, pa.float64()), pa.array([model.score(e) for e in evidence], pa.float64())], [*batch.schema.names[:-1], "evidence", "score"])
 
 

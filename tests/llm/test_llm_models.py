@@ -37,6 +37,65 @@ def test_toxicity_learns_words(spark):
     assert model.evidence("") == 0.0 and 0 < model.score(1e9) <= 1
 
 
+def spelled_by_hand(texts, words):
+    """Value of each word in the toxicity model of (text, y), with every spelling of the sample and of the texts."""
+    counts = (Counter(), Counter())
+    for text, y in texts:
+        for w in text.split():
+            counts[y].update(toxicity.spellings(w, toxicity.ORDER))
+    tables = [Counter(g for w in {w for text, _ in texts for w in text.split()} for g in toxicity.spellings(w, toxicity.SHARED))]
+    while len(tables) < toxicity.SHARED:
+        tables.append(Counter(g[1:] for g in tables[-1] if len(g) > 1))
+    total, kinds = [Counter() for _ in tables], [Counter() for _ in tables]
+    for k, table in enumerate(tables):
+        for g, n in table.items():
+            total[k][g[:-1]] += n
+            kinds[k][g[:-1]] += 1
+    letters = len({g[-1] for g in tables[0]}) + 1
+
+    def p(g, k):
+        if k == len(tables) or len(g) == 1 and k < len(tables) - 1:
+            return 1 / letters
+        below = p(g[1:] or g, k + 1)
+        return (max(tables[k][g] - 0.75, 0) + 0.75 * kinds[k][g[:-1]] * below) / total[k][g[:-1]] if total[k][g[:-1]] else below
+
+    sums, types = (Counter(), Counter()), (Counter(), Counter())
+    for y in (0, 1):
+        for g, n in counts[y].items():
+            sums[y][g[:-1]] += n
+            types[y][g[:-1]] += 1
+
+    def value(g):
+        h = g[:-1]
+        if sums[0][h] + sums[1][h] < toxicity.LEAST:
+            return 0.0
+        weight = [0.75 * types[y][h] / sums[y][h] if sums[y][h] else 1.0 for y in (0, 1)]
+        if counts[0][g] + counts[1][g] < toxicity.LEAST:
+            return math.log(weight[1] / weight[0])
+        a, b = (max(counts[y][g] - 0.75, 0) / max(sums[y][h], 1) + weight[y] * p(g[-toxicity.SHARED:], 0) for y in (0, 1))
+        return math.log(b / a)
+
+    return {w: sum(map(value, toxicity.spellings(w, toxicity.ORDER))) for w in words}
+
+
+def test_toxicity_keeps_every_spelling(spark):
+    r = np.random.default_rng(8)
+    plain = ["".join(x) for x in r.choice(list("abcdefghijklmnopqrstuvw\u00e9\u4e2d"), (30_000, 9))]
+    rare = ["vileword", "gruxling", "zqxyz", "xx"]
+    # thirty thousand words of four uses each, then toxic ones of three
+    rows = [(i, " ".join(plain[i % 100 * 300:i % 100 * 300 + 300]), 0) for i in range(500)] + [(500 + i, " ".join(rare), 1) for i in range(5)]
+    docs = spark.createDataFrame([(i, t) for i, t, _ in rows], "doc_id bigint, text string")
+    labels = spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id bigint, toxic int")
+    held = {x.doc_id for x in docs.where(F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(toxicity.HELD)) == 0).collect()}
+    model = toxicity.fit(docs, labels, F.lit(True))
+    words = [*rare, *plain[::3000], "unseen", "vile"]
+    texts = [(t, y) for i, t, y in rows if i not in held]
+    assert {t for t, _ in texts} == {t for _, t, _ in rows}
+    want = spelled_by_hand(texts, words)
+    for w in words:
+        assert math.isclose(model.word(w), want[w], rel_tol=1e-9, abs_tol=1e-9), w
+
+
 def test_labels_of_held_out_rows_do_not_matter(spark):
     docs, labels = spark.read.parquet(f"{MIDDLE}/documents.parquet"), spark.read.parquet(f"{MIDDLE}/labels.parquet")
     held = crc_fold("doc_id", 3) == 1
