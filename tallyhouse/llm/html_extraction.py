@@ -5,7 +5,7 @@ each boundary that can separate an article from its surroundings is a run of emp
 lengths (link text counts nothing outside an article) are summed over sliding windows of lines. A
 window sum that leaves zero is a surge, one that falls back to zero is a dive, and what lies
 between them is a stretch of text. Stretches inside an article or main element are the text;
-in pages with none, the stretches whose largest window sum reaches a share of the page's largest.
+in pages with none, every stretch from the first surge to the last dive, however short it is.
 
 Elements that never hold article text (menus, headers, footers, sidebars, forms, scripts, styles,
 and those whose class, id or role says notice, advert, comments and so on) leave no text at all.
@@ -28,8 +28,6 @@ from pyspark.sql import DataFrame, functions as F
 
 #: lines in a window
 WINDOW = 3
-#: a stretch counts, in a page without an article element, from this share of the largest window sum
-SHARE = 0.2
 
 TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*+>|<(/?)([a-zA-Z][^\s/>]*+)((?:[^"'>]++|"[^"]*+"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>""", re.S)
 NAMED = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
@@ -175,8 +173,7 @@ def main_text(page: str) -> str:
     if any(inside and t for t, _, inside in grid):
         keep = [s for s in found if grid[s[0]][2]]
     else:
-        peak = max((s[2] for s in found), default=0)
-        keep = [s for s in found if s[2] >= SHARE * peak]
+        keep = found
     return "\n".join(t for a, b, _ in keep for t, _, _ in grid[a:b] if t)
 
 

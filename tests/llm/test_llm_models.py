@@ -186,6 +186,12 @@ def test_pages(page, text):
     assert main_text(page) == text
 
 
+def test_short_sections_beside_a_long_paragraph():
+    long = "word " * 2000
+    page = f"<body><div><div><h1>Head</h1></div></div><div><div><p>{long}</p></div></div><div><div><ul><li>one</ul></div></div><div><div><a href=x>Home</a></div></div><div><div><p>End.</p></div></div></body>"
+    assert main_text(page) == f"Head\n{long.strip()}\none\nEnd."
+
+
 def test_pages_of_the_sample(spark, small):
     rows = spark.read.parquet(f"{small}/pages.parquet").collect()
     got = {r.page_id: r for r in QUERIES["op9_html_extraction"](spark, small).collect()}
