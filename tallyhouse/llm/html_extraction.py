@@ -2,14 +2,15 @@
 
 A page is stripped of markup and laid out as a grid of lines: each block of text is one line, and
 each boundary that can separate an article from its surroundings is a run of empty lines. The text
-lengths (link text counts nothing outside an article) are summed over sliding windows of lines. A
-window sum that leaves zero is a surge, one that falls back to zero is a dive, and what lies
-between them is a stretch of text. Stretches inside an article or main element are the text;
-in pages with none, every stretch from the first surge to the last dive, however short it is.
+lengths are summed over sliding windows of lines; link text counts nothing, on any page, unless it is
+a heading. A window sum that leaves zero is a surge, one that falls back to zero is a dive, and what
+lies between them is a stretch of text. The text is every stretch from the first surge to the last
+dive; a run of link lines shorter than a window at the edge of a stretch belongs to it.
 
-Elements that never hold article text (menus, headers, footers, sidebars, forms, scripts, styles,
-and those whose class, id or role says notice, advert, comments and so on) leave no text at all.
-A heading group inside an article is part of it unless the element is a ``header``.
+Tags and names are evidence. Elements that never hold article text (menus, headers, footers, sidebars,
+forms, scripts, styles, and those whose class, id or role says notice, advert, comments and so on)
+leave no text at all; an article or main element is not dropped for such a name. Containers inside an
+article or main element are no boundaries.
 
 Defined results: null or empty html gives the empty text; markup that is never closed ends with its
 parent; a page without any text gives the empty text. Repeated rows give repeated results. An empty
@@ -35,6 +36,7 @@ HIDDEN = re.compile(r"""\bhidden\b(?!\s*=\s*["']?(?:false|until-found))|\baria-h
 RAW = {"script", "style", "noscript", "template", "textarea", "title", "iframe", "svg", "math", "object", "canvas", "xmp"}
 NEVER = RAW | {"head", "nav", "header", "footer", "aside", "form", "menu", "button", "select", "dialog", "fieldset", "search", "audio", "video"}
 ARTICLE = {"article", "main"}
+HEADING = {"h1", "h2", "h3", "h4", "h5", "h6"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 INLINE = {"a", "abbr", "acronym", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn", "em", "font", "i", "ins", "kbd", "label", "mark", "q", "rp", "rt", "ruby", "s", "samp",
           "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr", "img", "br"}
@@ -52,40 +54,40 @@ def _unwanted(tag: str, attributes: str) -> bool:
         return True
     if not attributes or tag in ("html", "body"):
         return False
-    for m in NAMED.finditer(attributes):
+    for m in NAMED.finditer(attributes if tag not in ARTICLE else ""):
         if any(w.lower() in WORDS for w in SPLIT.split(m[2] or m[3] or m[4] or "")):
             return True
     return HIDDEN.search(attributes) is not None
 
 
-def lines(page: str) -> list[tuple[str, int, bool]]:
-    """(text, length counted, inside an article) of each line of the grid; empty lines have no text."""
-    out: list[tuple[str, int, bool]] = []
+def lines(page: str) -> list[tuple[str, int]]:
+    """(text, length counted) of each line of the grid; empty lines have no text."""
+    out: list[tuple[str, int]] = []
     parts: list[str] = []
     counted = 0
     stack: list[tuple[str, bool, bool]] = []  # tag, unwanted, article
-    skipped = articles = links = 0
+    skipped = articles = links = headings = 0
 
     def close_line() -> None:
         nonlocal counted
         text = " ".join("".join(parts).split())
         if text:
-            out.append((text, counted if counted or not articles else len(text), articles > 0))
+            out.append((text, counted))
         parts.clear()
         counted = 0
 
     def gap(n: int) -> None:
-        out.extend([("", 0, articles > 0)] * n)
+        out.extend([("", 0)] * n)
 
     def text(raw: str) -> None:
         nonlocal counted
         s = entities.unescape(raw)
         parts.append(s)
-        if not links or articles:
+        if not links or headings:
             counted += len("".join(s.split()))
 
     def pop() -> None:
-        nonlocal skipped, articles, links
+        nonlocal skipped, articles, links, headings
         tag, unwanted, article = stack.pop()
         if article:
             close_line()
@@ -93,6 +95,7 @@ def lines(page: str) -> list[tuple[str, int, bool]]:
         skipped -= unwanted
         articles -= article
         links -= tag == "a"
+        headings -= tag in HEADING
         if unwanted and not skipped and not articles:
             gap(WINDOW)
 
@@ -151,6 +154,7 @@ def lines(page: str) -> list[tuple[str, int, bool]]:
         skipped += unwanted
         articles += article
         links += tag == "a"
+        headings += tag in HEADING
     if not skipped and at < size:
         text(page[at:])
     close_line()
@@ -167,14 +171,19 @@ def stretches(lengths: np.ndarray, window: int = WINDOW) -> list[tuple[int, int,
 
 
 def main_text(page: str) -> str:
-    """The article's blocks in page order, one a line."""
+    """The text's blocks in page order, one a line."""
     grid = lines(page)
-    found = stretches(np.array([n for _, n, _ in grid], np.int64))
-    if any(inside and t for t, _, inside in grid):
-        keep = [s for s in found if grid[s[0]][2]]
-    else:
-        keep = found
-    return "\n".join(t for a, b, _ in keep for t, _, _ in grid[a:b] if t)
+    lengths = np.array([n for _, n in grid], np.int64)
+
+    def edge(at: int, step: int) -> int:
+        """Lines of links from ``at`` on; none if they fill a window."""
+        n = 0
+        while n < WINDOW and 0 <= at + n * step < len(grid) and grid[at + n * step][0] and not lengths[at + n * step]:
+            n += 1
+        return n % WINDOW
+
+    keep = [(a - edge(a - 1, -1), b + edge(b, 1)) for a, b, _ in stretches(lengths)]
+    return "\n".join(t for a, b in keep for t, _ in grid[a:b] if t)
 
 
 def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

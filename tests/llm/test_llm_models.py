@@ -192,6 +192,14 @@ def test_short_sections_beside_a_long_paragraph():
     assert main_text(page) == f"Head\n{long.strip()}\none\nEnd."
 
 
+@pytest.mark.parametrize("page, text", [
+    ("<article><a href=x>Card</a> in short</article><div><p>The body in plain divs.</p></div><div><p>Its end.</p></div>", "Card in short\nThe body in plain divs.\nIts end."),
+    ("<main><h1><a href=0>Title</a></h1><p>Text.</p><p><a href=4>More</a></p><p>End.</p><div><a href=1>a</a></div><div><a href=2>b</a></div><div><a href=3>c</a></div></main>", "Title\nText.\nMore\nEnd."),
+    ("<article class='promo story'><p>Text.</p><p><a href=1>Source</a></p></article>", "Text.\nSource")])
+def test_windows_choose_on_every_page(page, text):
+    assert main_text(page) == text
+
+
 def test_pages_of_the_sample(spark, small):
     rows = spark.read.parquet(f"{small}/pages.parquet").collect()
     got = {r.page_id: r for r in QUERIES["op9_html_extraction"](spark, small).collect()}
