@@ -39,11 +39,20 @@ def stored(df: DataFrame) -> DataFrame:
     checkpoint_dir(spark)
     path = f"{spark.sparkContext.getCheckpointDir()}/stored-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    atexit.register(_remove, spark, path)
+    atexit.register(remove, spark, path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def _remove(spark: SparkSession, path: str) -> None:
+def stored_in(df: DataFrame, path: str, *by: str) -> DataFrame:
+    """The frame written to a folder, parted by the columns ``by``, and read again; removed when the session's process ends."""
+    spark = df.sparkSession
+    df.write.partitionBy(*by).parquet(path)
+    atexit.register(remove, spark, path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder that a store has written, wherever it lies."""
     if spark.sparkContext._jsc is not None:
         where = spark._jvm.org.apache.hadoop.fs.Path(path)
         where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)

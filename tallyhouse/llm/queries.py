@@ -7,14 +7,16 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tallyhouse.llm import quality_gam, seed_extend, suffix_array, toxicity
-from tallyhouse.llm.common import crc_fold, table
+from tallyhouse.llm import quality_gam, quality_rules, seed_extend, suffix_array, toxicity
+from tallyhouse.llm.common import crc_fold, table, whole
 from tallyhouse.llm.exact_dedup import exact_dedup
 from tallyhouse.llm.html_extraction import extract
 from tallyhouse.llm.mixing import mix
 from tallyhouse.llm.multi_index_hashing import search
 from tallyhouse.llm.packing import pack
 from tallyhouse.llm.partenum import similar_components
+from tallyhouse.llm.periodic_runs import find_runs, strongest
+from tallyhouse.llm.phrases import collocations, phrase_counts
 
 
 def op1_mixing(spark: SparkSession, folder: str) -> DataFrame:
@@ -65,6 +67,31 @@ def op10_suffix_array(spark: SparkSession, folder: str) -> DataFrame:
     return got.select("doc_id", "n_bytes", "n_removed", (F.size("spans") / 2).cast("bigint").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op11_phrases(spark: SparkSession, folder: str) -> DataFrame:
+    return collocations(phrase_counts(table(spark, folder, "documents")))
+
+
+def planted_runs(docs: DataFrame) -> DataFrame:
+    """(doc_id, text): of one document in ten, by a hash of the id, the words from some place on are repeats of a stretch that starts there."""
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    rows = docs.select("doc_id", "text", h.alias("h"), F.floor(h / 10).alias("g"), F.when(h % 10 == 0, F.regexp_extract_all(whole("text"), F.lit(r"([^\x20\x09-\x0D]+)"))).alias("w"))
+    rows = rows.withColumn("n", F.size("w")).withColumn("a", F.expr("cast(g % nullif(n, 0) as int)")).withColumn("p", F.expr("cast(1 + floor((n - a) / (3 + g % 8)) as int)"))
+    text = F.expr("concat_ws(' ', slice(w, 1, a), transform(sequence(a, n - 1), i -> w[a + (i - a) % p]))")
+    return rows.select("doc_id", F.when(F.col("n") > 0, text).otherwise(F.col("text")).alias("text"))
+
+
+def op12_periodic_runs(spark: SparkSession, folder: str) -> DataFrame:
+    found = find_runs(planted_runs(table(spark, folder, "documents"))).withColumn("best", strongest(F.col("runs")))
+    lines = F.concat_ws("", F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n"))))
+    digest = lambda c: F.sha2(c.cast("binary"), 256)
+    return found.select("doc_id", F.size("runs").cast("bigint").alias("n_runs"), "best.start", "best.length", "best.period", F.expr("1000 * best.length div best.period").alias("exponent_milli"),
+                        digest(lines).alias("runs_sha256"), digest(F.col("collapsed")).alias("collapsed_sha256"))
+
+
+def op13_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
+    return quality_rules.judge(table(spark, folder, "documents"))
+
+
 OP1_SQL = r"""
 WITH RECURSIVE d AS (
   SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS tokens FROM documents),
@@ -118,6 +145,36 @@ SELECT doc_id,
 FROM d WINDOW w AS (PARTITION BY text_sha256 ORDER BY n DESC, doc_id)
 """
 
+OP11_SQL = r"""
+WITH t AS (
+  SELECT row_number() OVER () AS d, coalesce(lang, 'und') AS lang,
+         regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]') AS pieces
+  FROM documents),
+w AS (SELECT lang, regexp_extract_all(unnest(pieces), '[^\x20\x09]+') AS w FROM t),
+g AS (
+  SELECT lang, 1 AS words, unnest(w) AS phrase FROM w
+  UNION ALL SELECT lang, 2, unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) FROM w
+  UNION ALL SELECT lang, 3, unnest(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) FROM w),
+f AS (SELECT lang, words, phrase, count(*) AS f FROM g GROUP BY ALL),
+n AS (SELECT lang, sum(f)::BIGINT AS n FROM f WHERE words = 1 GROUP BY lang),
+c AS (SELECT * FROM f WHERE words > 1 AND f >= 10),
+longer AS (
+  SELECT lang, phrase, max(f) AS longer
+  FROM (SELECT lang, f, unnest([split_part(phrase, ' ', 1) || ' ' || split_part(phrase, ' ', 2), split_part(phrase, ' ', 2) || ' ' || split_part(phrase, ' ', 3)]) AS phrase FROM c WHERE words = 3)
+  GROUP BY ALL),
+k AS (SELECT c.* FROM c LEFT JOIN longer USING (lang, phrase) WHERE longer IS NULL OR 100 * longer < 50 * f),
+cuts AS (
+  SELECT lang, phrase, f AS a, 1 AS k, split_part(phrase, ' ', 1) AS before, substr(phrase, length(split_part(phrase, ' ', 1)) + 2) AS after FROM k
+  UNION ALL
+  SELECT lang, phrase, f, 2, split_part(phrase, ' ', 1) || ' ' || split_part(phrase, ' ', 2), split_part(phrase, ' ', 3) FROM k WHERE words = 3),
+s AS (
+  SELECT cuts.lang, cuts.phrase, a, k, x.f AS l, y.f AS r, ((1000000::HUGEINT * a * a) // (x.f::HUGEINT * y.f))::BIGINT AS score
+  FROM cuts JOIN f AS x ON x.lang = cuts.lang AND x.phrase = before JOIN f AS y ON y.lang = cuts.lang AND y.phrase = after),
+best AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score
+FROM best JOIN n USING (lang) QUALIFY rank <= 2000
+"""
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mixing": op1_mixing,
     "op2_packing": op2_packing,
@@ -129,9 +186,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_seed_extend": op8_seed_extend,
     "op9_html_extraction": op9_html_extraction,
     "op10_suffix_array": op10_suffix_array,
+    "op11_phrases": op11_phrases,
+    "op12_periodic_runs": op12_periodic_runs,
+    "op13_quality_rules": op13_quality_rules,
 }
 
 CHECKS: dict[str, str] = {
     "op1_mixing": OP1_SQL,
     "op3_exact_dedup": OP3_SQL,
+    "op11_phrases": OP11_SQL,
 }
