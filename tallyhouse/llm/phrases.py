@@ -6,8 +6,8 @@ word less have reached the threshold, and is then counted in the scans that run
 and other phrases, until it has seen each shard once. So lengths interleave, and the scans end when
 no phrase has a shard left to see.
 
-Which phrases have reached the threshold is told to the tasks by a bitmap of ``BITS`` bits, one for
-the hash of a phrase. Its size is fixed, whatever the corpus. Bits are only ever set, so the step at which a phrase becomes
+Which phrases have reached the threshold is told to the tasks by a bitmap, one bit for
+the hash of a phrase. It has a bit for every ``WORDS_A_BIT`` words of the corpus, but never more than 2^``BITS`` (128 MB). Bits are only ever set, so the step at which a phrase becomes
 active is well defined, also where a hash collision activates it early: it is counted where the
 bitmap of this step admits it and that of one cycle ago did not. A collision costs a count and changes
 none. Counts themselves are kept by the phrase's text and are exact.
@@ -38,8 +38,10 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from tallyhouse.llm.common import checkpoint_dir, remove, stored_in, whole
 
-#: occurrences of a phrase, words of the longest phrase, shards of a cycle, bits of the bitmap (as a power of two)
-LEAST, LONGEST, SHARDS, BITS = 10, 3, 3, 26
+#: occurrences of a phrase, words of the longest phrase, shards of a cycle
+LEAST, LONGEST, SHARDS = 10, 3, 2
+#: bits of the bitmap as powers of two, at least and at most; words of the corpus for each bit in between
+FEWEST, BITS, WORDS_A_BIT = 16, 30, 8
 #: a phrase goes if a longer one that holds it has so many percent of its occurrences; phrases of a language that are reported
 COVERED, TOP = 50, 2000
 #: bytes of text counted together
@@ -49,7 +51,9 @@ HOT = 1000
 #: ends a piece: a byte that no UTF-8 text holds
 END = b"\xff"
 PIECES = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ.,;:!?\n\v\f\r", b"abcdefghijklmnopqrstuvwxyz" + END * 10)
-COUNTS = "lang string, phrase string, words int, f bigint"
+#: a phrase's key is its language and its words behind a line end, which no word holds
+BREAK = "\n"
+COUNTS = "key string, f bigint"
 U = np.uint64
 
 
@@ -97,8 +101,8 @@ def blocks(text: bytes, size: int) -> Iterator[bytes]:
         at = end + 1
 
 
-def phrases_in(block: bytes, lang: str, now: Bitmap, before: Bitmap, singly: bool, longest: int) -> Iterator[tuple[pa.Array, int, np.ndarray]]:
-    """Phrases of the block that are to be counted, with their number of words and their counts; '' with 0 words stands for all words."""
+def phrases_in(block: bytes, lang: str, now: Bitmap, before: Bitmap, singly: bool, longest: int) -> Iterator[tuple[pa.Array, np.ndarray]]:
+    """Phrases of the block that are to be counted, with their counts; '' stands for all words."""
     known: dict[bytes, int] = {}
     ids = np.array([-1 if w == END else known.setdefault(w, len(known)) for w in block.replace(END, b" " + END + b" ").split()], np.int64)
     if not known:
@@ -107,8 +111,8 @@ def phrases_in(block: bytes, lang: str, now: Bitmap, before: Bitmap, singly: boo
     each, size = word_hashes(list(known), lang), len(known)
     if singly:
         count = np.bincount(ids[ids >= 0], minlength=size)
-        yield pa.array([b""], pa.binary()), 0, count.sum(keepdims=True)
-        yield spelled, 1, count
+        yield pa.array([b""], pa.binary()), count.sum(keepdims=True)
+        yield spelled, count
     new, old = now.holds(each), before.holds(each)
     # places of phrases that have reached the threshold, their numbers, hashes, and whether they had done so a cycle ago
     places = np.flatnonzero((ids >= 0) & new[ids])
@@ -125,7 +129,7 @@ def phrases_in(block: bytes, lang: str, now: Bitmap, before: Bitmap, singly: boo
         fresh = ~was_active
         if fresh.any():
             tokens = start[at[fresh]][:, None] + np.arange(words)
-            yield pc.binary_join_element_wise(*(spelled.take(pa.array(ids[t])) for t in tokens.T), pa.scalar(b" ", pa.binary())), words, count[fresh]
+            yield pc.binary_join_element_wise(*(spelled.take(pa.array(ids[t])) for t in tokens.T), pa.scalar(b" ", pa.binary())), count[fresh]
         h = joined_hash(hashes[first], each[last])[at]
         reached, ago = now.holds(h), before.holds(h) & was_active
         go = np.flatnonzero(reached[group])
@@ -141,31 +145,37 @@ def _count(sent, singly: bool, longest: int, block: int, batches: Iterator[pa.Re
             by_lang.setdefault(lang, []).append(text.as_buffer().to_pybytes())
         for lang, texts in by_lang.items():
             for part in blocks(END.join(texts).translate(PIECES), block):
-                for phrase, words, count in phrases_in(part, lang, now, before, singly, longest):
-                    n = len(phrase)
-                    yield pa.RecordBatch.from_arrays([pa.repeat(lang, n), phrase.view(pa.string()), pa.array(np.full(n, words, np.int32)), pa.array(count.astype(np.int64))], ["lang", "phrase", "words", "f"])
+                for phrase, count in phrases_in(part, lang, now, before, singly, longest):
+                    key = pc.binary_join_element_wise(pa.scalar((lang + BREAK).encode(), pa.binary()), phrase, pa.scalar(b"", pa.binary()))
+                    yield pa.RecordBatch.from_arrays([key.view(pa.string()), pa.array(count.astype(np.int64))], ["key", "f"])
 
 
-def _cells(bits: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(lang, phrase) -> cells of the bitmap."""
-    bitmap = Bitmap(6)
-    bitmap.bits = bits
+def _cells(bits: int, longest: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Keys of frequent phrases -> cells of the bitmap; the longest ones make no other active."""
+    bitmap = Bitmap(bits, np.zeros(1, U))
     for batch in batches:
-        hashes = np.zeros(batch.num_rows, U)
-        for i, (lang, phrase) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())):
-            each = word_hashes(phrase.encode().split(b" "), lang)
-            hashes[i] = reduce(joined_hash, (each[k:k + 1] for k in range(len(each))))[0]
-        cell, bit = bitmap.places(hashes)
+        hashes = []
+        for key in batch.column(0).to_pylist():
+            lang, phrase = key.rsplit(BREAK, 1)
+            words = phrase.encode().split(b" ")
+            if phrase and len(words) < longest:
+                each = word_hashes(words, lang)
+                hashes.append(reduce(joined_hash, (each[k:k + 1] for k in range(len(each)))))
+        cell, bit = bitmap.places(np.concatenate([np.zeros(0, U), *hashes]))
         yield pa.RecordBatch.from_arrays([pa.array(cell), pa.array(bit.view(np.int64))], ["cell", "bit"])
 
 
-def grown(bitmap: Bitmap, frequent: DataFrame) -> Bitmap:
+def grown(bitmap: Bitmap, frequent: DataFrame, longest: int) -> Bitmap:
     """The bitmap with the phrases in ``frequent``; at most its own cells come back."""
-    got = frequent.select("lang", "phrase").mapInArrow(lambda b: _cells(bitmap.bits, b), "cell bigint, bit bigint").groupBy("cell").agg(F.bit_or("bit").alias("bits")).toArrow()
+    got = frequent.select("key").mapInArrow(lambda b: _cells(bitmap.bits, longest, b), "cell bigint, bit bigint").groupBy("cell").agg(F.bit_or("bit").alias("bits")).toArrow()
     return bitmap.with_cells(got.column("cell").to_numpy(), got.column("bits").to_numpy().view(U)) if got.num_rows else bitmap
 
 
-def phrase_counts(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, shards: int = SHARDS, bits: int = BITS, block: int = BLOCK,
+def bits_for(words: int) -> int:
+    return max(FEWEST, min(BITS, max(1, words // WORDS_A_BIT).bit_length()))
+
+
+def phrase_counts(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, shards: int = SHARDS, bits: int | None = None, block: int = BLOCK,
                   lang_col: str = "lang", text_col: str = "text") -> DataFrame:
     """(lang, phrase, words, f): every phrase that occurs ``least`` times or more, of up to ``longest`` words; in the row '' with 0 words all words of the language."""
     spark: SparkSession = docs.sparkSession
@@ -173,25 +183,38 @@ def phrase_counts(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, s
     base = f"{spark.sparkContext.getCheckpointDir()}/phrases-{uuid.uuid4().hex}"
     given = docs.select(F.coalesce(lang_col, F.lit("und")).alias("lang"), whole(text_col).alias("text"), (F.monotonically_increasing_id() % shards).cast("int").alias("shard"))
     texts = stored_in(given, f"{base}/texts", "shard")
-    bitmaps, tables, t = [Bitmap(bits)], [], 0
+    every_word = F.col("key").endswith(BREAK)
+    # the bitmap of this step, those of the steps before it for one cycle, and the counts that are not complete
+    none, bitmaps, counting, done, t = Bitmap(FEWEST), {}, None, [], 0
     while t < shards or bitmaps[t] != bitmaps[t - shards]:
-        now, before = bitmaps[t], bitmaps[t - shards] if t >= shards else Bitmap(bits)
-        sent = spark.sparkContext.broadcast((now, before))
+        now, before = bitmaps.get(t, none), bitmaps.pop(t - shards, none)
+        sent = spark.sparkContext.broadcast((now, before if before.bits == now.bits else Bitmap(now.bits)))
         new = texts.where(F.col("shard") == t % shards).select("lang", "text").mapInArrow(lambda b, s=sent, one=t < shards: _count(s, one, longest, block, b), COUNTS).withColumn("born", F.lit(t))
-        every = new.unionByName(tables[-1].where("not complete").drop("complete")) if tables else new
-        added = every.groupBy("lang", "phrase", "words").agg(F.sum("f").alias("f"), F.min("born").alias("born"))
+        added = (new if counting is None else new.unionByName(counting)).groupBy("key").agg(F.sum("f").alias("f"), F.min("born").alias("born"))
         # whoever was first seen a cycle ago has been active for one at least
         complete = F.col("born") <= t - shards + 1
-        tables.append(stored_in(added.withColumn("complete", complete).where(~F.col("complete") | (F.col("f") >= least) | (F.col("words") == 0)), f"{base}/step={t}", "complete"))
+        step = stored_in(added.withColumn("complete", complete).where(~F.col("complete") | (F.col("f") >= least) | every_word), f"{base}/step={t}", "complete")
         sent.destroy()
         if t:
             remove(spark, f"{base}/step={t - 1}/complete=false")
-        bitmaps.append(grown(now, tables[-1].where((F.col("f") >= least) & F.col("words").between(1, longest - 1))))
+        else:
+            all_words = step.where(every_word).agg(F.sum("f")).first()[0] or 0
+            none = Bitmap(bits or bits_for(all_words * shards))
+            bitmaps[0] = none
+        counting = step.where("not complete").drop("complete")
+        done.append(step.where("complete").select("key", "f"))
+        bitmaps[t + 1] = grown(bitmaps[t], step.where(F.col("f") >= least), longest)
         t += 1
     remove(spark, f"{base}/texts")
     # no phrase has a shard left to see, so the last ones that are marked as open are complete too
-    done = [x.where("complete") for x in tables] + [tables[-1].where(~F.col("complete") & ((F.col("f") >= least) | (F.col("words") == 0)))]
-    return reduce(DataFrame.unionByName, done).select("lang", "phrase", "words", "f")
+    found = reduce(DataFrame.unionByName, done).unionByName(counting.where((F.col("f") >= least) | every_word).select("key", "f"))
+    phrase = F.substring_index("key", BREAK, -1)
+    lang = F.substring(F.col("key"), F.lit(1), F.char_length("key") - F.char_length(phrase) - 1)
+    told = found.select(lang.alias("lang"), phrase.alias("phrase"), "f")
+    out = stored_in(told.withColumn("words", F.when(F.col("phrase") == "", 0).otherwise(F.size(F.split("phrase", " ")))), f"{base}/found", "words")
+    for k in range(t):
+        remove(spark, f"{base}/step={k}")
+    return out.select("lang", "phrase", "words", "f")
 
 
 def with_counts(rows: DataFrame, part: str, counts: DataFrame, name: str, most: float) -> DataFrame:
