@@ -81,8 +81,15 @@ _mv, _cv = f"CAST({_fx('m', 2)} AS DOUBLE) * 1e6", f"CAST({_fx('CASE WHEN c % 6
 _kv = "CAST((c % 900 + 1) * 1000 AS DOUBLE)"
 _near = lambda a, b: f"({a} > 0 AND {b} > 0 AND (abs({a} - {b}) / greatest({a}, {b}) <= 0.005 OR ({a} < 100000 AND abs({a} - {b}) <= 1000)))"
 _pv, _qv = f"CAST({_fx('p', 1)} AS DOUBLE)", f"CAST({_fx('CASE WHEN c % 7 = 0 THEN p + 5 ELSE p END', 1)} AS DOUBLE)"
-query("CL6_not_in_table", f"""SELECT c AS id, 'dollar' AS kind, {_mv} AS value FROM r_note_parts WHERE {_mv} >= 1000 AND NOT {_near(_mv, _cv)} UNION ALL SELECT c, 'dollar', {_kv} FROM r_note_parts WHERE {_kv} >= 1000 AND NOT {_near(_kv, _cv)}
-    UNION ALL SELECT c, 'percent', {_pv} FROM r_note_parts WHERE NOT ({_pv} = 0 OR {_pv} = 100 OR ({_pv} = floor({_pv}) AND {_pv} < 10)) AND NOT abs({_pv} - {_qv}) <= 0.1""")(lambda f: cl.not_in_table(notes(f)).select("id", "kind", "value"))
+_line = r"^\s*\|.+\|\s*$"
+_figs = lambda t: f"""SELECT rid, id, 'dollar' AS kind, raw, {_val('raw', _m)} * {_unit} AS value FROM (SELECT rid, id, unnest(regexp_extract_all({t}, '{_m}')) AS raw FROM x_t)
+    UNION ALL SELECT rid, id, CASE WHEN raw LIKE '%\\%' ESCAPE '\\' THEN 'percent' ELSE 'points' END, raw, {_val('raw', _p)} FROM (SELECT rid, id, unnest(regexp_extract_all({t}, '{_p}')) AS raw FROM x_t)"""
+query("CL6_not_in_table", f"""WITH x_t AS (SELECT row_number() OVER () AS rid, id, array_to_string(list_filter(lines, lambda x: regexp_matches(x, '{_line}')), chr(10)) AS cells, array_to_string(list_filter(lines, lambda x: NOT regexp_matches(x, '{_line}')), chr(10)) AS body
+        FROM (SELECT id, string_split_regex(text, '\\r?\\n') AS lines FROM {_all})),
+    x_c AS ({_figs('cells')}), x_q AS ({_figs('body')})
+    SELECT DISTINCT ON (q.rid, q.kind, q.value) q.id, q.kind, q.value FROM x_q q JOIN x_t t ON t.rid = q.rid WHERE trim(t.cells) <> '' AND q.value IS NOT NULL
+    AND CASE WHEN q.kind = 'dollar' THEN q.value >= 1000 ELSE NOT (q.value = 0 OR q.value = 100 OR (q.value = floor(q.value) AND q.value < 10)) END
+    AND NOT EXISTS (SELECT 1 FROM x_c c WHERE c.rid = q.rid AND c.kind = q.kind AND CASE WHEN q.kind = 'dollar' THEN {_near('q.value', 'c.value')} ELSE abs(q.value - c.value) <= 0.1 END)""")(lambda f: cl.not_in_table(corpus(f)).select("id", "kind", "value"))
 query("CL7_data_gap_language", "SELECT 'n' || c AS id, 'This slice does not carry' AS snippet FROM r_note_parts WHERE c % 5 = 0")(lambda f: cl.data_gap_language(corpus(f)).select("id", "snippet"))
 _names = ["low_utilization_employees", "partners", "revenue_per_partner", "dso"]
 

@@ -1,16 +1,14 @@
 """DQ*: quality checks, each as a table of check, actual, lo, hi, passed."""
 
-from pyspark.sql import functions as F, types as T
-
 from tallyhouse.catalogue.check_tables import ASOF, back, clean_open, dbl, div, pct
 from tallyhouse.catalogue.registry import query
-from tallyhouse.plans import quality as q
-from tallyhouse.sources.tables import typed_rows
+from tallyhouse.plans import envelope as env, quality as q
 
 BOUNDS = q.Bounds.load()
 num = lambda v: "CAST(NULL AS DOUBLE)" if v is None else f"CAST({float(v)!r} AS DOUBLE)"
 ALL: list[q.Check] = []
 SQL: dict[str, str] = {}
+SCALARS: dict[str, tuple[str, str]] = {}
 
 
 def row(name, low, high, scalar):
@@ -24,6 +22,7 @@ def checks(qid, *items):
     sql = " UNION ALL ".join(row(n, *b, s) for n, _, b, s, *_ in items)
     ALL.extend(made)
     SQL.update({n: row(n, *b, s) for n, _, b, s, *_ in items})
+    SCALARS.update({n: (qid, s) for n, _, _, s, *_ in items})
     query(qid, sql)(lambda f: q.evaluate(f, made))
 
 
@@ -62,23 +61,53 @@ checks("DQ18_office_spread", ("expense: largest to median office", lambda f: q.o
 _pa, _pb = dbl(f"(SELECT sum(corporate_expenses) {_last})"), dbl(f"(SELECT sum(CAST(accrued_expenses AS DECIMAL(38,2))) FROM r_dept WHERE department = 'Corporate' AND fiscal_period = {back(1)})")
 checks("DQ19_table_parity", ("corporate expense in two tables", q.table_parity, (None, 5), f"SELECT abs({_pa} - {_pb}) / NULLIF(greatest({_pa}, {_pb}), 0) * 100"))
 checks("DQ20_ledger_balance", ("debits equal credits", q.ledger_balance, (0, 0), "SELECT sum(net_amount) FROM r_gl"))
-_share = lambda c, v: f"SELECT {pct(f'sum(CASE WHEN {c} = {v!r} THEN amount ELSE 0 END)', 'sum(amount)')} FROM r_ar WHERE invoice_date >= {ASOF} - 365"
-checks("DQ22_declared_bounds", ("practice share", lambda f: q.share_of(f, "practice_area", "1-URGENT"), at("practice_economics", "urgent_share_pct"), _share("practice_area", "1-URGENT")),
-       ("industry share", lambda f: q.share_of(f, "industry", "BUILDING"), at("industry_mix", "building_pct"), _share("industry", "BUILDING")),
-       ("median engagement", lambda f: q.engagement_quantile(f, 0.5), at("engagement_economics", "median_engagement_value"), f"SELECT quantile_cont({dbl('planned_revenue')}, 0.5) FROM r_projects"),
-       ("p90 engagement", lambda f: q.engagement_quantile(f, 0.9), at("engagement_economics", "p90_engagement_value"), f"SELECT quantile_cont({dbl('planned_revenue')}, 0.9) FROM r_projects"),
-       ("corporate share of expenses", lambda f: q.expense_share(f, "Corporate"), at("expense_structure", "corporate_share_pct"), f"SELECT {pct('sum(CASE WHEN expense_category_business = ' + repr('Corporate') + ' THEN amount ELSE 0 END)', 'sum(amount)')} FROM r_expenses_filed"),
-       ("top ten clients by revenue", lambda f: q.client_revenue_concentration(f, 10), at("client_portfolio", "top_10_revenue_concentration_pct"), _conc(10, "FROM r_timecards WHERE time_type_clean = 'Billable'", "customer", "billing_amount")),
-       ("expense project orphans", lambda f: q.orphan_count(f, "fact_expenses"), (0, 0), "SELECT count(*) FROM r_expenses WHERE project_id IS NOT NULL AND project_id NOT IN (SELECT project_id FROM r_projects)"),
-       ("cross-region hours", q.cross_region_share, at("semantic_invariants", "cross_region_project_share_pct"), f"SELECT {pct('sum(CASE WHEN home <> region THEN hours_worked ELSE 0 END)', 'sum(hours_worked)')} FROM r_timecards JOIN (SELECT employee_id, region AS home FROM r_employees WHERE is_latest_snapshot) USING (employee_id) WHERE time_type_clean = 'Billable'"),
+# every declared bound --------------------------------------------------------------
+_year = lambda t, c: f"(SELECT * FROM {t} WHERE {c} >= {ASOF} - 365)"
+_mix = lambda path, c: f"SELECT '{path}' AS path, coalesce({c}, 'unknown') AS member, {pct('sum(amount)', f'(SELECT sum(amount) FROM {_year('r_ar', 'invoice_date')})')} AS actual FROM {_year('r_ar', 'invoice_date')} GROUP BY 2"
+_fig = lambda path, scalar, member="": f"SELECT '{path}', '{member}', CAST(({scalar}) AS DOUBLE)"
+_q = lambda x: f"SELECT quantile_cont({dbl('planned_revenue')}, {x}) FROM r_projects"
+_least = lambda t, c: f"SELECT min(n) FROM (SELECT count(*) AS n FROM {_year(t, c)} GROUP BY location, fiscal_month)"
+_known = lambda t: f"SELECT {pct('count(*) FILTER (project_id IN (SELECT project_id FROM r_projects))', 'count(project_id)')} FROM {t}"
+_REVENUE = "FROM r_timecards WHERE time_type_clean = 'Billable'"
+_filed = "SELECT sum(amount) FROM r_expenses_filed"
+ACTUALS = " UNION ALL ".join([
+    _mix("practice_economics.share_of_revenue_pct", "practice_area"), _mix("industry_mix.share_pct", "industry"), _mix("office_economics.share_of_revenue_pct", "location"),
+    _fig("firmwide.annual_revenue", f"SELECT sum(amount) FROM {_year('r_ar', 'invoice_date')}"), _fig("practice_economics.count", f"SELECT count(DISTINCT practice_area) FROM {_year('r_ar', 'invoice_date')}"),
+    _fig("firmwide.strict_partners", "SELECT count(*) FROM r_current WHERE employment_status = 'Active' AND job_level = 'Partner'"), _fig("firmwide.total_employees", "SELECT count(*) FROM r_current WHERE employment_status = 'Active'"),
+    _fig("office_economics.count", "SELECT count(DISTINCT location) FROM r_current"),
+    "SELECT 'practice_economics.partner_count', practice_area, CAST(count(*) FILTER (employment_status = 'Active' AND job_level = 'Partner') AS DOUBLE) FROM r_current GROUP BY 2",
+    _fig("receivables_ar.total_open_ar", f"SELECT sum(amount) {OPEN}"), _fig("receivables_ar.single_invoice", "SELECT max(amount) FROM r_ar"), _fig("semantic_invariants.ar_project_id_fk_resolution_pct", _known("r_ar")),
+    *[_fig("receivables_ar.aging_distribution_pct", f"SELECT {pct(f'sum(CASE WHEN {t} THEN amount ELSE 0 END)', 'sum(amount)')} {OPEN}", key) for key, (_, t) in _days.items()],
+    _fig("receivables_ar.top_10_client_ar_concentration_pct", _conc(10, OPEN, "customer_name", "amount")), _fig("receivables_ar.top_1_client_ar_concentration_pct", _conc(1, OPEN, "customer_name", "amount")),
+    _fig("payables_ap.top_vendor_concentration_pct", _conc(1, "FROM r_ap", "vendor_name", "amount")), _fig("payables_ap.vendor_count", "SELECT count(DISTINCT vendor_name) FROM r_ap"),
+    _fig("client_portfolio.top_10_revenue_concentration_pct", _conc(10, _REVENUE, "customer", "billing_amount")), _fig("client_portfolio.top_1_revenue_concentration_pct", _conc(1, _REVENUE, "customer", "billing_amount")),
+    f"SELECT 'expense_structure.category_share_pct', coalesce(expense_category_business, 'unknown'), {pct('sum(amount)', f'({_filed})')} FROM r_expenses_filed GROUP BY 2",
+    _fig("engagement_economics.median_engagement_value", _q(0.5)), _fig("engagement_economics.p90_engagement_value", _q(0.9)), _fig("engagement_economics.top_engagement_value", _q(1.0)),
+    _fig("firmwide.total_active_engagements", "SELECT count(*) FROM r_projects WHERE is_active"), _fig("firmwide.total_active_clients", "SELECT count(DISTINCT client_id) FROM r_projects WHERE is_active"),
+    f"SELECT 'office_economics.utilization_pct', coalesce(location, 'unknown'), {pct("sum(CASE WHEN time_type_clean = 'Billable' THEN hours_worked ELSE 0 END)", 'sum(hours_worked)')} FROM {_year('r_timecards', 'work_date')} GROUP BY 2",
+    _fig("volume_density.timecard_rows_per_office_month_min", _least("r_timecards", "work_date")), _fig("volume_density.ar_rows_per_office_month_min", _least("r_ar", "invoice_date")),
+    _fig("volume_density.ap_rows_per_office_month_min", _least("r_ap", "invoice_date")), _fig("volume_density.events_per_day_min", "SELECT min(n) FROM (SELECT CAST(ts AS DATE) AS d, count(*) AS n FROM events GROUP BY 1)"),
+    _fig("semantic_invariants.expense_project_id_fk_resolution_pct", _known("r_expenses")),
+    _fig("budget_variance.office_month_variance_pct", f"SELECT max(v) FROM (({_cv('total_revenue', 'budgeted_revenue')}) UNION ALL ({_cv('total_expenses', 'budgeted_expenses')})) AS t(v)"),
+    *[_fig(path, scalar) for path, (_, scalar) in {
+        "receivables_ar.max_mom_firmwide_dso_delta_days": SCALARS["largest monthly change of DSO"], "receivables_ar.min_top5_vs_rest_dso_spread_days": SCALARS["top five against the rest"],
+        "expense_structure.billable_expense_labor_share_pct": SCALARS["labour share of billable expense"], "partner_economics.monthly_billable_hours_per_partner": SCALARS["monthly billable hours per partner"]}.items()],
+    _fig("semantic_invariants.cross_region_project_share_pct", f"SELECT {pct('sum(CASE WHEN home <> region THEN hours_worked ELSE 0 END)', 'sum(hours_worked)')} FROM r_timecards JOIN (SELECT employee_id, region AS home FROM r_employees WHERE is_latest_snapshot) USING (employee_id) WHERE time_type_clean = 'Billable'"),
+])
+
+
+def bounds_sql(sections=None):
+    limits = env.bound_rows({s: v for s, v in BOUNDS.tree.items() if sections is None or s in sections})
+    values = ", ".join(f"('{p}', '{m}', {num(a)}, {num(b)})" for p, m, a, b in limits)
+    return f"""SELECT path, member, lo, hi, actual, actual IS NOT NULL AND coalesce(actual >= lo, true) AND coalesce(actual <= hi, true) AS passed FROM (
+        SELECT b.path, CASE WHEN b.m = '*' THEN coalesce(a.member, '*') ELSE b.m END AS member, b.lo, b.hi, a.actual FROM (VALUES {values}) AS b(path, m, lo, hi)
+        LEFT JOIN ({ACTUALS}) AS a(path, member, actual) ON a.path = b.path AND (b.m = '*' OR a.member = b.m))"""
+
+
+NEVER_CHECKED = ("practice_economics", "engagement_economics", "expense_structure", "industry_mix", "client_portfolio", "semantic_invariants", "volume_density")
+query("DQ21_bounds_as_data", bounds_sql())(lambda f: env.envelope(f, BOUNDS.tree))
+query("DQ22_declared_bounds", bounds_sql(NEVER_CHECKED))(lambda f: env.envelope(f, BOUNDS.tree, NEVER_CHECKED))
+checks("DQ22b_orphans_and_cells", ("expense project orphans", lambda f: q.orphan_count(f, "fact_expenses"), (0, 0), "SELECT count(*) FROM r_expenses WHERE project_id IS NOT NULL AND project_id NOT IN (SELECT project_id FROM r_projects)"),
        ("sparse payable cells", lambda f: q.sparse_cells(f, "fact_accounts_payable", "invoice_date", 40), (0, 0), _sparse("r_ap", "invoice_date", 40)),
-       ("sparse timecard cells", lambda f: q.sparse_cells(f, "fact_timecards", "work_date", 100), (0, 0), _sparse("r_timecards", "work_date", 100)),
-       ("thinnest event day", q.thinnest_day, at("volume_density", "events_per_day_min"), "SELECT min(n) FROM (SELECT CAST(ts AS DATE) AS d, count(*) AS n FROM events GROUP BY 1)"))
-_LIMITS = T.StructType([T.StructField("path", T.StringType()), T.StructField("lo", T.DoubleType()), T.StructField("hi", T.DoubleType())])
-query("DQ21_bounds_as_data", f"""SELECT path, lo, hi, n, n >= lo AND n <= hi AS passed FROM (VALUES {', '.join(f"('{p}', {num(a)}, {num(b)})" for p, a, b in BOUNDS.rows() if p in ('payables_ap.vendor_count', 'office_economics.count'))}) AS v(path, lo, hi)
-    JOIN (SELECT 'payables_ap.vendor_count' AS path, count(DISTINCT vendor_name) AS n FROM r_ap UNION ALL SELECT 'office_economics.count', count(DISTINCT location) FROM r_current) USING (path)""")(
-    lambda f: typed_rows(f.spark, BOUNDS.rows(), _LIMITS).join(
-        q.vendor_count(f).select(F.lit("payables_ap.vendor_count").alias("path"), F.col("actual").cast("bigint").alias("n")).unionByName(
-            q.office_count(f).select(F.lit("office_economics.count").alias("path"), F.col("actual").cast("bigint").alias("n"))), ["path"])
-    .withColumn("passed", (F.col("n") >= F.col("lo")) & (F.col("n") <= F.col("hi"))))
+       ("sparse timecard cells", lambda f: q.sparse_cells(f, "fact_timecards", "work_date", 100), (0, 0), _sparse("r_timecards", "work_date", 100)))
 query("DQ_all_failures", f"SELECT * FROM ({' UNION ALL '.join(SQL.values())}) WHERE NOT passed")(lambda f: q.evaluate(f, ALL).where(~F.col("passed")))

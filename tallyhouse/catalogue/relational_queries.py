@@ -130,10 +130,8 @@ def _top10(f):
 
 
 query("AG16_distinct", "SELECT DISTINCT region, location, practice_area FROM r_timecards")(lambda f: f.table("fact_timecards").select("region", "location", "practice_area").distinct())
-query("AG17_distinct_profile", " UNION ALL ".join(f"SELECT '{c}' AS column_name, count(DISTINCT {c}) AS distinct_values FROM r_ar" for c in ("customer_name", "payment_status", "aging_bucket", "lead_partner_name", "region", "location")))(
-    lambda f: f.table("fact_accounts_receivable").select(*[F.col(c) for c in ("customer_name", "payment_status", "aging_bucket", "lead_partner_name", "region", "location")])
-    .selectExpr("stack(6, " + ", ".join(f"'{c}', {c}" for c in ("customer_name", "payment_status", "aging_bucket", "lead_partner_name", "region", "location")) + ") as (column_name, v)")
-    .where(F.col("v").isNotNull()).distinct().groupBy("column_name").agg(F.count(F.lit(1)).alias("distinct_values")))
+_AR_TEXT = ["customer_name", "payment_status", "aging_bucket", "lead_partner_name", "region", "location", "practice_area", "industry", "customer"]
+query("AG17_distinct_profile", f"SELECT unnest({_AR_TEXT}) AS column_name, unnest([{', '.join(f'count(DISTINCT {c})' for c in _AR_TEXT)}]) AS distinct_values FROM r_ar")(lambda f: aggregates.distinct_profile(f.table("fact_accounts_receivable")))
 query("AG18_grouping_sets", f"""SELECT practice_area, location, region, CAST(grouping(practice_area, location, region) AS BIGINT) AS grain, {dbl('sum(billing_amount)')} AS revenue, {dbl('sum(hours_worked)')} AS hours FROM r_timecards WHERE fiscal_month = {back(1)}
     GROUP BY GROUPING SETS ((), (practice_area), (location), (region))""")(
     lambda f: kpis.months(f.table("fact_timecards"), f, [1], "fiscal_month").groupingSets([[], [F.col("practice_area")], [F.col("location")], [F.col("region")]], "practice_area", "location", "region").agg(
@@ -217,7 +215,7 @@ query("SO1_union_sources", f"SELECT category, count(*) AS n, count(invoice_numbe
     lambda f: f.table("receivables_wip_aging").groupBy("category").agg(N(), F.count("invoice_number").alias("numbered"), F.count("due_date").alias("dated"), SUM("amount", "total")))
 query("SO2_union_metrics", "SELECT metric_name, count(*) AS n, count(previous_value) AS with_previous, count(target_value) AS with_target FROM r_summary GROUP BY 1")(
     lambda f: f.table("enterprise_summary").groupBy("metric_name").agg(N(), F.count("previous_value").alias("with_previous"), F.count("target_value").alias("with_target")))
-query("SO3_union_spine", f"SELECT {DIM} FROM r_timecards WHERE fiscal_month >= {back(2)} AND time_type_clean = 'Billable' UNION SELECT {DIM} FROM r_expenses WHERE fiscal_month >= {back(2)}")(
+query("SO3_union_spine", f"SELECT {DIM} FROM r_timecards WHERE fiscal_month BETWEEN {back(2)} AND {back(0)} AND time_type_clean = 'Billable' UNION SELECT {DIM} FROM r_expenses WHERE fiscal_month BETWEEN {back(2)} AND {back(0)}")(
     lambda f: f.table("fact_timecards").where(f.periods.between_months("fiscal_month", 2, -1) & gold.billable()).select(*DIMS).union(
         f.table("fact_expenses").where(f.periods.between_months("fiscal_month", 2, -1)).select(*DIMS)).distinct())
 query("SO4_unpivot", " UNION ALL ".join(f"SELECT location, '{n}' AS category, {dbl(f'sum({n}_expenses)')} AS amount FROM r_pnl GROUP BY 1" for n in ("billable", "corporate", "marketing", "tech", "other")))(

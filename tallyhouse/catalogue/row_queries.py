@@ -74,9 +74,22 @@ def _append(f):
 
 query("SNK3_view", f"SELECT o_orderstatus, count(*) AS n FROM {_O} WHERE price > 100000 GROUP BY 1")(
     lambda f: (sinks.as_view(orders(f), "tallyhouse_orders"), f.spark.sql("SELECT o_orderstatus, count(*) AS n FROM tallyhouse_orders WHERE price > 100000 GROUP BY o_orderstatus"))[1])
-query("SNK4_merge_update", f"""SELECT o_orderkey, o_orderstatus, {dbl("CASE WHEN o_orderstatus = 'O' AND n >= 12 THEN CAST(top * 2 AS DECIMAL(38,4)) ELSE price END")} AS price FROM {_O} JOIN (SELECT o_custkey, count(*) AS n, max(price) AS top FROM {_O} GROUP BY 1) USING (o_custkey)""")(
-    lambda f: sinks.merge_update(orders(f), orders(f).groupBy("o_custkey").agg(F.count(F.lit(1)).alias("n"), F.max("price").alias("top")).where("n >= 12"), "o_custkey",
-                                 F.col("o_orderstatus") == "O", {"price": F.col("src_top") * 2}).select("o_orderkey", "o_orderstatus", "price"))
+
+
+def _by_month(f, name, *columns):
+    """Orders stored by month."""
+    df = orders(f).select(*columns, month_start("order_date").alias("month"))
+    path = scratch(f, name)
+    sinks.rebuild(df, path, "month")
+    return path, df.schema
+
+
+@query("SNK4_merge_update", f"""SELECT o_orderkey, o_orderstatus, {dbl("CASE WHEN o_orderstatus = 'O' AND n >= 12 THEN CAST(top * 2 AS DECIMAL(38,4)) ELSE price END")} AS price FROM {_O} JOIN (SELECT o_custkey, count(*) AS n, max(price) AS top FROM {_O} GROUP BY 1) USING (o_custkey)""")
+def _merge(f):
+    path, schema = _by_month(f, "merge", "o_orderkey", "o_custkey", "o_orderstatus", "price")
+    busy = orders(f).groupBy("o_custkey").agg(F.count(F.lit(1)).alias("n"), F.max("price").alias("top")).where("n >= 12")
+    sinks.merge_into(f.spark, path, schema, busy, "o_custkey", F.col("o_orderstatus") == "O", {"price": F.col("src_top") * 2}, "month")
+    return f.spark.read.schema(schema).parquet(path).select("o_orderkey", "o_orderstatus", "price")
 
 
 @query("SNK5_replace_slices", f"SELECT o_orderstatus, month_start, CASE WHEN o_orderstatus = 'P' THEN n + 1000 ELSE n END AS n, total FROM ({_MONTHLY})")
@@ -89,9 +102,16 @@ def _replace(f):
 
 query("SNK6_backfill", "SELECT account_id, coalesce(account_status, 'Active') AS account_status, coalesce(parent_account_id, -1) AS parent_account_id FROM r_accounts")(
     lambda f: sinks.backfill(f.source_table("sfdc_accounts").select("account_id", "account_status", "parent_account_id"), {"account_status": "Active", "parent_account_id": -1}))
-query("SNK7_upsert", f"""SELECT o_orderkey, CASE WHEN order_date >= {back(1)} THEN 'X' ELSE o_orderstatus END AS o_orderstatus FROM {_O}""")(
-    lambda f: sinks.upsert_by_key(orders(f).select("o_orderkey", "o_orderstatus"),
-                                  orders(f).where(F.col("order_date") >= F.lit(f.periods.month(1))).select("o_orderkey", F.lit("X").alias("o_orderstatus")), ["o_orderkey"]))
+
+
+@query("SNK7_upsert", f"""SELECT o_orderkey, CASE WHEN order_date >= {back(1)} THEN 'X' ELSE o_orderstatus END AS o_orderstatus, {month('order_date')} AS month FROM {_O} UNION ALL SELECT -o_orderkey, 'new', {month('order_date')} FROM {_O} WHERE order_date >= {back(1)}""")
+def _upsert(f):
+    path, schema = _by_month(f, "upsert", "o_orderkey", "o_orderstatus")
+    late = orders(f).where(F.col("order_date") >= F.lit(f.periods.month(1))).select("o_orderkey", F.lit("X").alias("o_orderstatus"), month_start("order_date").alias("month"))
+    sinks.upsert_into(f.spark, path, schema, late.unionByName(late.withColumns({"o_orderkey": -F.col("o_orderkey"), "o_orderstatus": F.lit("new")})), ["o_orderkey"], "month")
+    return f.spark.read.schema(schema).parquet(path)
+
+
 query("SNK7b_update_by_key", f"SELECT o_orderkey, o_custkey, CASE WHEN o_custkey % 3 = 0 THEN 'cust' || o_custkey ELSE o_orderstatus END AS o_orderstatus FROM {_O}")(
     lambda f: sinks.update_by_key(orders(f).select("o_orderkey", "o_custkey", "o_orderstatus"),
                                   f.raw("customer").where(F.col("c_custkey") % 3 == 0).select(F.col("c_custkey").alias("o_custkey"), F.concat(F.lit("cust"), "c_custkey").alias("o_orderstatus")),
@@ -99,15 +119,49 @@ query("SNK7b_update_by_key", f"SELECT o_orderkey, o_custkey, CASE WHEN o_custkey
 query("SNK8_add_columns", "SELECT employee_id, rate, CAST(NULL AS VARCHAR) AS note FROM (SELECT employee_id, CAST(rate AS DOUBLE) AS rate FROM r_cost_rates) UNION ALL SELECT employee_id, CAST(rate AS DOUBLE), 'billing' FROM r_billing_rates")(
     lambda f: sinks.add_columns(f.source_table("workday_cost_rates").select("employee_id", F.col("hourly_cost_rate").alias("rate")),
                                 f.source_table("workday_billing_rates").select("employee_id", F.col("billing_rate").alias("rate"), F.lit("billing").alias("note"))))
+@query("SNK8b_stored_table_evolves", f"""SELECT o_orderkey, o_orderstatus, CASE WHEN o_orderstatus <> 'O' THEN {dbl('price')} END AS price, CASE WHEN o_orderstatus = 'P' THEN o_custkey ELSE -1 END AS o_custkey FROM {_O}""")
+def _evolves(f):
+    """Three appends, each with one more column."""
+    path, df = scratch(f, "evolving"), orders(f)
+    sinks.append_evolving(df.where("o_orderstatus = 'O'").select("o_orderkey", "o_orderstatus"), path)
+    sinks.append_evolving(df.where("o_orderstatus = 'F'").select("price", "o_orderkey", "o_orderstatus"), path)
+    sinks.append_evolving(df.where("o_orderstatus = 'P'").select("o_orderkey", "o_orderstatus", "price", "o_custkey"), path, {"o_custkey": -1})
+    return sinks.read_evolving(f.spark, path)
+
+
 query("SNK9_empty_shell", f"SELECT 'orders' AS persona, o_orderkey AS slot_id, o_orderstatus AS value FROM {_O}")(
     lambda f: sinks.empty_shell(f.spark, T.StructType([T.StructField("persona", T.StringType(), False), T.StructField("slot_id", T.LongType(), False), T.StructField("value", T.StringType())]))
     .unionByName(orders(f).select(F.lit("orders").alias("persona"), F.col("o_orderkey").alias("slot_id"), F.col("o_orderstatus").alias("value"))))
 query("SNK10_failures", f"SELECT month_start, o_orderstatus, n, false AS passed FROM ({_MONTHLY}) WHERE n <= (SELECT count(*) / 240 FROM orders)")(
     lambda f: sinks.record_failures(monthly(f).join(F.broadcast(orders(f).agg((F.count(F.lit(1)) / 240).alias("floor"))), F.lit(True)).select(
         "month_start", "o_orderstatus", "n", (F.col("n") > F.col("floor")).alias("passed")), scratch(f, "failures")))
-query("SNK11_comments", "SELECT client_status, count(*) AS n FROM r_clients GROUP BY 1")(
-    lambda f: sinks.with_comments(f.table("dim_clients"), {"client_status": "Lifecycle state; a missing value counts as Active."}).groupBy("client_status").agg(N()))
-query("SNK12_inventory", " UNION ALL ".join(f"SELECT '{t}' AS table_name, count(*) AS row_count FROM {t}" for t in RAW) + " UNION ALL SELECT 'absent', -1")(lambda f: inventory({**{t: f.raw(t) for t in RAW}, "absent": None}))
+_COMMENTS = {"clients": {"client_status": "Lifecycle state; a missing value counts as Active.", "annual_revenue": "Revenue of the client itself, a year."}, "geography": {"region": "One of five."}}
+_COLUMNS = {"clients": {"client_id": "bigint", "client_name": "string", "client_status": "string", "annual_revenue": "decimal(18,4)"}, "geography": {"location": "string", "region": "string"}}
+query("SNK11_comments", "SELECT * FROM (VALUES " + ", ".join(f"('{t}', '{c}', '{kind}', '{_COMMENTS[t].get(c, '')}', {n})" for t, cs in _COLUMNS.items() for c, kind in cs.items() for n in ["(SELECT count(*) FROM r_clients)" if t == "clients" else "(SELECT count(*) FROM nation)"]) + ") AS v(table_name, column_name, type, comment, rows)")(
+    lambda f: _commented(f))
+
+
+def _commented(f):
+    """Two tables stored with comments; what comes back is read from their files, with the rows that these hold."""
+    places = f.source._places().select("location", "region")
+    paths, counts = {}, None
+    for t, df in (("clients", f.table("dim_clients")), ("geography", places)):
+        paths[t] = scratch(f, f"commented_{t}")
+        sinks.with_comments(df.select(*_COLUMNS[t]), _COMMENTS[t]).write.parquet(paths[t])
+        n = f.spark.read.parquet(paths[t]).agg(F.lit(t).alias("table_name"), F.count(F.lit(1)).alias("rows"))
+        counts = n if counts is None else counts.unionByName(n)
+    return sinks.stored_comments(f.spark, paths).join(counts, "table_name")
+
+
+@query("SNK12_inventory", " UNION ALL ".join(f"SELECT '{t}' AS table_name, count(*) AS row_count FROM {t}" for t in RAW) + " UNION ALL SELECT 'absent', -1 UNION ALL SELECT 'broken', -1 UNION ALL SELECT 'mended', count(*) FROM nation")
+def _inventory(f):
+    """All tables; one that is not there; one with a file that is none; one that was stored whole."""
+    broken, mended = scratch(f, "broken"), scratch(f, "mended")
+    f.raw("nation").write.parquet(mended)
+    f.raw("nation").write.parquet(broken)
+    f.raw("nation").select("n_name").write.mode("append").option("compression", "none").text(broken)
+    return inventory(f.spark, {**{t: f"{f.folder.rstrip('/')}/{t}.parquet" for t in RAW}, "absent": scratch(f, "absent"), "broken": broken, "mended": mended})
+
 
 # row rules -----------------------------------------------------------------------
 query("ROW1_projection", "SELECT client_id, client_name, client_type, parent_client_id FROM r_clients")(lambda f: f.table("dim_clients").select("client_id", "client_name", "client_type", "parent_client_id"))

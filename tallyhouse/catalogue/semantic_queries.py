@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from tallyhouse.catalogue.check_tables import ASOF, back, clean_open, dbl, div, pct, rnd
 from tallyhouse.catalogue.kpi_queries import _bill
 from tallyhouse.catalogue.registry import query
+from tallyhouse.plans.firm import BUILDERS
 from tallyhouse.functions import rules
 from tallyhouse.functions.money import dbl as as_double, sum_if
 from tallyhouse.plans import semantic as sm
@@ -104,6 +105,20 @@ query("SM7_realization", f"""SELECT region, practice_area, a AS accrual_rate, bl
 query("SM8_hours_per_partner_month", f"SELECT fiscal_month, {div(f'sum({_bill})', 'count(DISTINCT t.employee_id)')} AS hours_per_partner FROM r_timecards t WHERE employee_id IN (SELECT employee_id FROM r_current WHERE job_level = 'Partner') GROUP BY 1")(
     lambda f: f.table("fact_timecards").join(f.table("dim_employees").where(F.col("is_current") & F.col("is_latest_snapshot") & (F.col("job_level") == "Partner")), ["employee_id"], "left_semi")
     .groupBy("fiscal_month", "employee_id").agg(sum_if(billable(), "hours_worked").alias("h")).groupBy("fiscal_month").agg((as_double(F.sum("h")) / as_double(F.count("employee_id"))).alias("hours_per_partner")))
-_ENUM = ["project_type", "project_status", "contract_number", "billing_frequency", "region", "location", "practice_area", "industry", "customer"]
-query("SM9_enum_columns", "SELECT * FROM (" + " UNION ALL ".join(f"SELECT '{c}' AS column_name, count(DISTINCT {c}) AS distinct_values FROM r_projects" for c in _ENUM) + ") WHERE distinct_values BETWEEN 2 AND 1024")(
-    lambda f: sm.enum_columns(f.table("dim_projects"), _ENUM))
+_FIVE, _WORK = "region location practice_area industry customer", "project_type project_status"
+# text columns of every table of the layer, without names, free text and keys
+_TEXT = {
+    "dim_clients": ("r_clients", f"{_FIVE} client_type client_status"), "dim_employees": ("r_employees", f"{_FIVE} employment_status job_level job_family office_name country employee_type"),
+    "dim_projects": ("r_projects", f"{_FIVE} {_WORK} contract_number billing_frequency"), "fact_timecards": ("r_timecards", f"{_FIVE} timecard_id time_type_clean approval_status revenue_category"),
+    **{t: (r, f"{_FIVE} expense_item_id approval_status expense_type receipt_status department_category expense_category_business") for t, r in (("expenses_as_filed", "r_expenses_filed"), ("fact_expenses", "r_expenses"))},
+    "outlier_projects": ("r_outliers", "location"), "wip_unbilled": ("r_wip", f"{_FIVE} timecard_id time_type_clean approval_status revenue_category employee_name job_level job_family"),
+    "fact_accounts_payable": ("r_ap", f"{_FIVE} invoice_id payment_status department aging_bucket"), "fact_accounts_receivable": ("r_ar", f"{_FIVE} payment_status aging_bucket"),
+    "fact_general_ledger": ("r_gl", f"{_FIVE} account_type account_category"), "regional_pnl": ("r_pnl", f"{_FIVE} revenue_type"), "talent_supply_demand": ("r_talent", f"{_FIVE} job_level job_family"),
+    "project_profitability": ("r_profit", f"{_FIVE} {_WORK}"), "project_profitability_monthly": ("r_profit_monthly", f"{_FIVE} {_WORK}"),
+    "receivables_wip_aging": ("r_recv", f"{_FIVE} category record_id invoice_number payment_status aging_bucket"), "ar_snapshot_aging": ("r_snap", "region location aging_bucket"),
+    "te_contract_audit": ("r_audit", f"{_FIVE} {_WORK} contract_number budget_risk_level"), "enterprise_metrics": ("r_ent", _FIVE),
+    "payables_aging": ("r_payables", f"{_FIVE} invoice_number aging_bucket department vendor_classification fiscal_period payment_status"), "enterprise_summary": ("r_summary", f"{_FIVE} metric_name"),
+    "practice_area_summary": ("r_practice", _FIVE), "department_summary": ("r_dept", f"{_FIVE} department department_lead"), "partner_metrics": ("r_partner", f"{_FIVE} partner_name"),
+}
+query("SM9_enum_columns", "SELECT * FROM (" + " UNION ALL ".join(f"SELECT '{t}' AS table_name, unnest({list(cs.split())}) AS column_name, unnest([{', '.join(f'count(DISTINCT {c})' for c in cs.split())}]) AS distinct_values FROM {r}" for t, (r, cs) in _TEXT.items()) + ") WHERE distinct_values BETWEEN 2 AND 1024")(
+    lambda f: sm.enum_columns({t: f.table(t) for t in BUILDERS}))

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, functions as F
 from tallyhouse.functions import rules
 from tallyhouse.functions.money import dbl, ratio, share_pct, sum_if
 from tallyhouse.functions.periods import month_start
-from tallyhouse.operators.aggregates import exact_quantile, median_of_groups
+from tallyhouse.operators.aggregates import median_of_groups
 from tallyhouse.operators.joins import beside, orphans
 from tallyhouse.operators.windows import newest_periods
 from tallyhouse.plans.firm import Firm
@@ -224,19 +224,6 @@ def ledger_balance(f: Firm) -> DataFrame:
     return _one(f.table("fact_general_ledger"), F.sum("net_amount"))
 
 
-def share_of(f: Firm, column: str, value: str) -> DataFrame:
-    """Share of trailing revenue of one practice, industry or other dimension value."""
-    return _year(f, "fact_accounts_receivable", "invoice_date").agg(share_pct(sum_if(F.col(column) == value, "amount"), F.sum("amount")).alias("actual"))
-
-
-def engagement_quantile(f: Firm, q: float) -> DataFrame:
-    return exact_quantile(f.table("dim_projects"), "planned_revenue", q, "actual")
-
-
-def expense_share(f: Firm, category: str) -> DataFrame:
-    return f.table("expenses_as_filed").agg(share_pct(sum_if(F.col("expense_category_business") == category, "amount"), F.sum("amount")).alias("actual"))
-
-
 def cross_region_share(f: Firm) -> DataFrame:
     """Billable hours booked by people of another region than the project's."""
     staff = f.table("dim_employees").where("is_latest_snapshot").select("employee_id", F.col("region").alias("home"))
@@ -244,10 +231,6 @@ def cross_region_share(f: Firm) -> DataFrame:
     return per.join(staff, ["employee_id"]).agg(share_pct(sum_if(F.col("home") != F.col("region"), "h"), F.sum("h")).alias("actual"))
 
 
-def client_revenue_concentration(f: Firm, k: int) -> DataFrame:
-    return concentration(f.table("fact_timecards").where(billable()), "customer", "billing_amount", k)
-
-
 def thinnest_day(f: Firm) -> DataFrame:
     daily = f.raw("events").groupBy(F.col("ts").cast("date").alias("d")).agg(F.count(F.lit(1)).alias("n"))
     return _one(daily, F.min("n"))

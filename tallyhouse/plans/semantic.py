@@ -5,13 +5,14 @@ A measure applied to a table it does not fit is an error before anything runs.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Mapping, Sequence, Set
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from tallyhouse.functions import rules
 from tallyhouse.functions.money import dbl, ratio, rounded, share_pct, sum_if
+from tallyhouse.operators.aggregates import distinct_profile, text_columns
 from tallyhouse.operators.joins import beside, full_outer
 from tallyhouse.plans.firm import Firm
 from tallyhouse.plans.gold import billable
@@ -155,8 +156,41 @@ def safe_change(cur: Column, base: Column, kind: str) -> tuple[Column, Column, C
     return cur - base, pct, F.coalesce(F.abs(pct) > 100, F.lit(False))
 
 
-def enum_columns(df: DataFrame, text_columns: Sequence[str], low: int = 2, high: int = 1024) -> DataFrame:
-    """Text columns whose number of distinct values makes them choices, found in one pass."""
-    pairs = ", ".join(f"'{c}', {c}" for c in text_columns)
-    seen = df.selectExpr(f"stack({len(text_columns)}, {pairs}) as (column_name, v)").where(F.col("v").isNotNull()).distinct()
-    return seen.groupBy("column_name").agg(F.count(F.lit(1)).alias("distinct_values")).where(F.col("distinct_values").between(low, high))
+# Columns that hold names, free text or keys, never choices.
+NOT_ENUMS = {
+    "first_name", "last_name", "full_name", "email", "phone", "website",
+    "billing_street", "billing_city", "billing_state", "billing_country",
+    "billing_postal_code",
+    "project_name", "merchant_name", "report_name", "position_title",
+    "vendor_name", "client_name", "customer_name", "counterparty_name",
+    "lead_partner_name", "project_manager_name", "account_manager_name",
+    "task_id", "vendor_id", "client_id", "customer_id",
+    "project_manager_id", "account_manager_id",
+    "expense_description", "gl_account",
+}
+#: twice as far from the limit as a sketch of 2^SKETCH cells is ever off
+SKETCH, MARGIN = 12, 1.15
+
+
+def enum_columns(tables: Mapping[str, DataFrame], low: int = 2, high: int = 1024, excluded: Set[str] = frozenset(NOT_ENUMS)) -> DataFrame:
+    """(table_name, column_name, distinct_values) of the text columns that hold between ``low`` and ``high`` values.
+
+    Columns come from the schemas. One job sketches all of them in all tables; its result, one number
+    for a column, says which columns cannot be choices. Only the others are counted exactly, and they
+    have few values, so the counts are small whatever the number of rows.
+    """
+    columns = {t: [c for c in text_columns(df) if c not in excluded] for t, df in tables.items()}
+    guessed = None
+    for t, df in tables.items():
+        if not columns[t]:
+            continue
+        sketches = df.agg(*[F.hll_sketch_estimate(F.hll_sketch_agg(c, SKETCH)).alias(c) for c in columns[t]])
+        part = sketches.select(F.explode(F.array(*[F.struct(F.lit(t).alias("t"), F.lit(c).alias("c"), F.col(c).alias("n")) for c in columns[t]])).alias("r")).select("r.*")
+        guessed = part if guessed is None else guessed.unionByName(part)
+    few = {(r.t, r.c) for r in guessed.where(F.col("n") <= high * MARGIN).collect()} if guessed is not None else set()
+    out = SparkSession.active().createDataFrame([], "table_name string, column_name string, distinct_values bigint")
+    for t, df in tables.items():
+        maybe = [c for c in columns[t] if (t, c) in few]
+        if maybe:
+            out = out.unionByName(distinct_profile(df, maybe).select(F.lit(t).alias("table_name"), "column_name", "distinct_values"))
+    return out.where(F.col("distinct_values").between(low, high))

@@ -2,11 +2,13 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F, types as T
 
-from tallyhouse.plans import claims as cl, profiling as pm, quality as q
+from tallyhouse.operators.aggregates import distinct_profile, exact_quantiles
+from tallyhouse.plans import claims as cl, envelope as env, mapping as mp, quality as q
 from tallyhouse.plans.insights import SCHEMA, lookup
-from tallyhouse.plans.semantic import FILTERS, MEASURES, metric_view
+from tallyhouse.plans.semantic import FILTERS, MEASURES, enum_columns, metric_view
 from tallyhouse.plans.firm import Firm
 from tallyhouse.sources import sinks
+from tallyhouse.sources.tables import inventory
 
 
 def test_merge_updates_only_matches_that_pass(spark):
@@ -78,7 +80,7 @@ def test_best_candidates_against_brute_force(spark):
     rnd = np.random.default_rng(3)
     cand = [(i, f"f_{i % 5}_x", rnd.normal(size=8).tolist()) for i in range(300)]
     targ = [(t, f"f_{t}_x", rnd.normal(size=8).tolist()) for t in range(4)]
-    got = pm.best_candidates(spark.createDataFrame(targ, "target int, name string, vector array<double>"), spark.createDataFrame(cand, "candidate int, name string, vector array<double>").repartition(5), 5)
+    got = mp.best_candidates(spark.createDataFrame(targ, "target int, name string, vector array<double>"), spark.createDataFrame(cand, "candidate int, name string, vector array<double>").repartition(5), 5)
     cos = lambda a, b: float(np.dot(a, b) / np.linalg.norm(a) / np.linalg.norm(b))
 
     def sim(a, b):
@@ -90,20 +92,63 @@ def test_best_candidates_against_brute_force(spark):
         assert [r["candidate"] for r in got.where(F.col("target") == t).orderBy("rank").collect()] == want
 
 
-def test_best_candidates_in_several_passes(spark, monkeypatch):
-    monkeypatch.setattr(pm, "TARGETS_PER_PASS", 2)
-    t = spark.createDataFrame([(i, f"n{i}", [1.0, float(i)]) for i in range(5)], "target int, name string, vector array<double>")
-    c = spark.createDataFrame([(i, f"n{i}", [1.0, float(i)]) for i in range(5)], "candidate int, name string, vector array<double>")
-    assert sorted((r["target"], r["candidate"]) for r in pm.best_candidates(t, c, 1).collect()) == [(i, i) for i in range(5)]
-
-
-def test_mapping_gate(spark):
-    df = spark.createDataFrame([(1, "a")], "k int, v string")
-    m = pm.Mapping_(df, {"k": "main.k", "gap": None, "far": "other.x", "odd": "main.v"}, unreviewed=frozenset({"odd"}))
-    assert pm.unresolved(m) == ["gap", "far", "odd"]
-    with pytest.raises(ValueError, match="3 columns"):
-        pm.mapped_view(m)
-    assert tuple(pm.mapped_view(m, allow_gaps=True).first()) == (1, None, None, None)
+def similar(a, b):
+    x, y = set(a.split("_")), set(b.split("_"))
+    return 1.0 if a == b else len(x & y) / len(x | y)
+
+
+def test_every_pair_over_many_blocks(spark):
+    """More rows than a block on both sides, null and zero vectors, repeated names, ties."""
+    rnd = np.random.default_rng(5)
+    vec = lambda i: None if i % 17 == 3 else [0.0] * 6 if i % 17 == 5 else [float(x) for x in rnd.integers(-2, 3, 6)]
+    cand, targ = [(i, f"a_{i % 4}_b", vec(i)) for i in range(130)], [(t, f"a_{t % 6}", vec(t)) for t in range(40)]
+    c = spark.createDataFrame(cand, "candidate int, name string, vector array<float>").repartition(3)
+    t = spark.createDataFrame(targ, "target bigint, name string, vector array<double>").repartition(2)
+
+    def cos(a, b):
+        n = (np.linalg.norm(a) * np.linalg.norm(b)) if a and b else 0
+        return float(np.dot(a, b)) / n if n else 0.0
+
+    got = {(r.target, r.candidate): (r.score, r.similarity) for r in mp.pair_scores(t, c, block=16).collect()}
+    want = {(i, j): (cos(v, w), similar(a, b)) for i, a, v in targ for j, b, w in cand}
+    assert got.keys() == want.keys() and all(np.allclose(got[k], want[k], atol=1e-9) for k in want)
+    best = mp.best_candidates(t, c, 7, block=16).collect()
+    for i in range(40):
+        mine = sorted((r for r in best if r.target == i), key=lambda r: r.rank)
+        top = sorted((want[i, j][0] + 0.4 * want[i, j][1] for j in range(130)), reverse=True)[:7]
+        assert [r.rank for r in mine] == list(range(1, 8)) and np.allclose([r.blended for r in mine], top, atol=1e-9)
+        assert all(a.blended > b.blended or a.candidate < b.candidate for a, b in zip(mine, mine[1:]))
+    assert mp.best_candidates(t, c.limit(0), 3).count() == 0 and mp.best_candidates(t.limit(0), c, 3).count() == 0
+
+
+def test_matching_makes_no_job_while_planned(spark):
+    t = spark.createDataFrame([(1, "a", [1.0])], "target int, name string, vector array<double>")
+    spark.sparkContext.setJobGroup("plan only", "")
+    mp.best_candidates(t, t.withColumnRenamed("target", "candidate"), 1)
+    assert not spark.sparkContext.statusTracker().getJobIdsForGroup("plan only")
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+
+
+ROWS = "table_name string, target int, position int, column_name string, type string"
+
+
+def test_view_is_compiled_from_rows(spark):
+    df = spark.createDataFrame([(1, "a"), (2, "7")], "k int, v string")
+    far = spark.createDataFrame([(1, "x"), (1, "y")], "k int, w string")
+    required = spark.createDataFrame([("t", i, i, c, kind) for i, (c, kind) in enumerate([("k", "bigint"), ("gap", "date"), ("odd", "int"), ("sum", "int"), ("w", "string"), ("lost", "decimal(9,2)"), ("v", "int")])], ROWS)
+    decided = spark.createDataFrame([("t", 0, "one", "one", "k", "mapped"), ("t", 2, "one", "one", "k", "review: low confidence"), ("t", 4, "one", "two", "w", "review: different table"), ("t", 6, "one", "one", "v", "mapped")],
+                                    "table_name string, target int, main_source string, source_table string, source_column string, status string")
+    reviews = spark.createDataFrame([("t", 3, None, None, "main.k + 1"), ("t", 4, "two", "w", None), ("t", 5, "three", "z", None)], "table_name string, target int, source_table string, source_column string, expression string")
+    joins = spark.createDataFrame([("t", "b", "two", "main.k = b.k", "left")], "table_name string, alias string, source_table string, on string, how string")
+    rows, sources = mp.mapping_rows(required, decided, reviews), {"one": df, "two": far}
+    assert {r.column_name: r.reason for r in mp.refused(rows, joins).collect()} == {"gap": "no source", "odd": "open: review: low confidence", "lost": "source is not joined"}
+    with pytest.raises(ValueError, match="3 columns of t"):
+        mp.compiled("t", rows, joins, sources)
+    with pytest.raises(ValueError, match="no mapping"):
+        mp.compiled("other", rows, joins, sources)
+    view = mp.compiled("t", rows, joins, sources, allow_gaps=True)
+    assert dict(view.dtypes) == {"k": "bigint", "gap": "date", "odd": "int", "sum": "int", "w": "string", "lost": "decimal(9,2)", "v": "int"}
+    assert sorted(map(tuple, view.collect()), key=repr) == sorted([(1, None, None, 2, "x", None, None), (1, None, None, 2, "y", None, None), (2, None, None, 3, None, None, 7)], key=repr)
 
 
 def test_lookup_falls_back_to_firmwide(spark):
@@ -119,3 +164,115 @@ def test_named_measures_refuse_wrong_table(spark, small):
         MEASURES["Utilization Rate"].on(firm.raw("nation"), firm)
     with pytest.raises(ValueError, match="no dimension"):
         metric_view(firm, ["colour"])
+
+
+def files(path):
+    return {str(p.relative_to(path)) for p in path.rglob("*.parquet")}
+
+
+def by_part(spark, path, rows):
+    df = spark.createDataFrame(rows, "k int, v string, p string")
+    sinks.rebuild(df, str(path), "p")
+    return df.schema
+
+
+def test_merge_rewrites_touched_partitions_only(spark, tmp_path):
+    path = tmp_path / "t"
+    schema = by_part(spark, path, [(1, "a", "x"), (2, "b", "x"), (3, "c", "y"), (4, "d", None)])
+    before, opened = files(path), spark.read.schema(schema).parquet(str(path))
+    opened.count()
+    n = sinks.merge_into(spark, str(path), schema, spark.createDataFrame([(2, "B"), (4, "D"), (9, "no")], "k int, n string"), "k", F.lit(True), {"v": F.col("src_n")}, "p")
+    after = files(path)
+    assert n == 2 and {f for f in before if f.startswith("p=y")} == {f for f in after if f.startswith("p=y")} and not {f for f in before if f.startswith("p=x")} & after
+    assert sorted(map(tuple, spark.read.schema(schema).parquet(str(path)).collect()), key=repr) == sorted([(1, "a", "x"), (2, "B", "x"), (3, "c", "y"), (4, "D", None)], key=repr)
+    assert sinks.merge_into(spark, str(path), schema, spark.createDataFrame([(7, "n")], "k int, n string"), "k", F.lit(True), {"v": F.col("src_n")}, "p") == 0 and files(path) == after
+    with pytest.raises(ValueError, match="partition column"):
+        sinks.merge_into(spark, str(path), schema, opened, "k", F.lit(True), {"p": F.col("k")}, "p")
+
+
+def test_table_is_whole_while_a_merge_fails(spark, tmp_path):
+    path = tmp_path / "t"
+    schema = by_part(spark, path, [(i, "a", "xy"[i % 2]) for i in range(20)])
+    before = files(path)
+    bad = F.raise_error(F.lit("no")).cast("string")
+    with pytest.raises(Exception, match="no"):
+        sinks.merge_into(spark, str(path), schema, spark.createDataFrame([(2, "n")], "k int, n string"), "k", F.lit(True), {"v": bad}, "p")
+    assert files(path) == before and spark.read.schema(schema).parquet(str(path)).count() == 20
+
+
+def test_upsert_moves_rows_between_partitions(spark, tmp_path):
+    path = tmp_path / "t"
+    schema = by_part(spark, path, [(1, "a", "x"), (2, "b", "x"), (3, "c", "y"), (4, "d", "z")])
+    kept = {f for f in files(path) if f.startswith("p=x")}
+    n = sinks.upsert_into(spark, str(path), schema, spark.createDataFrame([("Y", 3, "C"), ("z", 9, "i")], "p string, k int, v string"), ["k"], "p")
+    assert n == 3 and {f for f in files(path) if f.startswith("p=x")} == kept and not (path / "p=y").exists()
+    assert sorted(map(tuple, spark.read.schema(schema).parquet(str(path)).collect())) == [(1, "a", "x"), (2, "b", "x"), (3, "C", "Y"), (4, "d", "z"), (9, "i", "z")]
+
+
+def test_hot_partition_is_written_by_many_tasks(spark, tmp_path):
+    path = str(tmp_path / "t")
+    df = spark.range(200_000).select(F.col("id").cast("int").alias("k"), F.sha2(F.col("id").cast("string"), 256).alias("v"), F.when(F.col("id") % 100 == 0, "cold").otherwise("hot").alias("p")).repartition(6)
+    spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "1m")
+    try:
+        sinks.rebuild(df, path, "p")
+    finally:
+        spark.conf.unset("spark.sql.adaptive.advisoryPartitionSizeInBytes")
+    assert len([f for f in files(tmp_path / "t") if f.startswith("p=hot")]) > 1
+
+
+def test_stored_table_evolves_without_rewriting(spark, tmp_path):
+    path = tmp_path / "t"
+    sinks.append_evolving(spark.createDataFrame([(1, "a")], "k int, v string"), str(path))
+    before = files(path)
+    sinks.append_evolving(spark.createDataFrame([(2.5, 2, "b")], "w double, k int, v string"), str(path))
+    sinks.append_evolving(spark.createDataFrame([(3,)], "k int"), str(path))
+    schema = sinks.append_evolving(spark.createDataFrame([(4, "mine")], "k int, axis string"), str(path), {"axis": "firmwide"})
+    assert before <= files(path) and [f.name for f in schema.fields] == ["k", "v", "w", "axis"]
+    assert sorted(map(tuple, sinks.read_evolving(spark, str(path)).collect())) == [(1, "a", None, "firmwide"), (2, "b", 2.5, "firmwide"), (3, None, None, "firmwide"), (4, None, None, "mine")]
+    with pytest.raises(ValueError, match="k is int, not string"):
+        sinks.append_evolving(spark.createDataFrame([("x",)], "k string"), str(path))
+    with pytest.raises(ValueError, match="not new: v"):
+        sinks.append_evolving(spark.createDataFrame([(1,)], "k int"), str(path), {"v": "x"})
+
+
+def test_comments_come_back_from_the_files(spark, tmp_path):
+    sinks.with_comments(spark.createDataFrame([(1, "a")], "k int, v string"), {"k": "The key."}).write.parquet(str(tmp_path / "t"))
+    assert sorted(map(tuple, sinks.stored_comments(spark, {"t": str(tmp_path / "t")}).collect())) == [("t", "k", "int", "The key."), ("t", "v", "string", "")]
+
+
+def test_inventory_survives_broken_tables(spark, tmp_path):
+    spark.range(50).repartition(3).write.parquet(str(tmp_path / "good"))
+    spark.range(50).repartition(2).write.parquet(str(tmp_path / "cut"))
+    for part in list((tmp_path / "cut").glob("*.parquet")):
+        part.write_bytes(part.read_bytes()[:40])
+    (tmp_path / "empty").mkdir()
+    got = {r.table_name: r.row_count for r in inventory(spark, {n: str(tmp_path / n) for n in ("good", "cut", "empty", "absent")}).collect()}
+    assert got == {"good": 50, "cut": -1, "empty": -1, "absent": -1}
+
+
+def test_quantiles_at_several_positions(spark):
+    rnd = np.random.default_rng(1)
+    values = [*rnd.normal(size=5000).tolist(), *[1.5] * 3000, None]
+    df = spark.createDataFrame([(v,) for v in values], "v double").repartition(4)
+    places = {"a": 0.0, "b": 0.25, "c": 0.5, "d": 0.9, "e": 0.999, "f": 1.0}
+    got = exact_quantiles(df, "v", places).first()
+    want = np.quantile([v for v in values if v is not None], list(places.values()))
+    assert np.allclose([got[c] for c in places], want, rtol=0, atol=1e-12)
+    assert tuple(exact_quantiles(df.limit(0), "v", places).first()) == (None,) * 6
+
+
+def test_bound_without_a_value_fails_and_each_member_is_judged(spark):
+    tree = {"s": {"one": [0, 5], "gone": [None, 1], "share": {"*": [10, 50], "a": [10, 20], "z": [1, 2]}, "none": {"*": [0, 1]}}}
+    bounds = spark.createDataFrame(env.bound_rows(tree), env.LIMITS)
+    actual = spark.createDataFrame([("s.one", "", 5.0), ("s.share", "a", 30.0), ("s.share", "b", 60.0), ("s.other", "", 1.0)], env.ROWS)
+    got = sorted((r.path, r.member, r.lo, r.hi, r.actual, r.passed) for r in env.judged(bounds, actual).fillna({"lo": -1.0, "hi": -1.0, "actual": -1.0}).collect())
+    assert got == sorted([("s.one", "", 0.0, 5.0, 5.0, True), ("s.gone", "", -1.0, 1.0, -1.0, False), ("s.share", "a", 10.0, 50.0, 30.0, True), ("s.share", "b", 10.0, 50.0, 60.0, False),
+                          ("s.share", "a", 10.0, 20.0, 30.0, False), ("s.share", "z", 1.0, 2.0, -1.0, False), ("s.none", "*", 0.0, 1.0, -1.0, False)])
+
+
+def test_enum_columns_come_from_the_schema(spark):
+    n = 3000
+    df = spark.range(n).select(*[F.concat(F.lit("v"), F.col("id") % k).alias(f"c{k}") for k in (1, 2, 3, 1023, 1024, 1025, 1100, 2000)], F.lit(None).cast("string").alias("nulls"), F.col("id").alias("number"), F.lit("x").alias("vendor_name"))
+    got = enum_columns({"t": df, "none": spark.range(3)})
+    assert {(r.table_name, r.column_name): r.distinct_values for r in got.collect()} == {("t", f"c{k}"): k for k in (2, 3, 1023, 1024)}
+    assert {r.column_name: r.distinct_values for r in distinct_profile(df).collect()} == {**{f"c{k}": k for k in (1, 2, 3, 1023, 1024, 1025, 1100, 2000)}, "nulls": 0, "vendor_name": 1}
