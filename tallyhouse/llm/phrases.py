@@ -36,7 +36,7 @@ import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from tallyhouse.llm.common import checkpoint_dir, remove, stored_in, whole
+from tallyhouse.llm.common import checkpoint_dir, remove, stored_in, tidy, whole
 
 #: occurrences of a phrase, words of the longest phrase, shards of a cycle
 LEAST, LONGEST, SHARDS = 10, 3, 2
@@ -48,6 +48,8 @@ COVERED, TOP = 50, 2000
 BLOCK = 1 << 22
 #: parts with 1 / HOT of all words are broadcast
 HOT = 1000
+#: parts of a language that are ranked by themselves
+PARTS = 16
 #: ends a piece: a byte that no UTF-8 text holds
 END = b"\xff"
 PIECES = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ.,;:!?\n\v\f\r", b"abcdefghijklmnopqrstuvwxyz" + END * 10)
@@ -114,26 +116,42 @@ def phrases_in(block: bytes, lang: str, now: Bitmap, before: Bitmap, singly: boo
         yield pa.array([b""], pa.binary()), count.sum(keepdims=True)
         yield spelled, count
     new, old = now.holds(each), before.holds(each)
-    # places of phrases that have reached the threshold, their numbers, hashes, and whether they had done so a cycle ago
+    # places of phrases that have reached the threshold, their hashes, and whether they had done so a cycle ago
     places = np.flatnonzero((ids >= 0) & new[ids])
-    number, hashes, long_ago = ids[places], each[ids[places]], old[ids[places]]
+    hashes, long_ago = each[ids[places]], old[ids[places]]
     for words in range(2, longest + 1):
         # a phrase starts where the one of a word less does and the next place starts one too
         first = np.flatnonzero(np.diff(places) == 1)
         if not len(first):
             return
-        start, last = places[first], ids[places[first] + words - 1]
-        keys, at, group, count = np.unique(number[first] * size + last, return_index=True, return_inverse=True, return_counts=True)
-        # a hash that collides may be held without the phrase's parts, so parts count as well
-        was_active = (long_ago[first] & long_ago[first + 1])[at]
-        fresh = ~was_active
-        if fresh.any():
-            tokens = start[at[fresh]][:, None] + np.arange(words)
-            yield pc.binary_join_element_wise(*(spelled.take(pa.array(ids[t])) for t in tokens.T), pa.scalar(b" ", pa.binary())), count[fresh]
-        h = joined_hash(hashes[first], each[last])[at]
-        reached, ago = now.holds(h), before.holds(h) & was_active
-        go = np.flatnonzero(reached[group])
-        places, number, hashes, long_ago = start[go], group[go], h[group[go]], ago[group[go]]
+        start, was_active = places[first], long_ago[first] & long_ago[first + 1]
+        fresh = start[~was_active]
+        if len(fresh):
+            columns, count = counted(ids, fresh, words, size)
+            yield pc.binary_join_element_wise(*(spelled.take(pa.array(c)) for c in columns), pa.scalar(b" ", pa.binary())), count
+        if words < longest:
+            h = joined_hash(hashes[first], each[ids[start + words - 1]])
+            go = now.holds(h)
+            places, hashes = start[go], h[go]
+            # a hash that collides may be held without the phrase's parts, so parts count as well
+            long_ago = before.holds(hashes) & was_active[go]
+
+
+def counted(ids: np.ndarray, start: np.ndarray, words: int, size: int) -> tuple[list[np.ndarray], np.ndarray]:
+    """The different sequences of ``words`` numbers below ``size`` that begin at the places, a column for each word, and how often they do."""
+    if size ** words < 1 << 63:
+        key = ids[start]
+        for k in range(1, words):
+            key = key * size + ids[start + k]
+        key.sort()
+        new = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
+        distinct, count, columns = key[new], np.diff(np.append(new, len(key))), []
+        for _ in range(words):
+            columns.append(distinct % size)
+            distinct = distinct // size
+        return columns[::-1], count
+    rows, count = np.unique(ids[start[:, None] + np.arange(words)], axis=0, return_counts=True)
+    return list(rows.T), count
 
 
 def _count(sent, singly: bool, longest: int, block: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -167,7 +185,7 @@ def _cells(bits: int, longest: int, batches: Iterator[pa.RecordBatch]) -> Iterat
 
 def grown(bitmap: Bitmap, frequent: DataFrame, longest: int) -> Bitmap:
     """The bitmap with the phrases in ``frequent``; at most its own cells come back."""
-    got = frequent.select("key").mapInArrow(lambda b: _cells(bitmap.bits, longest, b), "cell bigint, bit bigint").groupBy("cell").agg(F.bit_or("bit").alias("bits")).toArrow()
+    got = frequent.select("key").mapInArrow(lambda b: tidy(_cells(bitmap.bits, longest, b)), "cell bigint, bit bigint").groupBy("cell").agg(F.bit_or("bit").alias("bits")).toArrow()
     return bitmap.with_cells(got.column("cell").to_numpy(), got.column("bits").to_numpy().view(U)) if got.num_rows else bitmap
 
 
@@ -189,7 +207,7 @@ def phrase_counts(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, s
     while t < shards or bitmaps[t] != bitmaps[t - shards]:
         now, before = bitmaps.get(t, none), bitmaps.pop(t - shards, none)
         sent = spark.sparkContext.broadcast((now, before if before.bits == now.bits else Bitmap(now.bits)))
-        new = texts.where(F.col("shard") == t % shards).select("lang", "text").mapInArrow(lambda b, s=sent, one=t < shards: _count(s, one, longest, block, b), COUNTS).withColumn("born", F.lit(t))
+        new = texts.where(F.col("shard") == t % shards).select("lang", "text").mapInArrow(lambda b, s=sent, one=t < shards: tidy(_count(s, one, longest, block, b)), COUNTS).withColumn("born", F.lit(t))
         added = (new if counting is None else new.unionByName(counting)).groupBy("key").agg(F.sum("f").alias("f"), F.min("born").alias("born"))
         # whoever was first seen a cycle ago has been active for one at least
         complete = F.col("born") <= t - shards + 1
@@ -243,7 +261,10 @@ def collocations(counts: DataFrame, covered: int = COVERED, top: int = TOP) -> D
     exact = lambda c: F.col(c).cast("decimal(15,0)")
     cuts = cuts.withColumns({"over": (exact("a") * exact("a") * F.lit(1_000_000).cast("decimal(7,0)")).cast("decimal(38,0)"), "under": (exact("l") * exact("r")).cast("decimal(38,0)")})
     scored = cuts.withColumn("score", F.expr("over div under")).groupBy("lang", "phrase", "a").agg(F.min(F.struct("score", "k", "l", "r")).alias("cut"))
-    by = Window.partitionBy("lang").orderBy(F.desc("cut.score"), F.desc("a"), "phrase")
-    best = scored.withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= top)
+    # the best of each part of a language first, so the last step reads PARTS x top phrases of a language however many there are
+    order = [F.desc("cut.score"), F.desc("a"), F.col("phrase")]
+    part = F.pmod(F.xxhash64("phrase"), F.lit(PARTS)).alias("part")
+    best = scored.select("*", part).withColumn("rank", F.row_number().over(Window.partitionBy("lang", "part").orderBy(*order))).where(F.col("rank") <= top)
+    best = best.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(*order))).where(F.col("rank") <= top)
     langs = counts.where("words = 0").select("lang", F.col("f").alias("n"))
     return best.join(langs, "lang").select("lang", F.col("rank").cast("bigint").alias("rank"), "phrase", "a", "cut.l", "cut.r", "n", F.col("cut.score").cast("bigint").alias("score"))
