@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tallyhouse.llm.anchors import BASES, BYTE, SPACE, Hasher, Rule, chunks, scrambled
-from tallyhouse.llm.common import cut, stored, whole
+from tallyhouse.llm.common import cut, stored, tidy, whole
 from tallyhouse.llm.mixing import with_dimension
 
 #: words of a shingle; similarity in percent
@@ -288,9 +288,9 @@ def _links(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> Data
     route = cut(member.unionByName(hub))
     count = route.count()
     routed = texts.join(F.broadcast(route) if count <= PICK else route, "key").select("text", "hub", "part", "member")
-    sets = routed.mapInArrow(lambda b: _sets(words, b), "hub bigint, part int, member bigint, elements binary")
+    sets = routed.mapInArrow(lambda b: tidy(_sets(words, b)), "hub bigint, part int, member bigint, elements binary")
     dealt = sets.repartition("hub", "part").sortWithinPartitions("hub", "part", F.col("member").asc_nulls_first())
-    return cut(dealt.mapInArrow(lambda b: _verify(percent, b), "hub bigint, key bigint").distinct())
+    return cut(dealt.mapInArrow(lambda b: tidy(_verify(percent, b)), "hub bigint, key bigint").distinct())
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -371,13 +371,13 @@ def _pairs_across(met: DataFrame, root: DataFrame, nodes: DataFrame, percent: in
     blocked = full.withColumn("block", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int")).withColumn("o", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     dealt = blocked.select("sig", F.least("block", "o").alias("i"), F.greatest("block", "o").alias("j"), "block", "key", "root", "n", "sketch")
     dealt = dealt.repartition("sig", "i", "j").sortWithinPartitions("sig", "i", "j")
-    return dealt.mapInArrow(lambda b: _across(percent, b), "hub bigint, key bigint").distinct()
+    return dealt.mapInArrow(lambda b: tidy(_across(percent, b)), "hub bigint, key bigint").distinct()
 
 
 def similar_components(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id, n_links): n_links counts the links of the document's set that were looked at and hold."""
     rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), whole(text_col).alias("text"))
-    light = cut(rows.mapInArrow(lambda b: _light(words, b), "doc_id bigint, n_shingles bigint, key bigint, sketch array<bigint>"))
+    light = cut(rows.mapInArrow(lambda b: tidy(_light(words, b)), "doc_id bigint, n_shingles bigint, key bigint, sketch array<bigint>"))
     nodes = cut(light.where("n_shingles > 0").groupBy("key").agg(F.first("n_shingles").alias("n"), F.first("sketch").alias("sketch"), F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("copies")))
     links, root = _linked(rows, nodes, words, percent)
     own = nodes.join(root, "key", "left").select("key", "least", "copies", F.coalesce("root", "key").alias("root"))
@@ -395,15 +395,15 @@ def _keyed_texts(rows: DataFrame, words: int) -> DataFrame:
         for part, texts in chunks(batches, Rule(True, words, words, CHUNK), 0):
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array(keys_of(*sets_of(texts, words)))], ["text", "key"])
 
-    return rows.select("text").mapInArrow(key, "text string, key bigint")
+    return rows.select("text").mapInArrow(lambda b: tidy(key(b)), "text string, key bigint")
 
 
 def _linked(rows: DataFrame, nodes: DataFrame, words: int, percent: int) -> tuple[DataFrame, DataFrame]:
     """Verified links, and the root of every key in one."""
     # about a third of a set's size is the number of its signatures
     buckets = max(64, int((nodes.agg(F.sum("n")).first()[0] or 0) / 3 / BUCKET))
-    packed = rows.select("text").mapInArrow(lambda b: _sign(words, percent, buckets, b), "bucket bigint, kind int, packed binary")
-    met = stored(packed.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_meet, "sig bigint, hub bigint, key bigint"))
+    packed = rows.select("text").mapInArrow(lambda b: tidy(_sign(words, percent, buckets, b)), "bucket bigint, kind int, packed binary")
+    met = stored(packed.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(lambda b: tidy(_meet(b)), "sig bigint, hub bigint, key bigint"))
     texts = _keyed_texts(rows, words)
     # one comparison for each set; what it does not settle is left to the second round
     stars = _may_link(met.select("hub", "key").distinct(), nodes, percent).groupBy("key").agg(F.min("hub").alias("hub")).select("hub", "key")

@@ -30,7 +30,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tallyhouse.llm.common import fresh, labelled_sample
+from tallyhouse.llm.common import fresh, labelled_sample, tidy
 
 #: labelled documents of each class that are counted or calibrated on, at most
 PER_CLASS = 8_000
@@ -188,7 +188,7 @@ def _hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def collected(pairs: DataFrame) -> Table:
     """(spelling, value) rows as sorted hashes and values."""
-    got = pairs.mapInArrow(_hashed, "hash bigint, value double").toArrow()
+    got = pairs.mapInArrow(lambda b: tidy(_hashed(b)), "hash bigint, value double").toArrow()
     keys, values = got.column("hash").to_numpy(), got.column("value").to_numpy()
     order = np.argsort(keys)
     return keys[order], values[order]
@@ -235,7 +235,7 @@ def fit(docs: DataFrame, labels: DataFrame, trains: Column, label_col: str = "to
     texts = docs.select(F.col(id_col), F.col(text_col).alias("text")).join(F.broadcast(sample), id_col)
     held = F.pmod(F.xxhash64(F.col(id_col), F.lit(11)), F.lit(HELD)) == 0
 
-    grams = texts.where(~held).select("text", "y").mapInArrow(_count_sample, "gram string, ordinary bigint, toxic bigint").groupBy("gram").agg(
+    grams = texts.where(~held).select("text", "y").mapInArrow(lambda b: tidy(_count_sample(b)), "gram string, ordinary bigint, toxic bigint").groupBy("gram").agg(
         F.sum("ordinary").alias("o"), F.sum("toxic").alias("t")).persist()
     seen = grams.agg(F.sum("o").alias("o"), F.sum("t").alias("t")).first()
     if not (seen.o and seen.t):
@@ -245,14 +245,14 @@ def fit(docs: DataFrame, labels: DataFrame, trains: Column, label_col: str = "to
     contexts = grams.groupBy(head().alias("h")).agg(
         *[f.alias(name) for c in "ot" for f, name in ((F.sum(c), c), (F.sum((F.col(c) > 0).cast("long")), f"kinds_{c}"))]).where(n >= LEAST)
     known = grams.where(n >= LEAST).withColumn("tail", F.expr(f"right(gram, {SHARED})"))
-    words = docs.select(F.col(text_col).alias("text")).mapInArrow(_distinct_words, "word string").distinct()
-    shared = words.mapInArrow(_count_words, "gram string, n bigint").groupBy("gram").agg(F.sum("n").alias("n"))
+    words = docs.select(F.col(text_col).alias("text")).mapInArrow(lambda b: tidy(_distinct_words(b)), "word string").distinct()
+    shared = words.mapInArrow(lambda b: tidy(_count_words(b)), "gram string, n bigint").groupBy("gram").agg(F.sum("n").alias("n"))
     base = shared_model(shared, known.select("tail").distinct())
     model = Model(*map(collected, differences(contexts, known, base)))
     base.unpersist()
     grams.unpersist()
     sent = spark.sparkContext.broadcast(model)
-    seen = texts.where(held).select("text", "y").mapInArrow(lambda b: _evidence(sent, b), "y int, evidence double").toPandas()
+    seen = texts.where(held).select("text", "y").mapInArrow(lambda b: tidy(_evidence(sent, b)), "y int, evidence double").toPandas()
     every = {r.y: r.n for r in labels.where(trains).groupBy(F.col(label_col).alias("y")).agg(F.count(F.lit(1)).alias("n")).collect()}
     model.slope, model.offset = calibrate(seen.evidence.to_numpy(), seen.y.to_numpy(), every)
     return model
@@ -290,6 +290,7 @@ def _evidence(sent, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
     model = sent.value
     for batch in batches:
         yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(model.evidences(batch.column(0).to_pylist()), pa.float64())], ["y", "evidence"])
+    model.known.clear()
 
 
 def _scores(sent, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -298,6 +299,8 @@ def _scores(sent, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
     for batch in batches:
         evidence = model.evidences(batch.column(batch.num_columns - 1).to_pylist())
         yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(evidence, pa.float64()), pa.array([model.score(e) for e in evidence], pa.float64())], [*batch.schema.names[:-1], "evidence", "score"])
+    # the worker stays, with its copy of the model
+    model.known.clear()
 
 
 def score(docs: DataFrame, model: Model, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
@@ -307,4 +310,4 @@ def score(docs: DataFrame, model: Model, text_col: str = "text", keep: list[str]
     (text,) = fresh(docs, "_scored")
     rows = docs.select(*keep, F.col(text_col).alias(text))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1])
-    return rows.mapInArrow(lambda b: _scores(sent, b), f"{schema}{', ' if keep else ''}evidence double, score double")
+    return rows.mapInArrow(lambda b: tidy(_scores(sent, b)), f"{schema}{', ' if keep else ''}evidence double, score double")
