@@ -5,7 +5,7 @@ that are equal have the same winnowed anchor, so the stretches behind the anchor
 are dealt out by anchor, and everything that can match meets in one shard. A stretch that occurs
 twice as a whole repeats all over. Different stretches of one anchor, and a lone one, are laid end to
 end with separators that match nothing (those that can share no window with another are left out); the shard's suffixes are classified, its leftmost-smaller
-substrings sorted recursively, all others induced from them in linear time, and the permuted common
+substrings sorted recursively, all others induced from them, a letter's bucket at a time in whole arrays, and the permuted common
 prefixes tell which suffixes share enough with a neighbour. A shard holds about ``SHARD`` bytes.
 
 Equal stretches are first put together within a chunk of texts, so a passage in a third of all texts
@@ -31,7 +31,7 @@ from tallyhouse.llm.common import cut
 #: bytes of a repeat, bytes of an anchor, bytes of text worked on at once
 RULE = Rule(words=False, threshold=200, gram=32, chunk=1_000_000)
 #: bytes in a suffix array; one anchor's stretches are never parted
-SHARD = 1 << 18
+SHARD = 1 << 19
 #: windows that begin within so many bytes of each other, seen from the anchor's gram, are told apart by sorting only
 CELL = 16
 LEAST = -(1 << 63)
@@ -40,80 +40,167 @@ STRETCH = "deal bigint, anchor bigint, hash bigint, place bigint, key bigint, st
 NAMES = ["deal", "anchor", "hash", "place", "key", "start", "copies", "pivot", "stretch", "spans"]
 
 
-def induced_sort(s: np.ndarray, letters: int) -> list[int]:
-    """Suffix array of whole numbers below ``letters`` that end in a 0 found nowhere else."""
-    n = len(s)
-    if n == 1:
-        return [0]
+#: alphabets of up to so many letters are induced a bucket at a time, others a suffix at a time
+BUCKETS = 1024
+
+
+def classified(s: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which suffixes are smaller than the next one, and where the leftmost smaller ones start."""
     # a suffix is smaller than the next one if its first change of letter goes up
     step = np.sign(np.diff(s.astype(np.int64)))
     change = np.flatnonzero(step)
-    nxt = np.searchsorted(change, np.arange(n - 1))
+    nxt = np.searchsorted(change, np.arange(len(s) - 1))
     small = np.append(step[change[np.minimum(nxt, len(change) - 1)]] > 0, True)
-    left = np.flatnonzero(small[1:] & ~small[:-1]) + 1
+    return small, np.flatnonzero(small[1:] & ~small[:-1]) + 1
+
+
+def by_bucket(s: np.ndarray, letters: int, single: int, small: np.ndarray, order: np.ndarray) -> np.ndarray:
+    """Suffix array induced from the order of the leftmost smaller suffixes, a letter's bucket at a time.
+
+    Suffixes of a bucket go in generations: those that others have put there, then those that these put into the same bucket.
+    The ``single`` smallest letters occur once each, so their suffixes are in order already.
+    """
+    first = np.flatnonzero(s < single)
+    first = first[np.argsort(s[first])]
+    seeds = _dealt(s, order[s[order] >= single], letters)
+    larger: list[list[np.ndarray]] = [[] for _ in range(letters)]
+
+    def put(into: list[list[np.ndarray]], come: np.ndarray) -> None:
+        if len(come):
+            for c, part in _dealt(s, come, letters).items():
+                into[c].append(part)
+
+    def before(those: np.ndarray, wanted: bool) -> np.ndarray:
+        """Suffixes one letter longer that are (not) smaller than the next."""
+        p = those[those > 0] - 1
+        return p[small[p] == wanted]
+
+    put(larger, before(first, False))
+    none = np.zeros(0, np.int64)
+    tops: list[np.ndarray] = [none] * letters
+    for c in range(single, letters):
+        found = []
+        now = np.concatenate(larger[c]) if larger[c] else none
+        while len(now):
+            found.append(now)
+            come = before(now, False)
+            same = s[come] == c
+            put(larger, come[~same])
+            now = come[same]
+        tops[c] = np.concatenate(found) if found else none
+        if c in seeds:
+            put(larger, before(seeds[c], False))
+    smaller: list[list[np.ndarray]] = [[] for _ in range(letters)]
+    out: list[np.ndarray] = []
+    for c in range(letters - 1, single - 1, -1):
+        found = []
+        now = np.concatenate(smaller[c]) if smaller[c] else none
+        while len(now):
+            found.append(now)
+            come = before(now, True)
+            same = s[come] == c
+            put(smaller, come[~same])
+            now = come[same]
+        put(smaller, before(tops[c][::-1], True))
+        out.extend((*found, tops[c][::-1]))
+    out.append(first[::-1])
+    return np.concatenate(out)[::-1]
+
+
+def _dealt(s: np.ndarray, places: np.ndarray, letters: int) -> dict[int, np.ndarray]:
+    """Places by their letter, in the order given."""
+    by = s[places]
+    order = np.argsort(by.astype(np.uint16) if letters <= 1 << 16 else by, kind="stable")
+    places, by = places[order], by[order]
+    head = np.flatnonzero(np.concatenate(([True], by[1:] != by[:-1]))) if len(by) else np.zeros(0, np.int64)
+    return dict(zip(by[head].tolist(), np.split(places, head[1:])))
+
+
+def by_suffix(s: np.ndarray, letters: int, small: np.ndarray, order: np.ndarray) -> np.ndarray:
+    """The same, a suffix at a time."""
+    n = len(s)
     count = np.bincount(s, minlength=letters)
     ends = np.cumsum(count)
-    heads0, tails0 = (ends - count).tolist(), ends.tolist()
     word, is_small = s.tolist(), small.tolist()
-
-    def induce(order: list[int]) -> list[int]:
-        sa = [-1] * n
-        tails = tails0[:]
-        for i in reversed(order):
-            c = word[i]
+    sa, tails = [-1] * n, ends.tolist()
+    for i in reversed(order.tolist()):
+        c = word[i]
+        tails[c] -= 1
+        sa[tails[c]] = i
+    heads = (ends - count).tolist()
+    for i in sa:  # grows ahead of the loop: larger suffixes fall behind their letter's head
+        if i > 0 and not is_small[i - 1]:
+            c = word[i - 1]
+            sa[heads[c]] = i - 1
+            heads[c] += 1
+    tails = ends.tolist()
+    for k in range(n - 1, -1, -1):
+        i = sa[k]
+        if i > 0 and is_small[i - 1]:
+            c = word[i - 1]
             tails[c] -= 1
-            sa[tails[c]] = i
-        heads = heads0[:]
-        for i in sa:  # grows ahead of the loop: larger suffixes fall behind their letter's head
-            if i > 0 and not is_small[i - 1]:
-                c = word[i - 1]
-                sa[heads[c]] = i - 1
-                heads[c] += 1
-        tails = tails0[:]
-        for k in range(n - 1, -1, -1):
-            i = sa[k]
-            if i > 0 and is_small[i - 1]:
-                c = word[i - 1]
-                tails[c] -= 1
-                sa[tails[c]] = i - 1
-        return sa
-
-    starts = left.tolist()
-    until = dict(zip(starts, starts[1:] + [n - 1]))
-    is_left = set(starts)
-    names, name, before = {}, -1, None
-    for i in induce(starts):
-        if i in is_left:
-            piece = word[i:until[i] + 1]
-            if piece != before:
-                name, before = name + 1, piece
-            names[i] = name
-    if name + 1 == len(starts):
-        order = sorted(starts, key=names.__getitem__)
-    else:
-        order = [starts[i] for i in induced_sort(np.array([names[i] for i in starts]), name + 1)]
-    return induce(order)
-
-
-def common_prefixes(s: np.ndarray, sa: list[int]) -> list[int]:
-    """For each place in text order, how much its suffix shares with the one before it in the array."""
-    word, n = s.tolist(), len(s)
-    before = [-1] * n
-    for a, b in zip(sa, sa[1:]):
-        before[b] = a
-    out, length = [0] * n, 0
-    for i, j in enumerate(before):
-        if j < 0:
-            length = 0
-            continue
-        while word[i + length] == word[j + length]:
-            length += 1
-        out[i] = length
-        if length:
-            length -= 1
+            sa[tails[c]] = i - 1
+    return np.array(sa)
+
+
+def induced_sort(s: np.ndarray, letters: int, single: int = 0) -> np.ndarray:
+    """Suffix array of whole numbers below ``letters`` that end in a 0 found nowhere else; the ``single`` smallest occur once each."""
+    n = len(s)
+    if n == 1:
+        return np.zeros(1, np.int64)
+    s = np.asarray(s, np.int64)
+    small, left = classified(s)
+    induce = (lambda order: by_bucket(s, letters, max(single, 1), small, order)) if letters - single <= BUCKETS else (lambda order: by_suffix(s, letters, small, order))
+    is_left = np.zeros(n, bool)
+    is_left[left] = True
+    rough = induce(left)
+    rough = rough[is_left[rough]]
+    # pieces from one leftmost smaller suffix to the next get numbers by their order; equal ones the same
+    size = np.zeros(n, np.int64)
+    size[left] = np.append(left[1:], n - 1) - left + 1
+    same = np.concatenate(([False], _equal(s, rough[:-1], rough[1:], size)))
+    names = np.zeros(n, np.int64)
+    names[rough] = np.cumsum(~same) - 1
+    if same.any():
+        rough = left[induced_sort(names[left], int(names[rough[-1]]) + 1)]
+    return induce(rough)
+
+
+def _equal(s: np.ndarray, a: np.ndarray, b: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Whether the pieces that start at a and at b are the same."""
+    out = size[a] == size[b]
+    at = np.flatnonzero(out)
+    if len(at):
+        length = size[a[at]]
+        starts = np.cumsum(length) - length
+        step = np.arange(length.sum()) - np.repeat(starts, length)
+        differs = s[np.repeat(a[at], length) + step] != s[np.repeat(b[at], length) + step]
+        out[at] = ~np.logical_or.reduceat(differs, starts)
     return out
 
 
+def common_prefixes(s: np.ndarray, sa: np.ndarray) -> np.ndarray:
+    """For each place in text order, how much its suffix shares with the one before it in the array.
+
+    Where the letters in front of both agree as well, it is one less than at the place in front. All
+    other places are compared letter by letter, all at once; those that disagree leave.
+    """
+    n = len(s)
+    before = np.full(n, -1)
+    before[sa[1:]] = sa[:-1]
+    at = np.arange(n)
+    led = (at > 0) & (before > 0)
+    led[led] = s[at[led] - 1] == s[before[led] - 1]
+    length = np.zeros(n, np.int64)
+    live, k = np.flatnonzero(~led & (before >= 0)), 0
+    while len(live):
+        live = live[s[live + k] == s[before[live] + k]]  # ends differ, so none runs out of the text
+        k += 1
+        length[live] = k
+    head = np.maximum.accumulate(np.where(led, 0, at))
+    return length[head] - (at - head)
+
+
 def repeats(stretches: list[bytes], threshold: int) -> list[np.ndarray]:
     """For each stretch, which of its places start a string of ``threshold`` bytes found twice among all."""
     sizes = [len(x) for x in stretches]
@@ -125,13 +212,12 @@ def repeats(stretches: list[bytes], threshold: int) -> list[np.ndarray]:
         # separators differ, and the last one is the 0 that ends the text
         text[at + len(x)] = len(stretches) - 1 - i
         at += len(x) + 1
-    sa = induced_sort(text, 256 + len(stretches))
-    shares = np.asarray(common_prefixes(text, sa)) >= threshold
-    order = np.asarray(sa)
-    long = shares[order]
+    sa = induced_sort(text, 256 + len(stretches), len(stretches))
+    shares = common_prefixes(text, sa) >= threshold
+    long = shares[sa]
     found = np.zeros(len(text), bool)
-    found[order[long]] = True
-    found[order[np.flatnonzero(long) - 1]] = True
+    found[sa[long]] = True
+    found[sa[np.flatnonzero(long) - 1]] = True
     return [found[b:b + n] for b, n in zip(begins, sizes)]
 
 

@@ -188,14 +188,27 @@ def test_substrings_awkward(awkward, none):
         assert d.deduplicate(awkward).count() == len(AWKWARD) and d.deduplicate(none).count() == 0
 
 
-def test_induced_sort():
+@pytest.mark.parametrize("buckets", [0, 1024])
+def test_induced_sort(monkeypatch, buckets):
+    """A bucket and a suffix at a time; with letters that occur once, and long runs of one letter."""
+    monkeypatch.setattr(suffix_array, "BUCKETS", buckets)
     r = random.Random(1)
-    for _ in range(200):
-        s = [r.choice([1, 2, 3][:r.choice([1, 2, 3])]) for _ in range(r.choice([0, 1, 5, 40]))] + [0]
-        sa = suffix_array.induced_sort(np.array(s), 4)
+    for _ in range(300):
+        s = [r.choice([1, 2, 3][:r.choice([1, 2, 3])]) + 5 for _ in range(r.choice([0, 1, 5, 40, 200]))]
+        ends = sorted(r.sample(range(len(s) + 1), r.choice([0, 0, 1, 2, 4]) if len(s) > 4 else 0), reverse=True)
+        marks = [k for k in range(1, len(ends) + 1)]
+        r.shuffle(marks)
+        for e, k in zip(ends, marks):
+            s.insert(e, k)
+        s.append(0)
+        # letters below ``single`` occur once each
+        s = [x if x < 5 else x - 5 + len(ends) for x in s]
+        sa = suffix_array.induced_sort(np.array(s), 4 + len(ends), len(ends) + 1).tolist()
         assert sa == sorted(range(len(s)), key=lambda i: s[i:])
+        shared = suffix_array.common_prefixes(np.array(s), np.array(sa)).tolist()
+        assert shared[sa[0]] == 0
         for a, b in zip(sa, sa[1:]):
-            n = suffix_array.common_prefixes(np.array(s), sa)[b]
+            n = shared[b]
             assert s[a:a + n] == s[b:b + n] and s[a + n:a + n + 1] != s[b + n:b + n + 1]
 
 
