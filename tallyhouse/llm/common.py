@@ -62,6 +62,18 @@ def remove(spark: SparkSession, path: str) -> None:
         where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
+#: bytes of rows that Spark hands to a worker at once
+BATCH = "8m"
+BATCH_CONF = "spark.sql.execution.arrow.maxBytesPerBatch"
+_DEFAULTS: dict[str, str] = {}
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Bound what a worker gets at once by bytes: 10,000 long texts would be held several times over. A session that has set its own bound keeps it."""
+    if spark.conf.get(BATCH_CONF) == _DEFAULTS.setdefault("batch", spark.newSession().conf.get(BATCH_CONF)):
+        spark.conf.set(BATCH_CONF, BATCH)
+
+
 def tidy(out: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The batches of a task; at its end the worker, which waits for the next task, gives back the memory that it has freed."""
     try:

@@ -23,10 +23,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from tallyhouse.llm.common import small_batches, tidy
+
 LONGEST = 2048
 END = 1
 #: entries of a worker's table of words; later words are encoded each time
-WORDS = 500_000
+WORDS = 200_000
 #: texts encoded as a whole go in spans of about so many characters
 SPAN = 1 << 16
 SAFE = re.compile(r"(?<=[a-z]) (?=[a-z])")
@@ -123,8 +125,9 @@ def pack(docs: DataFrame, tokenizer_path: str, longest: int = LONGEST, id_col: s
     """Pieces with their ids (little-endian unsigned 32-bit), sequence, offset and ``bucket`` (the length's power of two)."""
     if longest < 1 or longest & (longest - 1):
         raise ValueError("the longest sequence has to be a power of two")
+    small_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
-    pieces = rows.mapInArrow(lambda b: _cut(tokenizer_path, longest, b), SCHEMA)
+    pieces = rows.mapInArrow(lambda b: tidy(_cut(tokenizer_path, longest, b)), SCHEMA)
     return pieces.withColumns({"sequence_id": F.monotonically_increasing_id(), "offset": F.lit(0).cast("bigint"), "bucket": F.log2("length").cast("int")})
 
 

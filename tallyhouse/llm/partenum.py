@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tallyhouse.llm.anchors import BASES, BYTE, SPACE, Hasher, Rule, chunks, scrambled
-from tallyhouse.llm.common import cut, stored, tidy, whole
+from tallyhouse.llm.common import cut, small_batches, stored, tidy, whole
 from tallyhouse.llm.mixing import with_dimension
 
 #: words of a shingle; similarity in percent
@@ -376,6 +376,7 @@ def _pairs_across(met: DataFrame, root: DataFrame, nodes: DataFrame, percent: in
 
 def similar_components(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id, n_links): n_links counts the links of the document's set that were looked at and hold."""
+    small_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), whole(text_col).alias("text"))
     light = cut(rows.mapInArrow(lambda b: tidy(_light(words, b)), "doc_id bigint, n_shingles bigint, key bigint, sketch array<bigint>"))
     nodes = cut(light.where("n_shingles > 0").groupBy("key").agg(F.first("n_shingles").alias("n"), F.first("sketch").alias("sketch"), F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("copies")))

@@ -30,7 +30,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tallyhouse.llm.common import fresh, labelled_sample, tidy
+from tallyhouse.llm.common import fresh, labelled_sample, small_batches, tidy
 
 #: labelled documents of each class that are counted or calibrated on, at most
 PER_CLASS = 8_000
@@ -231,6 +231,7 @@ def shared_model(counts: DataFrame, wanted: DataFrame) -> DataFrame:
 def fit(docs: DataFrame, labels: DataFrame, trains: Column, label_col: str = "toxic", id_col: str = "doc_id", text_col: str = "text", per_class: int = PER_CLASS) -> Model:
     """The models and their calibration; ``trains`` says which label rows may be used."""
     spark = docs.sparkSession
+    small_batches(spark)
     sample = labelled_sample(labels, label_col, trains, per_class, id_col)
     texts = docs.select(F.col(id_col), F.col(text_col).alias("text")).join(F.broadcast(sample), id_col)
     held = F.pmod(F.xxhash64(F.col(id_col), F.lit(11)), F.lit(HELD)) == 0
@@ -305,6 +306,7 @@ def _scores(sent, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 def score(docs: DataFrame, model: Model, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
     """The columns in ``keep`` (all if None) with ``evidence`` and ``score``."""
+    small_batches(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(model)
     keep = [c for c in (keep or docs.columns) if c not in ("evidence", "score")]
     (text,) = fresh(docs, "_scored")
