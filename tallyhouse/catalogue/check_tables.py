@@ -93,7 +93,7 @@ def level_share() -> str:
 
 T: dict[str, str] = {}
 
-T["r_asof"] = "SELECT CAST(max(o_orderdate) AS DATE) AS d FROM orders"
+T["r_asof"] = "SELECT CAST(greatest((SELECT max(l_shipdate) FROM lineitem), (SELECT max(o_orderdate) FROM orders)) AS DATE) AS d"
 T["r_geo"] = """SELECT c_custkey, c_acctbal, c_name AS customer, c_mktsegment AS industry, n_name AS location, r_name AS region, n_nationkey
     FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey"""
 T["r_orders"] = f"""SELECT o_orderkey, o_custkey, o_orderstatus, CAST(o_totalprice AS DECIMAL(38,4)) AS price, CAST(o_orderdate AS DATE) AS order_date,
@@ -229,9 +229,9 @@ T["r_ap_aged"] = f"""SELECT *, CAST(CASE payment_status WHEN 'Paid' THEN greates
     WHEN 'Partially Paid' THEN 35 + {_i(25)} ELSE CASE WHEN {_i(100)} < 70 THEN {_i(31)} WHEN {_i(100)} < 95 THEN 31 + {_i(30)} ELSE 61 + {_i(30)} END END AS INTEGER) AS days_outstanding FROM r_payables_raw"""
 T["r_ap"] = f"""SELECT invoice_id, vendor_id, vendor_name, invoice_date, due_date, amount, payment_status, payment_date, department, days_outstanding,
     {bucket_of('days_outstanding')} AS aging_bucket, {DIM}, {month('invoice_date')} AS fiscal_month FROM r_ap_aged"""
-T["r_invoices"] = f"""SELECT o_orderkey AS invoice_id, o_custkey AS customer_id, customer AS customer_name, order_date AS invoice_date, order_date + 30 AS due_date, price AS amount,
+T["r_invoices"] = f"""SELECT o_orderkey AS invoice_id, o_custkey AS customer_id, customer AS customer_name, order_date + 95 AS invoice_date, order_date + 125 AS due_date, price AS amount,
     CASE o_orderstatus WHEN 'F' THEN 'Paid' WHEN 'O' THEN 'Open' ELSE 'Partially Paid' END AS payment_status,
-    CASE WHEN o_orderstatus = 'F' AND o_orderkey % 23 <> 0 THEN order_date + CAST(o_orderkey * 7 % 120 + 5 AS INTEGER) END AS payment_date,
+    CASE WHEN o_orderstatus = 'F' AND o_orderkey % 23 <> 0 THEN order_date + CAST(o_orderkey * 7 % 120 + 100 AS INTEGER) END AS payment_date,
     CASE WHEN o_orderkey % 10 <> 3 THEN o_orderkey WHEN o_orderkey % 20 = 3 THEN -o_orderkey END AS project_id, {DIM} FROM r_orders"""
 _age = f"CASE WHEN payment_status = 'Paid' THEN coalesce(payment_date, invoice_date + 45) - invoice_date ELSE {ASOF} - invoice_date END"
 T["r_ar"] = f"""SELECT i.invoice_id, customer_id, customer_name, invoice_date, due_date, amount, payment_status, payment_date,

@@ -74,9 +74,9 @@ query("JN14_orphans", "SELECT invoice_id, project_id FROM r_ar WHERE project_id
 query("JN15_semi", f"SELECT c_mktsegment, count(*) AS n FROM customer WHERE c_custkey IN (SELECT o_custkey FROM {_O} GROUP BY 1 HAVING sum(price) > 3000000) GROUP BY 1")(
     lambda f: f.raw("customer").join(orders(f).groupBy(F.col("o_custkey").alias("c_custkey")).agg(SUM("price", "s")).where(F.col("s") > 3000000), ["c_custkey"], "left_semi").groupBy("c_mktsegment").agg(N()))
 query("JN16_upper_names", "SELECT department, department_lead, count(*) AS n FROM r_dept GROUP BY ALL")(lambda f: f.table("department_summary").groupBy("department", "department_lead").agg(N()))
-query("JN17_using", f"SELECT o_orderstatus, a.n AS cur, p.n AS prior FROM (SELECT o_orderstatus, count(*) AS n FROM {_O} WHERE order_date >= {back(1)} AND order_date < {back(0)} GROUP BY 1) a JOIN (SELECT o_orderstatus, count(*) AS n FROM {_O} WHERE order_date >= {back(2)} AND order_date < {back(1)} GROUP BY 1) p USING (o_orderstatus)")(
-    lambda f: orders(f).where(f.periods.in_month("order_date", 1)).groupBy("o_orderstatus").agg(F.count(F.lit(1)).alias("cur")).join(
-        orders(f).where(f.periods.in_month("order_date", 2)).groupBy("o_orderstatus").agg(F.count(F.lit(1)).alias("prior")), ["o_orderstatus"]))
+query("JN17_using", f"SELECT o_orderstatus, a.n AS cur, p.n AS prior FROM (SELECT o_orderstatus, count(*) AS n FROM {_O} WHERE order_date >= {back(4)} AND order_date < {back(3)} GROUP BY 1) a JOIN (SELECT o_orderstatus, count(*) AS n FROM {_O} WHERE order_date >= {back(5)} AND order_date < {back(4)} GROUP BY 1) p USING (o_orderstatus)")(
+    lambda f: orders(f).where(f.periods.in_month("order_date", 4)).groupBy("o_orderstatus").agg(F.count(F.lit(1)).alias("cur")).join(
+        orders(f).where(f.periods.in_month("order_date", 5)).groupBy("o_orderstatus").agg(F.count(F.lit(1)).alias("prior")), ["o_orderstatus"]))
 query("JN18_distinct_lookup", "SELECT l.region, count(*) AS n FROM r_projects p LEFT JOIN (SELECT DISTINCT location, region FROM r_pnl) l ON p.location = l.location GROUP BY 1")(
     lambda f: f.table("dim_projects").select("location").join(f.table("regional_pnl").select("location", "region").distinct(), ["location"], "left").groupBy("region").agg(N()))
 query("JN19_scalar_subquery", "SELECT employee_id, employment_status FROM r_employees WHERE snapshot_date = (SELECT max(snapshot_date) FROM r_employees)")(

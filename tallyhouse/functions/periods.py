@@ -66,15 +66,24 @@ class Periods:
         return (F.col(c) >= F.lit(self.quarter(1))) & (F.col(c) < F.lit(self.quarter(0)))
 
     def trailing_days(self, c: str, n: int) -> Column:
+        """The n days up to the as-of date; a row dated after it is in no trailing figure."""
+        return F.col(c).between(F.lit(self.days_ago(n)), F.lit(self.as_of))
+
+    def since_days(self, c: str, n: int) -> Column:
+        """From n days ago on, without an end: for planned dates, which may lie ahead."""
         return F.col(c) >= F.lit(self.days_ago(n))
 
     def prior_days(self, c: str, newer: int, older: int) -> Column:
         return F.col(c).between(F.lit(self.days_ago(older)), F.lit(self.days_ago(newer)))
 
 
-def as_of_date(df: DataFrame, date_column: str) -> date:
-    """The newest date in the data; one value, so it is safe to bring to the driver."""
-    return df.agg(F.max(F.col(date_column).cast("date")).alias("d")).first()["d"]
+def as_of_date(*facts: tuple[DataFrame, str]) -> date:
+    """The newest date in any of the facts ``(table, date column)``; one value from one job, so it is safe to bring to the driver."""
+    newest = None
+    for df, column in facts:
+        one = df.agg(F.max(F.col(column).cast("date")).alias("d"))
+        newest = one if newest is None else newest.unionByName(one)
+    return newest.agg(F.max("d").alias("d")).first()["d"]
 
 
 def month_spine(df: DataFrame, date_column: str) -> DataFrame:

@@ -153,7 +153,7 @@ def _margin_windows(firm: Firm, filters: Filters, margin: Column, band: bool, by
     df = axis_filter(firm.table("project_profitability"), filters).where(F.col("project_end_date") >= F.lit(p.days_ago(180)))
     if band:
         df = df.where(F.col("actual_margin_pct").between(*MARGIN_BAND))
-    now, before = p.trailing_days("project_end_date", 90), p.prior_days("project_end_date", 90, 180)
+    now, before = p.since_days("project_end_date", 90), p.prior_days("project_end_date", 90, 180)
     part = lambda test, c: F.sum(F.when(test, c))
     rev = F.col("actual_revenue")
     return df.groupBy(*(by or [])).agg(part(now, margin).alias("m1"), part(now, rev).alias("r1"), part(before, margin).alias("m0"), part(before, rev).alias("r0"))
@@ -313,7 +313,7 @@ def offices_by_expense_overage(firm: Firm, filters: Filters = None, k: int = 5)
 
 
 def practice_margins(firm: Firm, filters: Filters = None) -> DataFrame:
-    df = axis_filter(firm.table("project_profitability"), filters).where(firm.periods.trailing_days("project_end_date", 90))
+    df = axis_filter(firm.table("project_profitability"), filters).where(firm.periods.since_days("project_end_date", 90))
     g = df.groupBy("practice_area").agg(F.sum("actual_margin").alias("m"), F.sum("actual_revenue").alias("r"))
     return g.select("practice_area", rounded(share_pct("m", "r"), 2).alias("margin_pct")).orderBy(F.col("margin_pct").desc_nulls_last(), "practice_area")
 
@@ -486,7 +486,7 @@ def steepest_margin_fall(firm: Firm, filters: Filters = None) -> DataFrame:
         F.col("actual_margin_pct").between(*MARGIN_BAND) & (F.col("project_end_date") >= F.lit(p.days_ago(180))))
     margin = F.col("actual_margin_pct").cast("decimal(18,2)")
     mean = lambda test: F.try_divide(dbl(F.sum(F.when(test, margin))), dbl(F.count(F.when(test, margin))))
-    g = df.groupBy("practice_area").agg(mean(p.trailing_days("project_end_date", 90)).alias("c"), mean(p.prior_days("project_end_date", 90, 180)).alias("p"))
+    g = df.groupBy("practice_area").agg(mean(p.since_days("project_end_date", 90)).alias("c"), mean(p.prior_days("project_end_date", 90, 180)).alias("p"))
     fall = F.col("c") - F.col("p")
     return g.where(fall < 0).orderBy(fall, "practice_area").limit(1).select(
         "practice_area", rounded(F.col("c"), 1).alias("curr_margin"), rounded(F.col("p"), 1).alias("prior_margin"), rounded(fall, 1).alias("qoq_change_pp"))

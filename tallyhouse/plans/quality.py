@@ -103,7 +103,7 @@ def _open_ar(f: Firm) -> DataFrame:
 def _year(f: Firm, table: str, column: str) -> DataFrame:
     """Trailing 365 days; the month folders outside are not read."""
     since = f.periods.days_ago(365)
-    return f.table(table).where((F.col("fiscal_month") >= F.lit(since.replace(day=1))) & (F.col(column) >= F.lit(since)))
+    return f.table(table).where(F.col("fiscal_month").between(F.lit(since.replace(day=1)), F.lit(f.as_of)) & f.periods.trailing_days(column, 365))
 
 
 def trailing_revenue(f: Firm) -> DataFrame:
@@ -192,7 +192,7 @@ def sparse_cells(f: Firm, table: str, column: str, least: int) -> DataFrame:
 
 def volume_ratio(f: Firm) -> DataFrame:
     monthly = _year(f, "expenses_as_filed", "expense_date").groupBy("fiscal_month").agg(F.sum("amount").alias("s"))
-    recent = F.col("fiscal_month") >= F.lit(f.periods.days_ago(90))
+    recent = f.periods.trailing_days("fiscal_month", 90)
     mean = lambda t: ratio(F.sum(F.when(t, F.col("s"))), F.count(F.when(t, 1)))
     return monthly.agg(F.try_divide(mean(recent), mean(F.lit(True))).alias("actual"))
 
@@ -207,7 +207,7 @@ def office_expense_variance(f: Firm) -> DataFrame:
 
 
 def office_spread(f: Firm, column: str) -> DataFrame:
-    per = f.table("regional_pnl").where(F.col("fiscal_period") >= F.lit(f.periods.days_ago(180))).groupBy("location").agg(F.sum(column).alias("s"))
+    per = f.table("regional_pnl").where(f.periods.trailing_days("fiscal_period", 180)).groupBy("location").agg(F.sum(column).alias("s"))
     return beside(per.agg(F.max("s").alias("m")), median_of_groups(per, "s", "med")).select(F.try_divide(dbl("m"), F.col("med")).alias("actual"))
 
 

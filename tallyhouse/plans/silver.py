@@ -143,7 +143,7 @@ def fact_timecards(timecards: DataFrame, billing_rates: DataFrame, cost_rates: D
         adjusted = (F.col("hours") * story).cast(HOURS)
     credited = (adjusted * credited_share(policy, "job_level", "_h")
                 * rules.exact_factor(F.col("practice_area"), policy.practice_premium)).cast(HOURS)
-    on_bench = (F.col("work_date") >= F.date_sub(F.lit(as_of), policy.bench_days)) & (bucket("employee_id", 100) < policy.bench_percent)
+    on_bench = F.col("work_date").between(F.date_sub(F.lit(as_of), policy.bench_days), F.lit(as_of)) & (bucket("employee_id", 100) < policy.bench_percent)
     clean = F.when(billable & on_bench, "Non-Billable").otherwise(rules.clean_time_type())
     rate = F.when(billable, F.coalesce("_rate", "_own_rate", F.lit(0))).otherwise(F.lit(0)).cast("decimal(8,2)")
     cost = F.coalesce("_cost", "_own_cost", F.lit(0)).cast("decimal(8,2)")

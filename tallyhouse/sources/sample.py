@@ -24,6 +24,8 @@ VENDORS = ["Deloitte", "EY", "PwC", "KPMG", "Gartner", "Forrester", "IDC", "Orac
 EXPENSE_TYPES = ["Airfare", "Hotel", "Software", "Meals", "Training", "Mileage", "Parking"]
 ENGAGEMENT_TYPES = ["Strategy Review", "Operations Improvement", "Transformation", "Innovation Lab"]
 FIRST_RATE_YEAR, LAST_RATE_YEAR = 1995, 2001
+#: days from an order to its invoice
+BILLED_AFTER = 95
 
 
 def pick(names: list[str], index: Column) -> Column:
@@ -49,8 +51,9 @@ class SampleSource:
         return scan(self.spark, self.folder, table)
 
     def as_of(self) -> date:
+        """The newest day on which work, expenses, payables or orders are dated."""
         if self._as_of is None:
-            self._as_of = as_of_date(self.raw("orders"), "o_orderdate")
+            self._as_of = as_of_date((self.raw("lineitem"), "l_shipdate"), (self.raw("orders"), "o_orderdate"))
         return self._as_of
 
     def _places(self) -> DataFrame:
@@ -81,7 +84,7 @@ class SampleSource:
             F.concat(F.lit("Customer#"), F.lpad(F.col("s_suppkey").cast("string"), 9, "0")).alias("customer"))
 
     def _lines(self) -> DataFrame:
-        """All line items, with a key of their own; some are dated after the newest order."""
+        """All line items, with a key of their own."""
         day = _day("l_shipdate")
         return self.raw("lineitem").select(
             F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", day.cast("string")).alias("line_id"),
@@ -229,13 +232,15 @@ class SampleSource:
             "region", "location", "practice_area", "industry", "customer")
 
     def sap_accounts_receivable(self) -> DataFrame:
+        """Orders are billed ``BILLED_AFTER`` days later, so the newest invoices are as new as the newest work."""
         k = F.col("o_orderkey")
+        billed = F.date_add("order_date", BILLED_AFTER)
         status = F.when(F.col("o_orderstatus") == "F", "Paid").when(F.col("o_orderstatus") == "O", "Open").otherwise("Partially Paid")
         return self._orders().select(
             k.alias("invoice_id"), F.col("o_custkey").alias("customer_id"), F.col("customer").alias("customer_name"),
-            F.col("order_date").alias("invoice_date"), F.date_add("order_date", 30).alias("due_date"), F.col("price").alias("amount"),
+            billed.alias("invoice_date"), F.date_add(billed, 30).alias("due_date"), F.col("price").alias("amount"),
             status.alias("payment_status"),
-            F.when((status == "Paid") & (k % 23 != 0), _plus_days(F.col("order_date"), k * 7 % 120 + 5)).alias("payment_date"),
+            F.when((status == "Paid") & (k % 23 != 0), _plus_days(billed, k * 7 % 120 + 5)).alias("payment_date"),
             F.when(k % 10 != 3, k).otherwise(F.when(k % 20 == 3, -k)).alias("project_id"),
             "region", "location", "practice_area", "industry", "customer")
 

@@ -5,7 +5,9 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from tallyhouse.functions.periods import Periods, as_of_date
 from tallyhouse.operators import aggregates, joins, windows
+from tallyhouse.plans.firm import Firm
 
 
 def rows(df):
@@ -36,6 +38,20 @@ def test_open_month_ends_against_brute_force(spark):
         assert got == sorted(((i, e, (e - a).days) for i, a, p in data for e in ends if a <= e and (p is None or p > e) and (most is None or (e - a).days <= most)), key=repr)
 
 
+def test_rows_after_the_as_of_date_change_no_trailing_figure(spark, small):
+    work = spark.createDataFrame([(date(2001, 3, 1),), (date(2001, 5, 4),)], "d date")
+    paid = spark.createDataFrame([("2001-04-30",), (None,)], "p string")
+    assert as_of_date((work, "d"), (paid, "p")) == date(2001, 5, 4) == as_of_date((paid, "p"), (work, "d"))
+    p = Periods(date(2001, 5, 4))
+    late = work.unionByName(spark.createDataFrame([(date(2001, 5, 5),), (date(2004, 1, 1),)], "d date"))
+    for df in (work, late):
+        assert df.where(p.trailing_days("d", 30)).count() == 1 and df.where(p.trailing_days("d", 90)).count() == 2
+    assert late.where(p.since_days("d", 30)).count() == 3
+    firm = Firm.sample(spark, small)
+    for table, column in (("lineitem", "l_shipdate"), ("orders", "o_orderdate")):
+        assert firm.raw(table).where(F.col(column).cast("date") > F.lit(firm.as_of)).count() == 0
+
+
 def test_null_safe_and_except_and_orphans(spark):
     a = spark.createDataFrame([("x", 1), (None, 2), ("y", 3)], "k string, a int")
     b = spark.createDataFrame([("x", 10), (None, 20)], "k string, b int")
