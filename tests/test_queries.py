@@ -13,7 +13,7 @@ from tallyhouse.plans import kpis
 from tallyhouse.plans.firm import BUILDERS, Firm
 
 # every builder and a few of each family; TALLYHOUSE_ALL=1 runs all of them
-SAMPLE = ("SV", "GD", "KP1_", "KP12_low_utilized_partners", "KP20", "KP38", "TQ03", "TQ15", "SM3", "DQ7", "DQ21", "CL2", "CL5", "CL10", "PM1", "PM6", "PM7", "IN2", "IN4", "SNK5", "SNK7", "ROW21", "JN5", "JN7", "AG18", "WN5", "SO3")
+SAMPLE = ("SV", "GD", "KP1_", "KP12_low_utilized_partners", "KP20", "KP38", "TQ03", "TQ15", "SM3", "DQ7", "DQ21", "CL2", "CL5", "CL10", "PM1", "PM4", "PM5", "PM6", "PM7", "PM8_view", "PM9_refused", "SNK4", "SNK8b", "SNK11", "SNK12", "AG17", "JN17", "IN2", "IN4", "SNK5", "SNK7", "ROW21", "JN5", "JN7", "AG18", "WN5", "SO3")
 NAMES = [n for n in entry.queries() if os.environ.get("TALLYHOUSE_ALL") or n.startswith(SAMPLE)]
 
 
