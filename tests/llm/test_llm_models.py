@@ -1,6 +1,8 @@
 """Classifiers on held-out rows, neighbours against brute force, pages, and the pipeline stage by stage."""
 
 import math
+import random
+import time
 from collections import Counter
 
 import numpy as np
@@ -11,7 +13,7 @@ import corpus_pipeline
 from tallyhouse.llm import quality_gam, toxicity
 from tallyhouse.llm.common import crc_fold, stored
 from tallyhouse.llm.exact_dedup import exact_dedup
-from tallyhouse.llm.html_extraction import extract, main_text
+from tallyhouse.llm.html_extraction import CONTAINER, DOUBT, ENOUGH, FAINT, INLINE, SHARE, SURROUNDINGS, WINDOW, Line, _is_remark, _names, extract, main_text, reads_like_surroundings
 from tallyhouse.llm.multi_index_hashing import met_first, near_values, search
 from tallyhouse.llm.queries import QUERIES
 
@@ -200,6 +202,147 @@ def test_windows_choose_on_every_page(page, text):
     assert main_text(page) == text
 
 
+BODY = "This is a long paragraph of the article with many words in it, so that it is dense enough to be text."
+
+
+@pytest.mark.parametrize("page, text", [
+    # an element that holds the densest window is no surrounding, nor are others of the same names
+    ("<div id='page' class='site has-sidebar'><article><h1>T</h1><p>Body text.</p></article><div class='sidebar'>side</div></div>", "T\nBody text."),
+    (f"<div class='elementor-widget text-editor'><p>{BODY}</p></div><div class='elementor-widget'>Second.</div><div class='elementor-widget search'>find</div>", f"{BODY}\nSecond."),
+    (f"<form id='all'><nav>menu</nav><div class='content'><p>{BODY}</p></div></form><form>subscribe</form>", BODY),
+    # surroundings without any name
+    (f"<div>Home</div><div>About us</div><div><h1>T</h1><p>{BODY}</p><p>Short end.</p></div><div>Copyright 2020 Example</div><div>We use cookies to improve your visit.</div>", f"T\n{BODY}\nShort end."),
+    (f"<div><a href=1>Home</a> | <a href=2>News</a></div><div><div><p>{BODY}</p></div></div>", BODY),
+    # words of notices inside the text stay
+    (f"<div><p>{BODY}</p></div><div>Cookies are small files.</div><div><p>{BODY}</p></div>", f"{BODY}\nCookies are small files.\n{BODY}"),
+    (f"<article><p>{BODY}</p><p>Copyright law is old.</p></article>", f"{BODY}\nCopyright law is old."),
+    # an article's own header, remarks that are articles, and an empty article
+    ("<header>Site</header><article><header><h1>Title</h1></header><p>Text</p></article>", "Title\nText"),
+    (f"<article><p>Short.</p></article><div id='comments'><article class='comment'><p>{BODY}</p></article></div>", "Short."),
+    (f"<nav>{BODY}</nav><article></article>", ""), ("<div class='ad'>Buy now.</div>", "")])
+def test_evidence_is_weighed(page, text):
+    assert main_text(page) == text
+
+
+@pytest.mark.parametrize("page", ["<b>" * 20_000 + "</i>" * 20_000 + "<div><span>" * 20_000, "<div>" * 20_000 + "</p>" * 20_000, "<a " * 100_000, "<a '" * 20_000 + ">", "<div class=ad>" * 20_000 + "x", "<p><div>" * 20_000])
+def test_broken_markup_takes_linear_time(page):
+    start = time.time()
+    main_text(page)
+    assert time.time() - start < 5
+
+
+def random_tree(r, depth=0):
+    """A page as nested (tag, class, children)."""
+    word = lambda: r.choice(["Home", "We use cookies.", "Copyright 2001", "A text. " * r.randint(1, 40), "word " * r.randint(1, 9)])
+    if depth > 4 or r.random() < 0.25:
+        return ("p", "", [word() if r.random() < 0.7 else ("a", "", [word()]), *([("b", "", [word()])] if r.random() < 0.3 else [])])
+    tag = r.choice(["div"] * 6 + ["section", "ul", "article", "nav", "header", "form"])
+    kids = [random_tree(r, depth + 1) if tag != "ul" else ("li", "", [("a", "", [word()])]) for _ in range(r.randint(0, 4))]
+    return (tag, r.choice(["", "", "", "ad", "content", "has-sidebar widget", "widget", "comments"]), kids)
+
+
+def rendered(node):
+    if isinstance(node, str):
+        return node
+    return f"<{node[0]}{f' class="{node[1]}"' if node[1] else ''}>{''.join(map(rendered, node[2]))}</{node[0]}>"
+
+
+def text_by_hand(tree):
+    """The main text straight from the tree, every sum taken anew."""
+    grid, path_of, words, article_seen = [], [], [], []
+
+    def flush(path, inside):
+        text = " ".join("".join(w for w, _ in words).split())
+        if text:
+            grid.append(Line(text, sum(len("".join(w.split())) for w, link in words if not link), len(path) - 1, inside))
+            path_of.append(path)
+        words.clear()
+
+    def gap(n, path, inside):
+        for _ in range(n):
+            grid.append(Line("", 0, len(path) - 1, inside))
+            path_of.append(path)
+
+    def walk(node, path, inside, remark, link):
+        if isinstance(node, str):
+            words.append((node, link))
+            return
+        tag, cls, kids = node
+        names = _names(tag, f' class="{cls}"' if cls else "")
+        remark_here = _is_remark(names)
+        if tag in SURROUNDINGS and not (tag == "header" and inside):
+            names.append(object())
+        article = tag == "article" and not remark and not remark_here
+        if article:
+            article_seen.append(1)
+        block = tag not in INLINE
+        if block:
+            flush(path, inside)
+            gap(tag in CONTAINER and not inside, path, inside)
+        gap(WINDOW * (article or bool(names) and not inside), path, inside)
+        within, now = (path + (frozenset(names),) if names else path), inside or article
+        for kid in kids:
+            walk(kid, within, now, remark or remark_here, link or tag == "a")
+        if block:
+            flush(within, now)
+            gap(tag in CONTAINER and not now, within, now)
+        gap(WINDOW * article, within, now)
+        gap(WINDOW * (bool(names) and not inside), path, inside)
+
+    walk(tree, (), False, False, False)
+    told = [reads_like_surroundings(x) for x in grid]
+    weight = [x.counted * (FAINT if path_of[i] else 1) * (FAINT if told[i] else 1) / (FAINT if x.article else 1) for i, x in enumerate(grid)]
+    ends = range(len(grid) + WINDOW - 1)
+    cover = lambda e: [i for i in range(e - WINDOW + 1, e + 1) if 0 <= i < len(grid)]
+    wrong = set()
+    if any(path_of) and any(weight):
+        best = max(ends, key=lambda e: (sum(weight[i] for i in cover(e)), -e))
+        at = max(cover(best), key=lambda i: (weight[i], -i))
+        if grid[at].article or not article_seen and sum(grid[i].counted for i in cover(best)) >= DOUBT:
+            wrong = {n for names in path_of[at] for n in names}
+    grid = [x for x, path in zip(grid, path_of) if all(names <= wrong for names in path)]
+    told = [reads_like_surroundings(x) for x in grid]
+    weight = [x.counted * (FAINT if t else 1) for x, t in zip(grid, told)]
+    total = lambda values, a, b: sum(values[max(a, 0):b])
+    top = max((total(weight, e - WINDOW + 1, e + 1) for e in range(len(grid))), default=0)
+    threshold = min(top * SHARE, ENOUGH)
+    runs, i = [], 0
+    while i < len(grid):
+        j = i
+        while j < len(grid) and grid[j].text:
+            j += 1
+        if j > i:
+            runs.append((i, j))
+        i = j + 1
+    dense = [n for n, (a, b) in enumerate(runs) if grid[a].article or threshold and any(total(weight, k, min(k + WINDOW, b)) >= threshold - 1e-9 for k in range(a, b))]
+    gone = set()
+    for n, (a, b) in enumerate(runs):
+        if dense and not dense[0] <= n <= dense[-1] and 2 * sum(len(grid[i].text) for i in range(a, b) if told[i]) >= sum(len(grid[i].text) for i in range(a, b)):
+            gone |= set(range(a, b))
+    # a line lies in a stretch if each window between the nearest letters on both sides holds letters
+    letters = [i for i, x in enumerate(grid) if x.counted]
+    inside = {i for a, b in zip(letters, letters[1:]) if b - a <= WINDOW for i in range(a, b)} | set(letters)
+    edge = set()
+    for i in inside:
+        for step in (-1, 1):
+            if i + step not in inside:
+                n = 0
+                while 0 <= i + step * (n + 1) < len(grid) and grid[i + step * (n + 1)].text and not grid[i + step * (n + 1)].counted:
+                    n += 1
+                edge |= {i + step * (k + 1) for k in range(n % WINDOW if n < WINDOW else 0)}
+    return "\n".join(x.text for i, x in enumerate(grid) if x.text and i in inside | edge and i not in gone)
+
+
+def test_random_pages_against_brute_force():
+    r, changed = random.Random(11), 0
+    for _ in range(1500):
+        tree = ("div", "", [random_tree(r) for _ in range(r.randint(1, 6))])
+        page = rendered(tree)
+        assert main_text(page) == text_by_hand(tree), page
+        changed += main_text(page) != main_text(page.replace("cookies", "biscuits").replace("Copyright", "Written"))
+    assert changed > 50
+
+
 def test_pages_of_the_sample(spark, small):
     rows = spark.read.parquet(f"{small}/pages.parquet").collect()
     got = {r.page_id: r for r in QUERIES["op9_html_extraction"](spark, small).collect()}
