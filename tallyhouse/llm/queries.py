@@ -145,6 +145,52 @@ SELECT doc_id,
 FROM d WINDOW w AS (PARTITION BY text_sha256 ORDER BY n DESC, doc_id)
 """
 
+OP6_SQL = r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (
+  SELECT DISTINCT doc_id, md5(array_to_string(w[i:i + 4], ' ')) AS s FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS i FROM d WHERE len(w) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (
+  SELECT a.doc_id AS x, b.doc_id AS y
+  FROM s AS a JOIN n AS m ON m.doc_id = a.doc_id JOIN s AS b ON a.s = b.s AND a.doc_id < b.doc_id JOIN n AS o ON o.doc_id = b.doc_id
+  WHERE 100 * least(m.n, o.n) >= 80 * greatest(m.n, o.n)
+  GROUP BY a.doc_id, b.doc_id, m.n, o.n HAVING 100 * count(*) >= 80 * (m.n + o.n - count(*))),
+l AS (SELECT x, y FROM p UNION ALL SELECT y, x FROM p),
+r AS (SELECT doc_id, doc_id AS root FROM n UNION SELECT l.y, r.root FROM r JOIN l ON l.x = r.doc_id),
+c AS (SELECT doc_id, min(root) AS component_id FROM r GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, coalesce(c.component_id, d.doc_id) AS component_id FROM d LEFT JOIN n USING (doc_id) LEFT JOIN c USING (doc_id)
+"""
+
+OP8_SQL = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT doc_id, i, md5(array_to_string(w[i:i + 19], ' ')) AS s FROM (SELECT doc_id, w, unnest(range(1, len(w) - 18)) AS i FROM d)),
+again AS (SELECT doc_id, i FROM s QUALIFY row_number() OVER (PARTITION BY s ORDER BY doc_id, i) > 1),
+gone AS (SELECT DISTINCT doc_id, unnest(range(i, i + 20)) AS i FROM again),
+words AS (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS i FROM d),
+kept AS (SELECT doc_id, count(*) AS n, string_agg(word, ' ' ORDER BY i) AS kept FROM words ANTI JOIN gone USING (doc_id, i) GROUP BY doc_id)
+SELECT d.doc_id, len(w)::BIGINT AS n_words, len(w) - coalesce(n, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM d LEFT JOIN kept USING (doc_id)
+"""
+
+# windows are cut from pieces of 256 bytes and the 199 that follow
+OP10_SQL = r"""
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, octet_length(encode(coalesce(text, ''))) AS n FROM documents),
+c AS (SELECT doc_id, 256 * k AS base, substr(h, 512 * k + 1, 910) AS s FROM (SELECT doc_id, h, unnest(range((n + 255) // 256)) AS k FROM d)),
+w AS (SELECT doc_id, base + j AS i, md5(substr(s, 2 * j + 1, 400)) AS m FROM (SELECT doc_id, base, s, unnest(range(least(256, length(s) // 2 - 199))) AS j FROM c)),
+again AS (SELECT doc_id, i FROM w QUALIFY count(*) OVER (PARTITION BY m) > 1),
+steps AS (SELECT doc_id, i, i > coalesce(lag(i) OVER (PARTITION BY doc_id ORDER BY i) + 200, -1) AS new FROM again),
+spans AS (
+  SELECT doc_id, min(i) AS a, max(i) + 200 AS z
+  FROM (SELECT doc_id, i, sum(new::INT) OVER (PARTITION BY doc_id ORDER BY i) AS g FROM steps) GROUP BY doc_id, g),
+kept AS (
+  SELECT doc_id, z AS a, lead(a, 1, n) OVER (PARTITION BY doc_id ORDER BY a) AS z
+  FROM (SELECT doc_id, a, z FROM spans UNION ALL SELECT doc_id, -1, 0 FROM d) JOIN d USING (doc_id)),
+texts AS (SELECT doc_id, string_agg(substr(h, (2 * a + 1)::BIGINT, (2 * (z - a))::BIGINT), '' ORDER BY a) AS h FROM kept JOIN d USING (doc_id) GROUP BY doc_id),
+counts AS (SELECT doc_id, sum(z - a)::BIGINT AS removed, count(*) AS n_spans FROM spans GROUP BY doc_id)
+SELECT doc_id, n::BIGINT AS n_bytes, coalesce(removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(texts.h)) AS kept_sha256
+FROM d LEFT JOIN counts USING (doc_id) JOIN texts USING (doc_id)
+"""
+
 OP11_SQL = r"""
 WITH t AS (
   SELECT row_number() OVER () AS d, coalesce(lang, 'und') AS lang,
@@ -194,5 +240,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 CHECKS: dict[str, str] = {
     "op1_mixing": OP1_SQL,
     "op3_exact_dedup": OP3_SQL,
+    "op6_partenum": OP6_SQL,
+    "op8_seed_extend": OP8_SQL,
+    "op10_suffix_array": OP10_SQL,
     "op11_phrases": OP11_SQL,
 }
