@@ -175,7 +175,7 @@ def _light(words: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordB
         shingle, begin = sets_of(texts, words)
         bits, words_of = sketches(shingle, begin)
         sketch = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(words_of))).astype(np.int32)), pa.array(bits))
-        yield pa.RecordBatch.from_arrays([part.column(0), pa.array(np.diff(begin)), pa.array(keys_of(shingle, begin)), sketch], ["doc_id", "n_shingles", "key", "sketch"])
+        yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array(np.diff(begin)), pa.array(keys_of(shingle, begin)), sketch], ["doc_id", "text_key", "n_shingles", "key", "sketch"])
 
 
 def _starts(value: np.ndarray) -> np.ndarray:
@@ -375,20 +375,27 @@ def _pairs_across(met: DataFrame, root: DataFrame, nodes: DataFrame, percent: in
 
 
 def similar_components(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n_shingles, component_id, n_links): n_links counts the links of the document's set that were looked at and hold."""
+    """(doc_id, text_key, n_shingles, component_id, first, n_links_checked) of every document.
+
+    ``text_key`` is the hash of the text as it is, which tells texts of one id apart. ``first`` marks the document that stands
+    for its component: the smallest id (a null id comes last), of one id's texts the smallest key; an empty set stands for itself.
+    ``n_links_checked`` counts the links of the document's set that were looked at and hold; there may be more.
+    """
     small_batches(docs.sparkSession)
-    rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), whole(text_col).alias("text"))
-    light = cut(rows.mapInArrow(lambda b: tidy(_light(words, b)), "doc_id bigint, n_shingles bigint, key bigint, sketch array<bigint>"))
-    nodes = cut(light.where("n_shingles > 0").groupBy("key").agg(F.first("n_shingles").alias("n"), F.first("sketch").alias("sketch"), F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("copies")))
+    rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), whole(text_col).alias("text"), F.xxhash64(whole(text_col)).alias("text_key"))
+    light = cut(rows.mapInArrow(lambda b: tidy(_light(words, b)), "doc_id bigint, text_key bigint, n_shingles bigint, key bigint, sketch array<bigint>"))
+    order = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col("text_key").alias("text"))
+    nodes = cut(light.where("n_shingles > 0").groupBy("key").agg(F.first("n_shingles").alias("n"), F.first("sketch").alias("sketch"), F.min("doc_id").alias("least"), F.min(order).alias("head"), F.count(F.lit(1)).alias("copies")))
     links, root = _linked(rows, nodes, words, percent)
-    own = nodes.join(root, "key", "left").select("key", "least", "copies", F.coalesce("root", "key").alias("root"))
-    ids = own.groupBy("root").agg(F.min("least").alias("component_id"))
-    count = links.select("key").union(links.select("hub")).groupBy("key").agg(F.count(F.lit(1)).alias("n_links"))
+    own = nodes.join(root, "key", "left").select("key", "least", "head", "copies", F.coalesce("root", "key").alias("root"))
+    ids = own.groupBy("root").agg(F.min("least").alias("component_id"), F.min("head").alias("chief"))
+    count = links.select("key").union(links.select("hub")).groupBy("key").agg(F.count(F.lit(1)).alias("n_links_checked"))
     total = nodes.agg(F.count(F.lit(1)).alias("n"), F.sum("copies").alias("c")).first()
-    answer = cut(own.join(ids, "root").join(count, "key", "left").select("key", "component_id", F.coalesce("n_links", F.lit(0)).alias("n_links"), (F.col("copies") / F.lit(float(total.c or 1))).alias("share")))
-    full = with_dimension(light.where("n_shingles > 0").select("doc_id", "n_shingles", "key"), answer, "key", total.n)
-    empty = light.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"), F.lit(0).cast("bigint").alias("n_links"))
-    return full.select("doc_id", "n_shingles", "component_id", "n_links").unionByName(empty)
+    answer = cut(own.join(ids, "root").join(count, "key", "left").select("key", "component_id", "chief", F.coalesce("n_links_checked", F.lit(0)).alias("n_links_checked"), (F.col("copies") / F.lit(float(total.c or 1))).alias("share")))
+    full = with_dimension(light.where("n_shingles > 0").select("doc_id", "text_key", "n_shingles", "key"), answer, "key", total.n)
+    first = F.col("doc_id").eqNullSafe(F.col("chief.id")) & (F.col("text_key") == F.col("chief.text"))
+    empty = light.where("n_shingles = 0").select("doc_id", "text_key", "n_shingles", F.col("doc_id").alias("component_id"), F.lit(True).alias("first"), F.lit(0).cast("bigint").alias("n_links_checked"))
+    return full.select("doc_id", "text_key", "n_shingles", "component_id", first.alias("first"), "n_links_checked").unionByName(empty)
 
 
 def _keyed_texts(rows: DataFrame, words: int) -> DataFrame:
