@@ -35,10 +35,14 @@ def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the least id of each group of similar ones; rows without an id, which nothing can name, stay."""
-    found = similar_components(docs)
-    gone = found.where(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    """The first document of each group of similar ones: the least id, of one id's texts the least by their hash.
+
+    A document is known by its id and its text, so of two texts under one id only the one that goes is removed, and of
+    similar texts without an id one stays.
+    """
+    gone = similar_components(docs).where("not first").select(F.col("doc_id").alias("gone_id"), F.col("text_key").alias("gone_key")).distinct()
+    mine = F.xxhash64(F.coalesce(docs["text"], F.lit("")))
+    return docs.join(gone, docs["doc_id"].eqNullSafe(gone["gone_id"]) & (mine == gone["gone_key"]), "left_anti").select(docs.columns)
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
