@@ -380,6 +380,19 @@ def test_pipeline_stage_by_stage(spark, small):
     assert corpus_pipeline.run(spark, small).count() == packed.count()
 
 
+def test_near_stage_goes_by_id_and_text(spark):
+    text = lambda n: " ".join(f"{n}w{i}" for i in range(80))
+    a, b, c = text("a"), text("b"), text("c")
+    rows = [(1, a), (2, a + " x"), (2, b), (None, c), (None, c + " y"), (None, b + " z"), (3, ""), (4, None), (2, b)]
+    docs = spark.createDataFrame([(i, t, 1, "k") for i, t in rows], "doc_id bigint, text string, gone_id int, text_key string")
+    got = corpus_pipeline.near_stage(spark, docs, "")
+    assert got.columns == docs.columns
+    left = Counter((r.doc_id, r.text) for r in got.collect())
+    one = [t for i, t in left if i is None]
+    assert len(one) == 1 and one[0] in (c, c + " y")
+    assert left == Counter([(1, a), (2, b), (2, b), (3, ""), (4, None), (None, one[0])])
+
+
 @pytest.mark.parametrize("name, stage", corpus_pipeline.STAGES)
 def test_stages_awkward(spark, small, name, stage):
     rows = [(1, "a b c d e f g", None, "s", 3), (None, "x", "en", None, None), (2, None, "en", "s", 0), (2, None, "en", "s", 0), (3, "", None, "t", 0)]
