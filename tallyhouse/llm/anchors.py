@@ -19,7 +19,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window, functions as F
 
-from tallyhouse.llm.common import whole
+from tallyhouse.llm.common import KEPT, whole
 
 #: an anchor met by more chunks than this is told apart by a second one
 COMMON = 10_000
@@ -31,6 +31,7 @@ BASES = tuple(int(x) for x in _SEEDS[256:258])
 SPACE = np.zeros(256, bool)
 SPACE[[9, 10, 11, 12, 13, 32]] = True
 _POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+KEPT["powers"] = _POWERS.clear
 
 
 @dataclass(frozen=True)

@@ -7,7 +7,7 @@ import ctypes
 import gc
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
@@ -74,17 +74,30 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set(BATCH_CONF, BATCH)
 
 
-def tidy(out: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The batches of a task; at its end the worker, which waits for the next task, gives back the memory that it has freed."""
+#: what a worker keeps from task to task, by name: calls that drop it
+KEPT: dict[str, Callable[[], None]] = {}
+
+
+def give_back(keeps: str = "") -> None:
+    """Drop what the worker has kept, but for ``keeps``, and return freed memory to the system."""
+    for name, drop in KEPT.items():
+        if name != keeps:
+            drop()
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):
+        pass  # another C library
+
+
+def tidy(out: Iterator[pa.RecordBatch], keeps: str = "") -> Iterator[pa.RecordBatch]:
+    """The batches of a task, which starts without what other operators' tasks have kept in the worker and at its end gives back memory."""
+    give_back(keeps)
     try:
         yield from out
     finally:
-        gc.collect()
-        pa.default_memory_pool().release_unused()
-        try:
-            ctypes.CDLL(None).malloc_trim(0)
-        except (AttributeError, OSError):
-            pass  # another C library
+        give_back(keeps)
 
 
 def whole(text: Column | str) -> Column:

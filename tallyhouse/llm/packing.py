@@ -23,7 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from tallyhouse.llm.common import small_batches, tidy
+from tallyhouse.llm.common import KEPT, small_batches, tidy
 
 LONGEST = 2048
 END = 1
@@ -74,6 +74,9 @@ def encoder(path: str):
     return t, special, Words(encode)
 
 
+KEPT["tokenizer"] = encoder.cache_clear
+
+
 def spans(text: str) -> list[str]:
     """The text in pieces that encode to the same ids as the whole: cut at a space between two letters."""
     out, at = [], 0
@@ -127,7 +130,7 @@ def pack(docs: DataFrame, tokenizer_path: str, longest: int = LONGEST, id_col: s
         raise ValueError("the longest sequence has to be a power of two")
     small_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
-    pieces = rows.mapInArrow(lambda b: tidy(_cut(tokenizer_path, longest, b)), SCHEMA)
+    pieces = rows.mapInArrow(lambda b: tidy(_cut(tokenizer_path, longest, b), "tokenizer"), SCHEMA)
     return pieces.withColumns({"sequence_id": F.monotonically_increasing_id(), "offset": F.lit(0).cast("bigint"), "bucket": F.log2("length").cast("int")})
 
 

@@ -254,6 +254,7 @@ def fit(docs: DataFrame, labels: DataFrame, trains: Column, label_col: str = "to
     grams.unpersist()
     sent = spark.sparkContext.broadcast(model)
     seen = texts.where(held).select("text", "y").mapInArrow(lambda b: tidy(_evidence(sent, b)), "y int, evidence double").toPandas()
+    sent.destroy()
     every = {r.y: r.n for r in labels.where(trains).groupBy(F.col(label_col).alias("y")).agg(F.count(F.lit(1)).alias("n")).collect()}
     model.slope, model.offset = calibrate(seen.evidence.to_numpy(), seen.y.to_numpy(), every)
     return model
