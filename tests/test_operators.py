@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tallyhouse.functions.periods import Periods, as_of_date
 from tallyhouse.operators import aggregates, joins, windows
+from tallyhouse.plans import silver
 from tallyhouse.plans.firm import Firm
 
 
@@ -22,6 +23,33 @@ def test_interval_join_newest_start_wins_and_open_end(spark):
     assert got == sorted([(1, date(2000, 3, 1), 10.0), (1, date(2000, 3, 1), 10.0), (1, date(2000, 7, 15), 20.0), (1, date(2002, 1, 1), 20.0), (2, date(2000, 1, 1), None), (3, date(2000, 1, 1), None)], key=repr)
 
 
+def test_interval_join_is_the_calendar_joined_back_and_reads_events_once(spark, tmp_path):
+    rnd, day = random.Random(3), lambda n: date(2000, 1, 1) + timedelta(days=n)
+    maybe = lambda v: None if rnd.random() < 0.1 else v
+    rates = spark.createDataFrame([(maybe(rnd.randrange(6)), maybe(float(rnd.randrange(9))), maybe(day(rnd.randrange(60))), maybe(day(rnd.randrange(90)))) for _ in range(60)],
+                                  "k int, rate double, effective_date date, end_date date")
+    spark.createDataFrame([(i % 40, maybe(rnd.randrange(8)), maybe(day(rnd.randrange(90)))) for i in range(400)], "i int, k int, day date").write.parquet(f"{tmp_path}/events")
+    events = spark.read.parquet(f"{tmp_path}/events")
+    kinds = {"r": (rates, "rate"), "other": (rates.where("rate > 3"), "rate")}
+    got = joins.interval_join(events, "k", "day", kinds)
+    want = events.join(joins.rate_calendar(events, "k", "day", kinds), ["k", "day"], "left")
+    assert got.columns == want.columns and rows(got) == rows(want)
+    assert got._jdf.queryExecution().sparkPlan().toString().count("FileScan parquet") == 1  # the calendar reads them again for their days
+
+
+def test_timecards_read_line_items_once(spark, small):
+    plan = Firm.sample(spark, small).build("fact_timecards")._jdf.queryExecution().sparkPlan().toString()
+    assert sum("FileScan" in line and "l_shipdate" in line for line in plan.splitlines()) == 1
+
+
+def test_rates_of_cards_without_day_and_of_repeated_people(spark):
+    cards = spark.createDataFrame([(1, 1, date(2000, 5, 1)), (2, 1, None), (3, None, date(2000, 5, 1)), (4, 2, date(2000, 5, 1)), (5, 3, date(2000, 5, 1))], "c int, employee_id int, work_date date")
+    rate = lambda c: spark.createDataFrame([(1, 10.0, date(2000, 1, 1), None), (None, 3.0, date(2000, 1, 1), None)], f"employee_id int, {c} double, effective_date date, end_date date")
+    people = spark.createDataFrame([(1, "a"), (2, "b"), (2, "c"), (None, "d")], "employee_id int, job_level string")
+    got = rows(silver.with_rates(cards, rate("billing_rate"), rate("hourly_cost_rate"), people).select("c", "_rate", "_cost", "job_level"))
+    assert got == [(1, 10.0, 10.0, "a"), (2, None, None, None), (3, None, None, None), (4, None, None, "b"), (4, None, None, "c"), (5, None, None, None)]
+
+
 def test_open_month_ends_against_brute_force(spark):
     rnd, as_of = random.Random(7), date(2001, 3, 15)
     data = []
