@@ -176,6 +176,14 @@ def by_part(spark, path, rows):
     return df.schema
 
 
+def test_rebuild_without_rebalance_writes_rows_where_they_lie(spark, tmp_path):
+    df = spark.range(0, 60, 1, 4).selectExpr("id", "id % 3 AS p")
+    for rebalance, most in ((False, 12), (True, 3)):
+        sinks.rebuild(df, str(tmp_path / str(rebalance)), "p", rebalance)
+        assert len(files(tmp_path / str(rebalance))) == most
+        assert sorted(r[0] for r in spark.read.parquet(str(tmp_path / str(rebalance))).select("id").collect()) == list(range(60))
+
+
 def test_merge_rewrites_touched_partitions_only(spark, tmp_path):
     path = tmp_path / "t"
     schema = by_part(spark, path, [(1, "a", "x"), (2, "b", "x"), (3, "c", "y"), (4, "d", None)])
