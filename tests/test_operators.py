@@ -50,6 +50,16 @@ def test_rates_of_cards_without_day_and_of_repeated_people(spark):
     assert got == [(1, 10.0, 10.0, "a"), (2, None, None, None), (3, None, None, None), (4, None, None, "b"), (4, None, None, "c"), (5, None, None, None)]
 
 
+def test_people_of_projects_are_not_dealt_out_by_person(spark, small):
+    firm = Firm.sample(spark, small)
+    projects = firm.build("dim_projects")
+    assert not any("Exchange" in line and "employee_id" in line for line in projects._jdf.queryExecution().executedPlan().toString().splitlines())
+    staff = spark.createDataFrame([(1, 7, "Active"), (1, 7, "Planned"), (1, 8, "Active"), (1, None, "Active")], "project_id bigint, employee_id bigint, assignment_status string")
+    found = silver.dim_projects(firm.source_table("sfdc_engagements"), firm.source_table("sfdc_contracts"), staff.withColumn("allocation_percentage", F.lit(1.0)), firm.policy)
+    assert [tuple(r) for r in found.where("project_id = 1").select("assigned_headcount", "active_assignments", "planned_assignments").collect()] in ([], [(2, 3, 1)])
+    assert dict(found.dtypes)["assigned_headcount"] == "bigint"
+
+
 def test_open_month_ends_against_brute_force(spark):
     rnd, as_of = random.Random(7), date(2001, 3, 15)
     data = []
