@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from tallyhouse.functions.periods import Periods, as_of_date
 from tallyhouse.operators import aggregates, joins, windows
-from tallyhouse.plans import silver
+from tallyhouse.plans import gold, silver
 from tallyhouse.plans.firm import Firm
+from tallyhouse.plans.policy import SAMPLE_POLICY
 
 
 def rows(df):
@@ -60,6 +61,57 @@ def test_people_of_projects_are_not_dealt_out_by_person(spark, small):
     assert dict(found.dtypes)["assigned_headcount"] == "bigint"
 
 
+def exchanges(df):
+    return [line for line in df._jdf.queryExecution().executedPlan().toString().splitlines() if "Exchange hashpartitioning" in line]
+
+
+@pytest.fixture
+def shuffled(spark):
+    """Joins are shuffled, as they are over large tables."""
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    yield
+    spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_people_of_cells_and_projects_need_no_shuffle_by_person(spark):
+    cards = spark.createDataFrame([(1, 7, "A"), (1, 7, "B"), (1, 8, "A"), (1, None, "B"), (2, None, "A"), (None, 7, "A"), (None, 9, "A")],
+                                  "project_id long, employee_id long, customer string").select(
+        "*", *[F.lit("x").alias(c) for c in ("region", "location", "practice_area", "industry")], F.lit("Billable").alias("time_type_clean"),
+        F.lit(date(2001, 3, 1)).alias("fiscal_month"), F.lit(date(2001, 3, 9)).alias("work_date"),
+        *[F.lit(2).cast("decimal(18,4)").alias(c) for c in ("billing_amount", "cost_amount", "hours_worked")])
+    per_project = gold.project_activity(cards)
+    assert rows(per_project.select("project_id", "team_size", F.col("actual_revenue").cast("int"))) == sorted([(1, 2, 8), (2, 0, 2), (None, 2, 4)], key=repr)
+    dims = "region string, location string, practice_area string, industry string, customer string"
+    none = lambda columns: spark.createDataFrame([], f"{dims}, {columns}")
+    out = gold.enterprise_metrics(
+        cards, none("fiscal_month date, amount decimal(18,4)"), none("is_current boolean, is_latest_snapshot boolean"),
+        none("fiscal_month date, amount decimal(18,4), payment_date date"), none("is_wip boolean, fiscal_month date, billing_amount decimal(18,4)"),
+        none("is_active boolean, planned_revenue decimal(18,4)"), SAMPLE_POLICY)
+    assert rows(out.select("customer", "active_employees", F.col("revenue").cast("int"), F.col("billable_hours").cast("int"))) == [("A", 3, 10, 10), ("B", 1, 4, 4)]
+    assert not [x for df in (per_project, out) for x in exchanges(df) if "employee_id" in x]
+
+
+def test_wide_projects_are_shuffled_by_engagement_once(spark, small, shuffled):
+    f = Firm.sample(spark, small)
+    assert len([x for x in exchanges(f.build("dim_projects")) if "hashpartitioning(engagement_id" in x]) == 1
+
+
+def test_invoices_are_not_shuffled_by_lead(spark, shuffled):
+    invoices = spark.createDataFrame([(1, 10), (2, 11), (3, None), (4, 12), (5, 99)], "invoice_id long, project_id long").select(
+        "*", F.lit(1).alias("customer_id"), F.lit("c").alias("customer_name"), F.lit(date(2001, 3, 1)).alias("invoice_date"), F.lit(date(2001, 4, 1)).alias("due_date"),
+        F.lit(1).cast("decimal(18,4)").alias("amount"), F.lit("Open").alias("payment_status"), F.lit(None).cast("date").alias("payment_date"),
+        *[F.lit("x").alias(c) for c in ("region", "location", "practice_area", "industry", "customer")])
+    projects = spark.createDataFrame([(10, 1), (10, 2), (11, None), (12, 7), (None, 1)], "project_id long, lead_partner_id long")
+    staff = spark.createDataFrame([(1, "P", True), (1, "Q", True), (2, "R", True), (7, "S", False)], "employee_id long, full_name string, is_current boolean").withColumn("is_latest_snapshot", F.lit(True))
+    out = silver.fact_accounts_receivable(invoices, projects, staff, date(2001, 6, 1), SAMPLE_POLICY)
+    assert rows(out.select("invoice_id", "lead_partner_name")) == [(1, "P"), (1, "Q"), (1, "R"), (2, "Unassigned"), (3, "Unassigned"), (4, "Unassigned"), (5, "Unassigned")]
+    plan = out._jdf.queryExecution().executedPlan().toString().splitlines()
+    depth = lambda line: len(line) - len(line.lstrip(" :|+-"))
+    by_lead = [i for i, line in enumerate(plan) if "Exchange hashpartitioning" in line and ("lead" in line or "employee_id" in line)]
+    below = lambda i: [x for x in plan[i + 1:next((j for j in range(i + 1, len(plan)) if depth(plan[j]) <= depth(plan[i])), len(plan))]]
+    assert by_lead and not [i for i in by_lead if any("Join" in x for x in below(i))]
+
+
 def test_open_month_ends_against_brute_force(spark):
     rnd, as_of = random.Random(7), date(2001, 3, 15)
     data = []

@@ -184,6 +184,15 @@ def test_rebuild_without_rebalance_writes_rows_where_they_lie(spark, tmp_path):
         assert sorted(r[0] for r in spark.read.parquet(str(tmp_path / str(rebalance))).select("id").collect()) == list(range(60))
 
 
+def test_rebuilt_tables_are_packed_by_zstd(spark, tmp_path):
+    df = spark.range(100).withColumn("m", F.col("id") % 2)
+    for name, by in (("flat", None), ("parts", "m")):
+        sinks.rebuild(df, str(tmp_path / name), by)
+        written = list((tmp_path / name).rglob("*.parquet"))
+        assert written and all(x.name.endswith(".zstd.parquet") for x in written)
+        assert spark.read.parquet(str(tmp_path / name)).count() == 100
+
+
 def test_merge_rewrites_touched_partitions_only(spark, tmp_path):
     path = tmp_path / "t"
     schema = by_part(spark, path, [(1, "a", "x"), (2, "b", "x"), (3, "c", "y"), (4, "d", None)])
