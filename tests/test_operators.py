@@ -10,6 +10,7 @@ from tallyhouse.operators import aggregates, joins, windows
 from tallyhouse.plans import gold, silver
 from tallyhouse.plans.firm import Firm
 from tallyhouse.plans.policy import SAMPLE_POLICY
+from tallyhouse.sources.sinks import rebuild
 
 
 def rows(df):
@@ -112,6 +113,14 @@ def test_invoices_are_not_shuffled_by_lead(spark, shuffled):
     assert by_lead and not [i for i in by_lead if any("Join" in x for x in below(i))]
 
 
+def test_receivables_are_stored_without_a_shuffle_of_their_own(spark, small, monkeypatch):
+    f, seen = Firm.sample(spark, small), {}
+    fresh = Firm(spark, f.source, f.folder + "/dealt", f.policy)
+    monkeypatch.setattr("tallyhouse.plans.firm.rebuild", lambda df, path, by, rebalance: (seen.update({path.rsplit("/", 1)[1]: rebalance}), rebuild(df, path, by, rebalance)))
+    assert fresh.table("fact_accounts_receivable").count() == f.build("fact_accounts_receivable").count()
+    assert seen["fact_accounts_receivable"] is False
+
+
 def test_open_month_ends_against_brute_force(spark):
     rnd, as_of = random.Random(7), date(2001, 3, 15)
     data = []
