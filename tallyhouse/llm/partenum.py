@@ -308,8 +308,12 @@ def components(links: DataFrame) -> DataFrame:
         root = new.select("key", "root")
 
 
-def _across(percent: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Members of groups, sorted by group and block pair -> pairs across components whose sizes and sketches allow a link."""
+def _across(percent: int, batches: Iterator[pa.RecordBatch], tree: bool = False) -> Iterator[pa.RecordBatch]:
+    """Members of groups, sorted by group and block pair -> pairs across components whose sizes and sketches allow a link.
+
+    With ``tree`` only pairs that would join what the group's earlier pairs have not joined, the nearest by sketch first:
+    fewer than there are components, however many members could be paired.
+    """
     held: list[pa.RecordBatch] = []
     now = None
 
@@ -328,6 +332,8 @@ def _across(percent: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Reco
         half = {w // 2: fold(x) for w, x in table.items() if w // 2 in table}
         reach = np.searchsorted(n, n * 100 // percent, side="right")
         found = []
+        # components of the group; those that a pair may join become one
+        root = np.unique(root, return_inverse=True)[1]
         for a in range(len(key)):
             b = np.arange(a + 1, reach[a])
             b = b[(root[b] != root[a]) & (within | (block[b] != block[a]))]
@@ -338,7 +344,12 @@ def _across(percent: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Reco
                 if len(same) < len(b):
                     bits.append(np.bitwise_count(half[w][b[len(same):] - first[2 * w]] ^ mine).sum(axis=1))
                 apart = np.concatenate(bits)
-                b = b[apart <= difference(n[a] + n[b], 0, percent)]
+                near = apart <= difference(n[a] + n[b], 0, percent)
+                b = b[near]
+                if tree and len(b):
+                    b = b[np.lexsort((key[b], apart[near]))]
+                    b = b[np.sort(np.unique(root[b], return_index=True)[1])]
+                    root[np.isin(root, root[b])] = root[a]
                 if len(b):
                     found.append(np.stack([np.minimum(key[a], key[b]), np.maximum(key[a], key[b])], axis=1))
         if found:
@@ -360,8 +371,8 @@ def _across(percent: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Reco
         yield from done()
 
 
-def _pairs_across(met: DataFrame, root: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
-    """Pairs of different components that share a group and may be linked."""
+def _pairs_across(met: DataFrame, root: DataFrame, nodes: DataFrame, percent: int, tree: bool = False) -> DataFrame:
+    """Pairs of different components that share a group and may be linked; with ``tree`` no more of a group than would join all its components."""
     member = met.select("sig", "key").union(met.select("sig", F.col("hub").alias("key")).distinct())
     placed = member.join(root, "key", "left").withColumn("root", F.coalesce("root", "key"))
     mixed = placed.groupBy("sig").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count(F.lit(1)).alias("c")).where(F.col("low") < F.col("high"))
@@ -371,7 +382,7 @@ def _pairs_across(met: DataFrame, root: DataFrame, nodes: DataFrame, percent: in
     blocked = full.withColumn("block", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int")).withColumn("o", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     dealt = blocked.select("sig", F.least("block", "o").alias("i"), F.greatest("block", "o").alias("j"), "block", "key", "root", "n", "sketch")
     dealt = dealt.repartition("sig", "i", "j").sortWithinPartitions("sig", "i", "j")
-    return dealt.mapInArrow(lambda b: tidy(_across(percent, b)), "hub bigint, key bigint").distinct()
+    return dealt.mapInArrow(lambda b: tidy(_across(percent, b, tree)), "hub bigint, key bigint").distinct()
 
 
 def similar_components(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -417,6 +428,8 @@ def _linked(rows: DataFrame, nodes: DataFrame, words: int, percent: int) -> tupl
     stars = _may_link(met.select("hub", "key").distinct(), nodes, percent).groupBy("key").agg(F.min("hub").alias("hub")).select("hub", "key")
     stars = _links(stars, texts, words, percent)
     root = components(stars)
-    more = _links(_pairs_across(met, root, nodes, percent), texts, words, percent)
-    links = cut(stars.unionByName(more).distinct())
+    # a few pairs join most components that similar sets have been left in; the last round then looks at every pair across those that stay apart
+    trees = stars.unionByName(_links(_pairs_across(met, root, nodes, percent, tree=True), texts, words, percent))
+    more = _links(_pairs_across(met, components(trees), nodes, percent), texts, words, percent)
+    links = cut(trees.unionByName(more).distinct())
     return links, components(links)

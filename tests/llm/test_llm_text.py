@@ -10,9 +10,10 @@ from dataclasses import replace
 import duckdb
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 
-from tallyhouse.llm import seed_extend, suffix_array
+from tallyhouse.llm import partenum, seed_extend, suffix_array
 from tallyhouse.llm.exact_dedup import exact_dedup
 from tallyhouse.llm.mixing import find_exponent, mix, source_totals, with_dimension
 from tallyhouse.llm.packing import encoder, pack, piece_lengths, token_ids, write_buckets
@@ -258,6 +259,24 @@ def test_join_matches_brute_force(spark, docs, texts):
     assert seen(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(7)) == linked(rows)
 
 
+def test_group_of_near_sets_is_joined_by_a_tree():
+    """A group's members, all alike and each in a component of its own: a pair less than members, not all pairs; and all pairs without ``tree``."""
+    m = 60
+    rng = np.random.default_rng(1)
+    sketch = rng.integers(0, 1 << 62, partenum.SKETCH)
+    columns = {"sig": [7] * m, "i": [0] * m, "j": [0] * m, "block": [0] * m, "key": list(range(m)), "root": list(range(m)), "n": [200] * m,
+               "sketch": [[int(sketch[0]) ^ (1 << k % 50), *map(int, sketch[1:])] for k in range(m)]}
+    batch = pa.RecordBatch.from_pydict(columns, schema=pa.schema([(c, pa.list_(pa.int64()) if c == "sketch" else pa.int32() if c in "ij" or c == "block" else pa.int64()) for c in columns]))
+    rows = lambda **k: [tuple(r.values()) for b in partenum._across(80, iter([batch]), **k) for r in b.to_pylist()]
+    assert len(rows()) == m * (m - 1) // 2
+    tree = rows(tree=True)
+    assert len(tree) == m - 1
+    joined = {0}
+    for _ in range(m):
+        joined |= {x for pair in tree if joined & set(pair) for x in pair}
+    assert joined == set(range(m))
+
+
 def test_join_awkward(awkward, none):
     got = Counter((r.doc_id, r.component_id) for r in similar_components(awkward).collect())
     assert got[(8, 7)] == 1 and got[(10, 9)] == 1 and got[(9, 9)] == 2 and got[(4, 4)] == 1 and sum(got.values()) == len(AWKWARD)
