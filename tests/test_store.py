@@ -1,3 +1,6 @@
+import glob
+import time
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F, types as T
@@ -193,6 +196,20 @@ def test_rebuilt_tables_are_packed_by_zstd(spark, tmp_path):
         assert spark.read.parquet(str(tmp_path / name)).count() == 100
 
 
+def test_rebuild_leaves_no_shuffle_files(spark, tmp_path):
+    folders = [d.getPath() for d in spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirs()]
+    files = lambda: {f for d in folders for f in glob.glob(f"{d}/*/shuffle_*.data")}
+    before, conf = files(), spark.conf.get(sinks.DROP_SHUFFLES)
+    rows = spark.range(5000).repartition(7).groupBy((F.col("id") % 5).alias("p")).agg(F.count("id").alias("n"))
+    sinks.rebuild(rows, str(tmp_path / "t"), "p")
+    end = time.time() + 20
+    while files() - before and time.time() < end:
+        time.sleep(0.2)
+    assert not files() - before
+    assert spark.conf.get(sinks.DROP_SHUFFLES) == conf
+    assert sorted(tuple(r) for r in spark.read.parquet(str(tmp_path / "t")).select("p", "n").collect()) == [(p, 1000) for p in range(5)]
+
+
 def test_merge_rewrites_touched_partitions_only(spark, tmp_path):
     path = tmp_path / "t"
     schema = by_part(spark, path, [(1, "a", "x"), (2, "b", "x"), (3, "c", "y"), (4, "d", None)])
