@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import os
 import re
+import struct
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -51,12 +52,25 @@ class Words(dict):
         self.encode = encode
 
     def __missing__(self, word: str) -> bytes:
-        ids = np.asarray(self.encode(word), "<u4").tobytes()
+        ids = self.encode(word)
+        ids = struct.pack(f"<{len(ids)}I", *ids)
         if len(self) < WORDS:
             self[word] = ids
         return ids
 
 
+class Letters(dict):
+    """What the tokenizer's model reads for a character (a sign for each of its bytes), by code point, filled as characters are met."""
+
+    def __init__(self, spell):
+        super().__init__()
+        self.spell = spell
+
+    def __missing__(self, code: int) -> str:
+        self[code] = out = self.spell(chr(code))[0][0]
+        return out
+
+
 @lru_cache(maxsize=2)
 def encoder(path: str):
     """The tokenizer, its special strings, and the table of words; one of each in a worker."""
@@ -66,10 +80,10 @@ def encoder(path: str):
 
     t = Tokenizer.from_file(path)
     special = [a.content for a in t.get_added_tokens_decoder().values()]
-    bytes_as_text = ByteLevel(add_prefix_space=False, use_regex=False).pre_tokenize_str
+    letters, tokenize = Letters(ByteLevel(add_prefix_space=False, use_regex=False).pre_tokenize_str), t.model.tokenize
 
     def encode(word: str) -> list[int]:
-        return [k.id for k in t.model.tokenize(bytes_as_text(word)[0][0])]
+        return [k.id for k in tokenize(word.translate(letters))]
 
     return t, special, Words(encode)
 

@@ -16,7 +16,7 @@ import pytest
 from tallyhouse.llm import partenum, seed_extend, suffix_array
 from tallyhouse.llm.exact_dedup import exact_dedup
 from tallyhouse.llm.mixing import find_exponent, mix, source_totals, with_dimension
-from tallyhouse.llm.packing import encoder, pack, piece_lengths, token_ids, write_buckets
+from tallyhouse.llm.packing import Letters, UNUSUAL, encoder, pack, piece_lengths, token_ids, write_buckets
 from tallyhouse.llm.partenum import difference, similar_components
 from tallyhouse.llm.queries import CHECKS, QUERIES
 from pyspark.sql import functions as F
@@ -114,6 +114,19 @@ def test_packing_texts_out_of_the_ordinary(awkward, none, tmp_path):
     assert {p.name for p in (tmp_path / "buckets").glob("bucket=*")} == {f"bucket={r.bucket}" for r in got.select("bucket").distinct().collect()}
 
 
+def test_packing_spells_each_character_once(monkeypatch):
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    encoder.cache_clear()
+    t, _, words = encoder(path)
+    text = "".join(chr(c) for c in range(256) if UNUSUAL.search(chr(c)) is None)
+    for x in (text, text[::-1], " ".join(text), " aé ñoñ" * 50):
+        assert token_ids(path, x)[:-4] == np.asarray(t.encode(x, add_special_tokens=False).ids, "<u4").tobytes()
+    letters = next(c.cell_contents for c in words.encode.__closure__ if isinstance(c.cell_contents, Letters))
+    monkeypatch.setattr(letters, "spell", None)  # every character is known, so no new word asks the tokenizer how it is spelled
+    assert words.encode(" ñaé") == t.encode(" ñaé", add_special_tokens=False).ids
+    encoder.cache_clear()
+
+
 def test_packing_query_digest(spark, small, texts):
     t, first = encoder(PATH)[0], dict(texts)
     for r in QUERIES["op2_packing"](spark, small).limit(50).collect():
