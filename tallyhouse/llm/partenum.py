@@ -256,9 +256,11 @@ def _may_link(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
 
 
 def _sets(words: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The sets of texts that have the key they were picked for; another text under the same id and hash falls."""
     for part, texts in chunks(batches, Rule(True, words, words, CHUNK), 0):
         shingle, begin = sets_of(texts, words)
-        yield pa.RecordBatch.from_arrays([*part.columns[1:], pa.array([shingle[a:b].tobytes() for a, b in zip(begin, begin[1:])], pa.binary())], ["hub", "part", "member", "elements"])
+        own = np.flatnonzero(keys_of(shingle, begin) == part.column(1).to_numpy())
+        yield pa.RecordBatch.from_arrays([*part.take(pa.array(own)).columns[2:], pa.array([shingle[begin[i]:begin[i + 1]].tobytes() for i in own], pa.binary())], ["hub", "part", "member", "elements"])
 
 
 def _verify(percent: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -278,16 +280,18 @@ def _verify(percent: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Reco
         yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in out], ["hub", "key"])
 
 
-def _links(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
-    """Those of the pairs whose sets are similar, compared on the sets."""
+def _links(pairs: DataFrame, rows: DataFrame, nodes: DataFrame, words: int, percent: int) -> DataFrame:
+    """Those of the pairs whose sets are similar, compared on the sets. A set is made from the text of its node's head, found by id and hash, not of every copy."""
     pairs = cut(pairs)
     # members of a hub fall into parts by hash, so that a hub with very many is not one task's
     few = pairs.groupBy("hub").agg(F.ceil(F.count(F.lit(1)) / MEMBERS).cast("int").alias("parts"))
     member = pairs.join(few, "hub").select("key", "hub", F.pmod(F.xxhash64("key"), F.col("parts")).cast("int").alias("part"), F.col("key").alias("member"))
     hub = few.select(F.col("hub").alias("key"), "hub", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(None).cast("bigint").alias("member"))
-    route = cut(member.unionByName(hub))
+    head = nodes.select("key", F.col("head.id").alias("head_id"), F.col("head.text").alias("head_key"))
+    route = cut(member.unionByName(hub).join(head, "key"))
     count = route.count()
-    routed = texts.join(F.broadcast(route) if count <= PICK else route, "key").select("text", "hub", "part", "member")
+    here = (F.col("text_key") == F.col("head_key")) & F.col("doc_id").eqNullSafe(F.col("head_id"))
+    routed = rows.join(F.broadcast(route) if count <= PICK else route, here).select("text", "key", "hub", "part", "member")
     sets = routed.mapInArrow(lambda b: tidy(_sets(words, b)), "hub bigint, part int, member bigint, elements binary")
     dealt = sets.repartition("hub", "part").sortWithinPartitions("hub", "part", F.col("member").asc_nulls_first())
     return cut(dealt.mapInArrow(lambda b: tidy(_verify(percent, b)), "hub bigint, key bigint").distinct())
@@ -308,11 +312,12 @@ def components(links: DataFrame) -> DataFrame:
         root = new.select("key", "root")
 
 
-def _across(percent: int, batches: Iterator[pa.RecordBatch], tree: bool = False) -> Iterator[pa.RecordBatch]:
+def _across(percent: int, batches: Iterator[pa.RecordBatch], tree: bool = False, names: tuple[str, ...] = ("hub", "key")) -> Iterator[pa.RecordBatch]:
     """Members of groups, sorted by group and block pair -> pairs across components whose sizes and sketches allow a link.
 
     With ``tree`` only pairs that would join what the group's earlier pairs have not joined, the nearest by sketch first:
-    fewer than there are components, however many members could be paired.
+    fewer than there are components, however many members could be paired. Of the columns ``names``, ``sig`` is the group and
+    ``rest`` tells whether ``tree`` has left out any of its pairs.
     """
     held: list[pa.RecordBatch] = []
     now = None
@@ -331,12 +336,15 @@ def _across(percent: int, batches: Iterator[pa.RecordBatch], tree: bool = False)
         table = {w: flat[ends[f] - w:ends[np.searchsorted(width, w, side="right") - 1]].reshape(-1, w) for w, f in first.items()}
         half = {w // 2: fold(x) for w, x in table.items() if w // 2 in table}
         reach = np.searchsorted(n, n * 100 // percent, side="right")
-        found = []
+        found, rest = [], False
         # components of the group; those that a pair may join become one
-        root = np.unique(root, return_inverse=True)[1]
+        before = np.unique(root, return_inverse=True)[1]
+        root = before.copy()
         for a in range(len(key)):
             b = np.arange(a + 1, reach[a])
-            b = b[(root[b] != root[a]) & (within | (block[b] != block[a]))]
+            # as long as none is known to be left out, pairs of components already joined are looked at too
+            of = before if rests and not rest else root
+            b = b[(of[b] != of[a]) & (within | (block[b] != block[a]))]
             if len(b):
                 w = int(width[a])
                 mine, same = table[w][a - first[w]], b[width[b] == w]
@@ -347,15 +355,19 @@ def _across(percent: int, batches: Iterator[pa.RecordBatch], tree: bool = False)
                 near = apart <= difference(n[a] + n[b], 0, percent)
                 b = b[near]
                 if tree and len(b):
-                    b = b[np.lexsort((key[b], apart[near]))]
+                    new, every = root[b] != root[a], len(b)
+                    b = b[new][np.lexsort((key[b[new]], apart[near][new]))]
                     b = b[np.sort(np.unique(root[b], return_index=True)[1])]
+                    rest = rest or len(b) < every
                     root[np.isin(root, root[b])] = root[a]
                 if len(b):
                     found.append(np.stack([np.minimum(key[a], key[b]), np.maximum(key[a], key[b])], axis=1))
         if found:
             pair = np.unique(np.concatenate(found), axis=0)
-            yield pa.RecordBatch.from_arrays([pa.array(pair[:, c].copy()) for c in (0, 1)], ["hub", "key"])
+            columns = {"hub": pair[:, 0].copy(), "key": pair[:, 1].copy(), "sig": np.full(len(pair), now[0]), "rest": np.full(len(pair), rest)}
+            yield pa.RecordBatch.from_arrays([pa.array(columns[c]) for c in names], list(names))
 
+    rests = tree and "rest" in names
     for batch in batches:
         group = np.stack([batch.column(c).to_numpy() for c in ("sig", "i", "j")], axis=1)
         edges = np.flatnonzero((group[1:] != group[:-1]).any(axis=1)) + 1 if len(group) else []
@@ -372,7 +384,8 @@ def _across(percent: int, batches: Iterator[pa.RecordBatch], tree: bool = False)
 
 
 def _pairs_across(met: DataFrame, root: DataFrame, nodes: DataFrame, percent: int, tree: bool = False) -> DataFrame:
-    """Pairs of different components that share a group and may be linked; with ``tree`` no more of a group than would join all its components."""
+    """Pairs of different components that share a group and may be linked; with ``tree`` no more of a group than would join all its
+    components, each with its group and whether that has other pairs."""
     member = met.select("sig", "key").union(met.select("sig", F.col("hub").alias("key")).distinct())
     placed = member.join(root, "key", "left").withColumn("root", F.coalesce("root", "key"))
     mixed = placed.groupBy("sig").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count(F.lit(1)).alias("c")).where(F.col("low") < F.col("high"))
@@ -382,7 +395,9 @@ def _pairs_across(met: DataFrame, root: DataFrame, nodes: DataFrame, percent: in
     blocked = full.withColumn("block", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int")).withColumn("o", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     dealt = blocked.select("sig", F.least("block", "o").alias("i"), F.greatest("block", "o").alias("j"), "block", "key", "root", "n", "sketch")
     dealt = dealt.repartition("sig", "i", "j").sortWithinPartitions("sig", "i", "j")
-    return dealt.mapInArrow(lambda b: tidy(_across(percent, b, tree)), "hub bigint, key bigint").distinct()
+    if tree:
+        return dealt.mapInArrow(lambda b: tidy(_across(percent, b, True, ("sig", "hub", "key", "rest"))), "sig bigint, hub bigint, key bigint, rest boolean")
+    return dealt.mapInArrow(lambda b: tidy(_across(percent, b)), "hub bigint, key bigint").distinct()
 
 
 def similar_components(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -409,27 +424,21 @@ def similar_components(docs: DataFrame, words: int = WORDS, percent: int = PERCE
     return full.select("doc_id", "text_key", "n_shingles", "component_id", first.alias("first"), "n_links_checked").unionByName(empty)
 
 
-def _keyed_texts(rows: DataFrame, words: int) -> DataFrame:
-    def key(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, texts in chunks(batches, Rule(True, words, words, CHUNK), 0):
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(keys_of(*sets_of(texts, words)))], ["text", "key"])
-
-    return rows.select("text").mapInArrow(lambda b: tidy(key(b)), "text string, key bigint")
-
-
 def _linked(rows: DataFrame, nodes: DataFrame, words: int, percent: int) -> tuple[DataFrame, DataFrame]:
     """Verified links, and the root of every key in one."""
     # about a third of a set's size is the number of its signatures
     buckets = max(64, int((nodes.agg(F.sum("n")).first()[0] or 0) / 3 / BUCKET))
     packed = rows.select("text").mapInArrow(lambda b: tidy(_sign(words, percent, buckets, b)), "bucket bigint, kind int, packed binary")
     met = stored(packed.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(lambda b: tidy(_meet(b)), "sig bigint, hub bigint, key bigint"))
-    texts = _keyed_texts(rows, words)
     # one comparison for each set; what it does not settle is left to the second round
     stars = _may_link(met.select("hub", "key").distinct(), nodes, percent).groupBy("key").agg(F.min("hub").alias("hub")).select("hub", "key")
-    stars = _links(stars, texts, words, percent)
+    stars = _links(stars, rows, nodes, words, percent)
     root = components(stars)
-    # a few pairs join most components that similar sets have been left in; the last round then looks at every pair across those that stay apart
-    trees = stars.unionByName(_links(_pairs_across(met, root, nodes, percent, tree=True), texts, words, percent))
-    more = _links(_pairs_across(met, components(trees), nodes, percent), texts, words, percent)
+    # a few pairs join most components that similar sets have been left in; the last round then looks at every pair across those that
+    # stay apart, in the groups where pairs were left out: of all others each pair that sizes and sketches allow has been compared
+    few = cut(_pairs_across(met, root, nodes, percent, tree=True))
+    trees = stars.unionByName(_links(few.select("hub", "key").distinct(), rows, nodes, words, percent))
+    left = met.join(few.where("rest").select("sig").distinct(), "sig", "left_semi")
+    more = _links(_pairs_across(left, components(trees), nodes, percent), rows, nodes, words, percent)
     links = cut(trees.unionByName(more).distinct())
     return links, components(links)

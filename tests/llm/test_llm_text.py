@@ -290,6 +290,44 @@ def test_group_of_near_sets_is_joined_by_a_tree():
     assert joined == set(range(m))
 
 
+def test_groups_tell_whether_their_tree_leaves_pairs_out():
+    """Three alike: the tree has two of three pairs; two alike, and four of which two pairs are alike: it has them all, so no later round needs these groups."""
+    rng = np.random.default_rng(3)
+    one, other = (rng.integers(0, 1 << 62, partenum.SKETCH).tolist() for _ in "ab")
+    groups = [(5, 1, one), (5, 2, one), (5, 3, one), (6, 1, one), (6, 2, one), (7, 1, one), (7, 2, one), (7, 8, other), (7, 9, other)]
+    of = lambda f, t=pa.int64(): pa.array([f(*g) for g in groups], t)
+    zero = of(lambda *_: 0, pa.int32())
+    columns = {"sig": of(lambda g, k, s: g), "i": zero, "j": zero, "block": zero, "key": of(lambda g, k, s: k), "root": of(lambda g, k, s: k),
+               "n": of(lambda *_: 200), "sketch": of(lambda g, k, s: s, pa.list_(pa.int64()))}
+    batch = pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
+    names = ("sig", "hub", "key", "rest")
+    got = [tuple(r.values()) for b in partenum._across(80, iter([batch]), True, names) for r in b.to_pylist()]
+    assert got == [(5, 1, 2, True), (5, 1, 3, True), (6, 1, 2, False), (7, 1, 2, False), (7, 8, 9, False)]
+
+
+def test_join_makes_one_set_of_a_node_and_none_of_another_text(spark):
+    """Copies under other ids are not read for a link; another text with the id and hash that a set is looked up by is not taken for it."""
+    a, b, alien = (" ".join(f"w{i + s}" for i in range(200)) for s in (0, 2, 900))
+    texts = [(1, 11, a), (2, 12, b), (1, 11, alien), *((n, 11, a) for n in range(50, 60))]
+    rows = spark.createDataFrame([(i, t, k) for i, k, t in texts], "doc_id bigint, text string, text_key bigint")
+    ka, kb = (int(partenum.keys_of(*partenum.sets_of([t.encode()]))[0]) for t in (a, b))
+    nodes = spark.createDataFrame([(ka, (False, 1, 11)), (kb, (False, 2, 12))], "key bigint, head struct<none: boolean, id: bigint, text: bigint>")
+    made = partenum._sets
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(words, batches):
+        for batch in made(words, batches):
+            seen.add(batch.num_rows)
+            yield batch
+
+    partenum._sets = counted
+    try:
+        links = partenum._links(spark.createDataFrame([(ka, kb)], "hub bigint, key bigint"), rows, nodes, 5, 80).collect()
+    finally:
+        partenum._sets = made
+    assert [(r.hub, r.key) for r in links] == [(ka, kb)] and seen.value == 2
+
+
 def test_join_awkward(awkward, none):
     got = Counter((r.doc_id, r.component_id) for r in similar_components(awkward).collect())
     assert got[(8, 7)] == 1 and got[(10, 9)] == 1 and got[(9, 9)] == 2 and got[(4, 4)] == 1 and sum(got.values()) == len(AWKWARD)
