@@ -1,9 +1,10 @@
 import glob
+import hashlib
 import time
 
 import numpy as np
 import pytest
-from pyspark.sql import functions as F, types as T
+from pyspark.sql import DataFrameWriter, functions as F, types as T
 
 from tallyhouse.operators.aggregates import distinct_profile, exact_quantiles
 from tallyhouse.plans import claims as cl, envelope as env, mapping as mp, quality as q
@@ -187,6 +188,31 @@ def test_rebuild_without_rebalance_writes_rows_where_they_lie(spark, tmp_path):
         assert sorted(r[0] for r in spark.read.parquet(str(tmp_path / str(rebalance))).select("id").collect()) == list(range(60))
 
 
+def test_files_of_a_dealt_table_do_not_grow_with_shuffle_partitions(spark, tmp_path):
+    small = {sinks.TASK_SIZE: "1k", "spark.sql.adaptive.coalescePartitions.minPartitionSize": "1k", "spark.sql.shuffle.partitions": "40"}
+    with sinks.session_set(spark, small):
+        rows = spark.range(20000).groupBy((F.col("id") % 5000).alias("id")).agg(F.count("id").alias("n")).withColumn("p", F.col("id") % 3)
+        sinks.rebuild(rows, str(tmp_path / "t"), "p", False)
+        assert len(files(tmp_path / "t")) <= 3 * 2 * spark.sparkContext.defaultParallelism
+        assert spark.conf.get(sinks.TASK_SIZE) == "1k"
+    assert spark.read.parquet(str(tmp_path / "t")).agg(F.count("id"), F.sum("n")).first()[:] == (5000, 20000)
+    assert [sinks.byte_count(x) for x in ("7", "1k", "8m", "64MB", "67108864b", " 2 GiB ")] == [7, 1 << 10, 8 << 20, 64 << 20, 64 << 20, 2 << 30]
+
+
+def test_tables_are_not_built_by_code_that_java_leaves_uncompiled(spark, tmp_path, monkeypatch):
+    seen, write = [], DataFrameWriter.parquet
+    monkeypatch.setattr(DataFrameWriter, "parquet", lambda self, path: (seen.append(int(spark.conf.get(sinks.LONGEST_METHOD))), write(self, path)))
+    before = spark.conf.get(sinks.LONGEST_METHOD)
+    wide = spark.range(50).select("id", *[F.md5(F.concat(F.col("id").cast("string"), F.lit(str(i)))).alias(f"c{i}") for i in range(200)])
+    for name, by in (("flat", None), ("parts", "p")):
+        sinks.rebuild(wide.withColumn("p", F.col("id") % 2), str(tmp_path / name), by)
+        got = spark.read.parquet(str(tmp_path / name)).where("id = 7").select("c0", "c199").first()
+        assert tuple(got) == (hashlib.md5(b"70").hexdigest(), hashlib.md5(b"7199").hexdigest())
+    with sinks.session_set(spark, {sinks.LONGEST_METHOD: "500"}):
+        sinks.rebuild(spark.range(5), str(tmp_path / "less"))
+    assert seen == [8000, 8000, 500] and spark.conf.get(sinks.LONGEST_METHOD) == before
+
+
 def test_rebuilt_tables_are_packed_by_zstd(spark, tmp_path):
     df = spark.range(100).withColumn("m", F.col("id") % 2)
     for name, by in (("flat", None), ("parts", "m")):
