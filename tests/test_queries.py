@@ -1,6 +1,8 @@
 """Spark plans against their SQL checks, invariants of the built tables, and the shape of physical plans."""
 
+import datetime
 import os
+from decimal import Decimal as D
 
 import duckdb
 import pytest
@@ -9,7 +11,7 @@ from pyspark.sql import functions as F
 import __spark_entry__ as entry
 from compare import TABLES, shape
 from tallyhouse.functions import rules
-from tallyhouse.plans import kpis
+from tallyhouse.plans import gold, kpis
 from tallyhouse.plans.firm import BUILDERS, Firm
 
 # every builder and a few of each family; TALLYHOUSE_ALL=1 runs all of them
@@ -93,3 +95,36 @@ def test_rescaled_outliers_hit_their_targets(spark, small):
 def test_open_rule_matches_in_both_tables(spark, small):
     firm = Firm.sample(spark, small)
     assert firm.table("payables_aging").count() == firm.table("fact_accounts_payable").where(rules.is_open()).count()
+
+
+def test_profitability_moves_its_wide_rows_twice(spark, small):
+    """By project, and to the names; not by client, by lead, by manager and by place one after the other."""
+    firm = Firm.sample(spark, small)
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        text = spark._jvm.PythonSQLUtils.explainString(firm.build("project_profitability")._jdf.queryExecution(), "formatted")
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+    moved = [b for b in text.split("\n\n") if " Exchange\n" in b and "project_name#" in b]
+    assert len(moved) == 2, [b.split("\n")[-1][:200] for b in moved]
+
+
+def test_profitability_of_repeated_and_missing_ids(spark):
+    """Each row of a project meets the names of its own ids: those of another row under the same project id are not its names."""
+    as_of = datetime.date(2020, 1, 31)
+    dims = "region string, location string, practice_area string, industry string, customer string"
+    here = ("R", "L", "P", "I", "C")
+    projects = spark.createDataFrame(
+        [(k, n, c, "T", lead, boss, None, None, 10, D(5), D(3), D(2), 40.0, k, D(100), "Active", True, *here) for k, n, c, lead, boss in
+         ((1, "a", 7, 1, 2), (1, "b", 8, 2, None), (1, "b", 8, 2, None), (None, "c", None, None, 1))],
+        "project_id bigint, project_name string, client_id bigint, project_type string, lead_partner_id bigint, project_manager_id bigint, project_start_date date, project_end_date date, "
+        "planned_hours bigint, planned_revenue decimal(18,4), planned_cost decimal(18,4), planned_margin decimal(18,4), planned_margin_pct double, contract_id bigint, total_contract_value decimal(18,4), "
+        "project_status string, is_active boolean, " + dims)
+    cards = spark.createDataFrame([(1, 1, D(5), D(2), D(1), "Billable", as_of), (None, 1, D(5), D(2), D(1), "Billable", as_of)], "project_id bigint, employee_id bigint, billing_amount decimal(18,4), cost_amount decimal(18,4), hours_worked decimal(18,6), time_type_clean string, work_date date")
+    spent = spark.createDataFrame([(1, D(1))], "project_id bigint, amount decimal(18,4)")
+    clients = spark.createDataFrame([(7, "seven"), (8, "eight"), (8, "acht")], "client_id bigint, client_name string")
+    staff = spark.createDataFrame([(k, n, True, True, as_of, "Partner", "Partner", *here) for k, n in ((1, "one"), (2, "two"))],
+                                  "employee_id bigint, full_name string, is_current boolean, is_latest_snapshot boolean, snapshot_date date, position_title string, job_level string, " + dims)
+    got = gold.project_profitability(projects, cards, spent, clients, staff).select("project_id", "project_name", "client_name", "lead_partner_name", "project_manager_name", F.col("actual_revenue").cast("int"))
+    assert sorted(map(tuple, got.collect()), key=repr) == sorted([(1, "a", "seven", "one", "two", 5)] + [(1, "b", n, "two", None, 5) for n in ("eight", "acht")] * 2 + [(None, "c", None, None, "one", 0)], key=repr)
